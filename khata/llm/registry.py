@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, piece_codec, token_files
+from . import exact_dedup, jaccard_join, language_id, language_model, packing, piece_codec, secrets, token_files
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_token_files": token_files.op4_token_files,
+    "op5_secret_scan": secrets.op5_secret_scan,
     "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_language_model": language_model.op8_language_model,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
