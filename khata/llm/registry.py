@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, language_model, packing, piece_codec, secrets, token_files
+from . import exact_dedup, jaccard_join, language_id, language_model, nearest, packing, piece_codec, secrets, token_files
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_language_model": language_model.op8_language_model,
+    "op9_nearest_neighbours": nearest.op9_nearest_neighbours,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
