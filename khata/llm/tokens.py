@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: White space of the Unicode property White_Space, as the tokenizers' patterns read it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks kept by each worker; beyond it the memory starts anew.
-MEMORY = 700_000
+MEMORY = 1_000_000
 
 
 class Encoder(dict):
@@ -34,28 +33,36 @@ class Encoder(dict):
         self.spaced = kind == "byte"
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if self.spaced else f"[^{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the patterns do not
-        self.stop = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.!?;:]+)")
-        # A word of these letters alone is one pre-token, so it goes to the tokenizer's model at once.
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+        letters = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+        self.plain, self.stop = re.compile(letters), re.compile(f"({letters})([!-&(-/:-@\\[-`{{-~]+)")
         self.model = self.tokenizer.model
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level tokenizers show as themselves
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
+        self.space = chr(self.shown[32])
 
     def __missing__(self, key: str) -> bytes:
-        whole = (key[:-1] if key.endswith(" ") else f" {key}") if self.spaced else key
-        if "\n" in key:  # words over line ends are hardly met again
-            parts = self.split_odd(whole)
-            if len(parts) > 1:
-                return b"".join([self[p] for p in parts])
-        word = key.rstrip(" ")
-        if end := self.stop.fullmatch(word):  # letters and what follows them are pre-tokens
-            stem = end[1] + (" " if self.spaced and key.endswith(" ") else "")
-            ids = self[stem] + self[end[2] + (" " if self.spaced else "")]
+        bare = self.spaced and key[-1:] == " "  # no space leads
+        word = key[:-1] if bare else key
+        if word.isascii() and word.isalpha():
+            shown = word
         elif self.plain.fullmatch(word):
             shown = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(self.shown)
-            ids = np.array([t.id for t in self.model.tokenize(chr(self.shown[32]) + shown if whole[0] == " " else shown)], "<u4").tobytes()
         else:
-            ids = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+            if "\n" in word:  # words over line ends are hardly met again
+                parts = self.split_odd(word if bare or not self.spaced else f" {word}")
+                if len(parts) > 1:
+                    return b"".join([self[p] for p in parts])
+            if end := self.stop.fullmatch(word):  # letters, and the signs after them, are pre-tokens
+                tail = f"{end[2]} " if self.spaced else end[2]
+                ids = self[f"{end[1]} " if bare else end[1]] + self[tail]
+            else:
+                ids = array("I", self.tokenizer.encode(word if bare or not self.spaced else f" {word}", add_special_tokens=False).ids).tobytes()
+            return self._keep(key, ids)
+        # A word of letters alone is one pre-token, so it goes to the tokenizer's model at once.
+        lead = "" if bare or not self.spaced else self.space
+        return self._keep(key, array("I", [t.id for t in self.model.tokenize(lead + shown)]).tobytes())
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
         self[key] = ids
