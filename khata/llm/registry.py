@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, language_model, nearest, packing, piece_codec, secrets, token_files
+from . import exact_dedup, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, token_files
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_token_files": token_files.op4_token_files,
     "op5_secret_scan": secrets.op5_secret_scan,
