@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,10 +139,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     def guess(batches):
         for batch in batches:
-            said = [model.value.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x for x, _ in said], "score": [float(s) for _, s in said]})
+            said = [model.value.predict(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in said], "string"), pa.array([s for _, s in said], "float64")], names=["doc_id", "lang_pred", "score"])
 
-    return documents(docs).mapInPandas(guess, "doc_id long, lang_pred string, score double")
+    return documents(docs).mapInArrow(guess, "doc_id long, lang_pred string, score double")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

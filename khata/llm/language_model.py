@@ -18,6 +18,7 @@ sequence, so that pointers and successors are found by a successor search relati
 
 from __future__ import annotations
 
+import json
 import mmap
 
 import numpy as np
@@ -163,7 +164,8 @@ def tokenise(docs: DataFrame) -> DataFrame:
         hashes = np.concatenate([[START, END], np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))])
         return pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId() << 24 | seq], "int64")]
-            + [pa.array([shrink(x)], "binary") for x in (np.array(ids, "<i8"), np.array(sizes, "<i4"), np.array(trained, "?"), hashes.astype("<u8"), np.concatenate(tokens).astype("<i4"))],
+            + [pa.array([zstandard.compress(json.dumps(ids).encode())], "binary")]
+            + [pa.array([shrink(x)], "binary") for x in (np.array(sizes, "<i4"), np.array(trained, "?"), hashes.astype("<u8"), np.concatenate(tokens).astype("<i4"))],
             names=["batch", "ids", "sizes", "trained", "hashes", "tokens"],
         )
 
@@ -302,7 +304,7 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
         starts = np.cumsum(sizes) - sizes
         return pa.table(
             {
-                "doc_id": pa.array(grow(row["ids"], "<i8"), "int64"), "trained": pa.array(grow(row["trained"], "?")),
+                "doc_id": pa.array(json.loads(zstandard.decompress(row["ids"])), "int64"), "trained": pa.array(grow(row["trained"], "?")),
                 "n_tokens": pa.array(sizes, "int64"), "n_known": pa.array(np.add.reduceat(known.astype(np.int64), starts), "int64"),
                 "train_tokens": pa.array(np.full(len(sizes), total), "int64"),
                 "base_score": pa.array(np.add.reduceat(np.log10(chance)[tokens], starts), "float64"),

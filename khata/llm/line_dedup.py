@@ -167,7 +167,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame
 
     def texts(ids: DataFrame) -> DataFrame:
         wanted = keep(ids.join(firsts.select("id", "digest", "place"), "id").select("id", "digest", F.col("place.doc_id").alias("d"), F.col("place.number").alias("k")))
-        own = lines.join(small(wanted), (F.col("doc_id") == F.col("d")) & (F.col("number") == F.col("k")) & (F.md5("line") == F.col("digest")))
+        own = lines.join(small(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("number") == F.col("k")) & (F.md5("line") == F.col("digest")))
         return own.select("id", "line").dropDuplicates(["id"])
 
     near = near_lines(texts, firsts.where("segments is not null").select("id", "place", "segments", "probes"), edits, hot)

@@ -13,6 +13,7 @@ import math
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,16 +157,16 @@ def scan(docs: DataFrame, least: float = GUESSES) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column(1).to_pylist():
                 base = base_spans(text)
                 every = sorted(base + guess_spans(text, least))
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
-            out.insert(0, "doc_id", batch["doc_id"].values)
-            yield out
+            columns = zip(*rows) if rows else [[]] * 6
+            kinds = ("int64", "int64", "int64", "string", "string", "int64")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_spans"])
 
-    return documents(docs).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
+    return documents(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, least: float = GUESSES, mask: str = "[secret]") -> DataFrame:
