@@ -5,12 +5,14 @@ linked sets must share one of (prefix filtering). To order by rarity without cou
 the order begins with those whose hash lies below a fixed quantile, by their number of nodes, and
 goes on by hash; a prefix nearly always ends within the first part, so only that part is shuffled.
 
-Nodes that share a shingle of their prefixes are candidates. Large groups of near copies are first
-joined along stars (every member against one of the group, verified), which makes them one component
-without all their pairs. What then still lies in different components is compared exhaustively in tiles:
-a shingle's nodes sorted by size, in blocks, block against block where sizes allow. Hashed bitmap
-signatures bound the overlap from above there; pairs that pass are verified by the exact
-intersection of their sorted arrays.
+Nodes that share a shingle of their prefixes are candidates. A shingle of few nodes gives their pairs,
+which are verified by the exact intersection of their sorted arrays. Shingles of many nodes are those
+of families of near copies, whose nodes share most of them: such families are compared in tiles, nodes
+sorted by size in blocks, block against block where sizes allow, so that each pair is met once and
+not once per shingle (or, where a family is wider than its shingles' groups, by shingle). In a tile, hashed
+bitmap signatures bound the overlap of all pairs from above; of those that pass, pairs not yet
+connected are verified exactly, likely ones first, so a tile yields a spanning forest of its links and
+not all of them.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from .common import components, documents, keep, small, table, without_ids
 WORDS, PERCENT = 5, 80
 #: Part of all hashes that comes first in the order, by rarity.
 FIRST = 0.3
-#: Nodes of a block; a tile is two blocks at most.
-BLOCK = 1024
-STARS = 2
+#: Nodes of a shingle whose pairs are made; nodes of a block (a tile is two blocks at most).
+FEW, BLOCK = 8, 2048
 
 _HASHES: dict[bytes, int] = {}
 
@@ -65,12 +66,11 @@ def least_overlap(n):
     return -(-n * PERCENT // 100)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    """A bitmap of about four bits a shingle, a power of two; a smaller one is its folded self."""
-    size = max(64, 1 << int(4 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of size bits, a power of two."""
     bits = np.zeros(size, np.uint8)
     bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -97,18 +97,18 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _arrays(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, the sorted shingles and the signature."""
+    """doc_id, digest and the sorted shingles."""
 
     def run(batches):
         for batch in batches:
             own = [shingles(t) for t in batch.column(1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in own])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([xxhash.xxh128_digest(k.tobytes()) for k in own], "binary"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64))), pa.array([signature(k) for k in own], "binary")],
-                names=["doc_id", "digest", "shingles", "bits"],
+                [batch.column(0), pa.array([xxhash.xxh128_digest(k.tobytes()) for k in own], "binary"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))],
+                names=["doc_id", "digest", "shingles"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, shingles array<long>, bits binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, shingles array<long>")
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:
@@ -122,109 +122,93 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     return own.withColumn("left", left).where("left > 0").select("node", "n", F.explode(F.slice("keys", 1, F.col("left").cast("int"))["key"]).alias("key"))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted arrays without repeats overlap by PERCENT of their union."""
+    if len(x) < len(y):
+        x, y = y, x
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by the exact intersection of the sorted arrays."""
+    """The pairs (a, b) whose sets link."""
 
     def run(batches):
         for batch in batches:
-            hits = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                x, y = x.view(np.uint64), y.view(np.uint64)
-                if len(x) < len(y):
-                    x, y = y, x
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                hits.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hits))
+            hits = [linked(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hits, "bool"))
 
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _bound(n: np.ndarray, bits: list[np.ndarray], m: np.ndarray, others: list[np.ndarray]):
-    """For each of the first and each of the second, the most that they can share; bitmaps are folded alike."""
-    size = min(min(map(len, bits)), min(map(len, others)))
-    fold = lambda b: np.bitwise_or.reduce(b.reshape(-1, size), 0)
-    x, y = np.array([fold(b) for b in bits]).view(np.uint64), np.array([fold(b) for b in others]).view(np.uint64)
-    own = np.bitwise_count(x).sum(1, dtype=np.int64)
-    theirs = np.bitwise_count(y).sum(1, dtype=np.int64)
-    for k in range(len(x)):
-        both = np.bitwise_count(x[k] & y).sum(1, dtype=np.int64)
-        yield k, np.minimum(n[k] - own[k] + both, m - theirs + both)
-
-
-def _tile(key, left):
-    """Pairs of different components in one tile that the signatures let pass."""
-    node, n = left["node"].to_numpy(), left["n"].to_numpy()
+def _tile(key, rows):
+    """Edges (a, b) that connect what is linked across the two sides of a tile, or within its one side."""
+    node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
+    arrays = [x.values.to_numpy().view(np.uint64) for x in rows["shingles"].combine_chunks()]
+    n = np.array([len(x) for x in arrays])
     order = np.lexsort((node, n))
-    node, n = node[order], n[order]
-    group, side = left["component"].to_numpy()[order], left["side"].to_numpy()[order]
-    maps = [np.frombuffer(b, np.uint8) for b in left["bits"].to_pylist()]
-    maps = [maps[k] for k in order]
+    node, side, n, arrays = node[order], side[order], n[order], [arrays[k] for k in order]
+    # One size for the tile: about eight bits a shingle of its larger sets.
+    size = max(64, 1 << int(8 * int(np.quantile(n, 0.9)) - 1).bit_length())
+    bits = np.array([signature(x, size) for x in arrays]).view(np.uint64)
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    one_side = bool((side == side[0]).all())
+    root = np.arange(len(node))
     a, b = [], []
-    same = bool((side == 0).all())
-    rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-    sizes = np.array([len(m) for m in maps])
-    for one in np.unique(sizes[rows]):
-        mine = rows[sizes[rows] == one]
-        for two in np.unique(sizes[cols]):
-            theirs = cols[sizes[cols] == two]
-            for k, most in _bound(n[mine], [maps[i] for i in mine], n[theirs], [maps[i] for i in theirs]):
-                i = mine[k]
-                fits = (group[theirs] != group[i]) & (100 * most >= PERCENT * (n[i] + n[theirs] - most))
-                if same:
-                    fits &= node[theirs] > node[i]
-                hit = theirs[fits]
-                a.append(np.full(len(hit), node[i]))
-                b.append(node[hit])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": pa.array(np.minimum(a, b), "int64"), "b": pa.array(np.maximum(a, b), "int64")})
-
-
-def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with their node's component so far."""
-    found = keep(components(edges))
-    return rows.join(small(found.select(F.col("node").alias("__n"), "component")), F.col("node") == F.col("__n"), "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
-
-
-def _links(prefixes: DataFrame, sets: DataFrame, spark) -> DataFrame:
+    for i in range(len(node)):
+        # Sizes are in order, so those that can link with i end where theirs gets too large.
+        after = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
+        others = np.arange(i + 1, after)
+        others = others[(root[others] != root[i]) & (one_side | (side[others] != side[i]))]
+        if not len(others):
+            continue
+        both = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+        most = np.minimum(n[i] - ones[i] + both, n[others] - ones[others] + both)
+        union = n[i] + n[others] - most
+        fits = 100 * most >= PERCENT * union
+        for j in others[fits][np.argsort(-(most[fits] / union[fits]), kind="stable")]:
+            if root[j] != root[i] and linked(arrays[i], arrays[j]):
+                a.append(node[i])
+                b.append(node[j])
+                root[root == root[j]] = root[i]
+    return pa.table({"a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """(family, part, node, n) of rows(key, node, n, df): part is null where the family is compared as a whole, else the key."""
+    centre = F.min("node").over(Window.partitionBy("key"))
+    found = keep(components(rows.select("node", centre.alias("c")).distinct().select(F.col("node").alias("a"), F.col("c").alias("b"))))
+    placed = keep(rows.join(small(found.select(F.col("node").alias("__n"), F.col("component").alias("family"))), F.col("node") == F.col("__n")).drop("__n"))
+    # Pairs of the whole family against those of its keys.
+    size = placed.groupBy("family").agg(F.count_distinct("node").alias("v"), F.sum("df").alias("pairs"))
+    whole = keep(size.select(F.col("family").alias("__f"), (F.col("v") * F.col("v") <= F.col("pairs")).alias("whole")))
+    return placed.join(small(whole), F.col("family") == F.col("__f")).select("family", F.when(~F.col("whole"), F.col("key")).alias("part"), "node", "n").distinct()
+
+
+def _links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified edges (a, b) that connect all nodes that are linked."""
-    edges = spark.createDataFrame([], "a long, b long")
-    tried = edges
-    rows = prefixes.withColumn("component", F.col("node"))
-    for star in range(STARS):
-        # A star: each of a key's nodes against the one that comes first by a hash of the round.
-        head = Window.partitionBy("key")
-        centre = F.min(F.struct(F.xxhash64("node", F.lit(star)), "node", "n", "component")).over(head)
-        pairs = (
-            rows.withColumn("c", centre)
-            .where("node != c.node and component != c.component")
-            .where(F.least("n", F.col("c.n")) * 100 >= PERCENT * F.greatest("n", F.col("c.n")))
-            .select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"))
-            .distinct()
-        )
-        pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.union(pairs)
-        edges = keep(edges.union(_verified(pairs, sets)))
-        rows = _labelled(prefixes, edges)
-    # Keys whose nodes are still in more than one component go through tiles.
-    by_key = Window.partitionBy("key")
-    mixed = keep(rows.withColumn("one", F.min("component").over(by_key) == F.max("component").over(by_key)).where("not one").drop("one"))
-    at = Window.partitionBy("key").orderBy("n", "node")
-    blocks = mixed.withColumn("block", F.floor((F.row_number().over(at) - 1) / BLOCK).cast("int"))
-    blocks = keep(blocks)
-    about = blocks.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c"), F.max("component").alias("d"))
-    second = about.select(F.col("key").alias("key2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("c").alias("c2"), F.col("d").alias("d2"))
-    tiles = about.join(second, (F.col("key") == F.col("key2")) & (F.col("block") <= F.col("block2")) & (F.col("high") * 100 >= PERCENT * F.col("low2")))
-    tiles = keep(tiles.where("not (c = d and c2 = d2 and c = c2)").select("key", "block", "block2"))
-    ends = tiles.select("key", "block", F.col("block").alias("i"), F.col("block2").alias("j"), F.lit(0).alias("side")).union(
-        tiles.where("block != block2").select("key", F.col("block2"), "block", "block2", F.lit(1))
-    )
-    members = blocks.join(ends, ["key", "block"]).join(sets.select("node", "bits"), "node")
-    pairs = members.select("key", "i", "j", "side", "node", "n", "component", "bits").groupBy("key", "i", "j").applyInArrow(_tile, "a long, b long").distinct()
-    pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"))
-    return edges.union(_verified(pairs, sets))
+    few = prefixes.where(F.col("df") <= FEW)
+    first = few.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
+    second = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
+    fits = F.least("n_a", "n_b") * 100 >= PERCENT * F.greatest("n_a", "n_b")
+    pairs = keep(first.join(second, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
+    edges = _verified(pairs, sets)
+    many = prefixes.where(F.col("df") > FEW)
+    if many.isEmpty():
+        return edges
+    group = ["family", "part"]
+    at = Window.partitionBy(*group).orderBy("n", "node")
+    blocks = keep(_families(many).withColumn("block", F.floor((F.row_number().over(at) - 1) / BLOCK).cast("int")))
+    about = blocks.groupBy(*group, "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    second = about.select(F.col("family").alias("f2"), F.col("part").alias("p2"), F.col("block").alias("j"), F.col("low").alias("low2"))
+    tiles = about.join(second, (F.col("family") == F.col("f2")) & F.col("part").eqNullSafe(F.col("p2")) & (F.col("block") <= F.col("j")) & (F.col("high") * 100 >= PERCENT * F.col("low2")))
+    tiles = keep(tiles.select("family", "part", F.col("block").alias("i"), "j"))
+    ends = tiles.select("family", "part", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(tiles.where("i != j").select("family", "part", "j", "i", "j", F.lit(1)))
+    ends = ends.select(F.col("family").alias("f2"), F.col("part").alias("p2"), F.col("block").alias("b2"), "i", "j", "side")
+    members = blocks.join(ends, (F.col("family") == F.col("f2")) & F.col("part").eqNullSafe(F.col("p2")) & (F.col("block") == F.col("b2"))).join(sets, "node")
+    return edges.union(members.select(*group, "i", "j", "side", "node", "shingles").groupBy(*group, "i", "j").applyInArrow(_tile, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -239,13 +223,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     heads = keep(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("node")))
     nodes = sets.join(small(heads.select("node")), F.col("row") == F.col("node"))
     prefixes = keep(_prefixes(nodes))
-    prefixes = keep(prefixes.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1").drop("df"))
+    prefixes = keep(prefixes.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1"))
     wanted = keep(prefixes.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node"))
     ids = small(wanted.select(F.col("node").alias("node"), F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")))
     some = docs.join(small(keep(wanted.select(F.col("doc_id").alias("__doc")).distinct())), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     arrays = _arrays(some).join(ids, (F.col("doc_id").eqNullSafe(F.col("__doc"))) & (F.col("digest") == F.col("__digest")))
-    arrays = keep(arrays.select("node", "shingles", "bits").dropDuplicates(["node"]))
-    edges = keep(_links(prefixes, arrays, docs.sparkSession))
+    arrays = keep(arrays.select("node", "shingles").dropDuplicates(["node"]))
+    edges = keep(_links(prefixes, arrays))
     labels = keep(components(edges))
     of_row = sets.select("row", "doc_id", "n", "digest").join(heads, "digest", "left").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node", "row"))
     of_row = keep(of_row.select("doc_id", "n", "c"))

@@ -178,18 +178,19 @@ def test_jaccard_join(spark, docs, nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
-def test_tiles_find_what_stars_miss(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "STARS", 0)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+@pytest.mark.parametrize("few, block", [(1, 4), (3, 7), (100, 8)])
+def test_tiles_of_any_size(spark, monkeypatch, few, block):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     family = prose(100, 60)
-    rows = [(k, near(family, 700 + k, 1)) for k in range(20)] + [(50 + k, prose(60, 800 + k)) for k in range(5)]
+    rows = [(k, near(family, 700 + k, 1 + k % 4)) for k in range(25)] + [(50 + k, prose(60, 800 + k)) for k in range(5)]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = {i: shingle_set(t) for i, t in rows}
-    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
-    for i in sets:
-        for j in sets:
-            if linked(sets[i], sets[j]):
-                assert got[i] == got[j]
+    want = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            want[i] = min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert got == want
 
 
 def test_components(spark):
