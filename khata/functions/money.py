@@ -17,6 +17,11 @@ UNITS = {
 VALUE, MISSING, ERROR = "value", "not_reported", "error"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), in which value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit_of(text: Column) -> Column:
     """The unit that a heading or cell names, the longest first; NULL if none."""
     low = F.lower(text)
@@ -34,32 +39,38 @@ def parse_crore(cell: Column, hint: Column | None = None) -> Column:
     without one, a percentage, letters that are no unit, or grouping that is neither Indian nor Western
     are errors and never a missing figure.
     """
-    text = F.trim(F.lower(F.regexp_replace(cell, "[ \\s]+", " ")))
-    missing = cell.isNull() | text.isin(*NOT_REPORTED)
-    own = unit_of(text)
+    given = factor_of(unit_of(hint)) if hint is not None else F.lit(None).cast("decimal(20,7)")
     names = "|".join(u.replace(".", "[.]") for u in UNITS)
-    bare = F.regexp_replace(text, rf"(^|[^a-z])(?:{names})(?=[^a-z]|$)", "$1")
-    bare = F.trim(F.regexp_replace(bare, "₹|\\brs\\b[.]?|\\binr\\b|/-", ""))
-    negative = bare.rlike(r"^\(.*\)$") | bare.startswith("-")
-    digits = F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-", "$1"))
-    grouped = digits.rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,2}(,[0-9]{2})*,[0-9]{3})([.][0-9]+)?$")
-    number = F.when(grouped, F.regexp_replace(digits, ",", "").try_cast("decimal(24,6)"))
-    factor = factor_of(F.coalesce(own, unit_of(hint) if hint is not None else F.lit(None).cast("string")))
-    value = F.round(F.when(number == 0, F.lit(0).cast("decimal(38,6)")).otherwise((number * factor).cast("decimal(38,6)")), 2).cast("decimal(20,2)")
-    value = F.when(negative, -value).otherwise(value)
-    reason = (
-        F.when(text.contains("%"), "percentage").when(digits.rlike("[a-z]"), "letters that are no unit").when(~grouped, "not a number")
-        .when((number != 0) & factor.isNull(), "no unit").when(value.isNull(), "out of range")
-    )
-    status = F.when(missing, MISSING).when(reason.isNotNull(), ERROR).otherwise(VALUE)
-    return F.struct(status.alias("status"), F.when(status == VALUE, value).alias("value"), F.when(status == ERROR, reason).alias("reason"))
+    unit = rf"(?:^|[^a-z])({names})(?=[^a-z]|$)"
+
+    def read(text: Column) -> Column:
+        own = F.regexp_extract(text, unit, 1)
+        bare = F.trim(F.regexp_replace(F.regexp_replace(text, rf"(^|[^a-z])(?:{names})(?=[^a-z]|$)", "$1"), "₹|\\brs\\b[.]?|\\binr\\b|/-", ""))
+        return let(F.struct(text.alias("text"), bare.alias("bare"), F.coalesce(factor_of(own), given).alias("factor"), F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-", "$1")).alias("digits")), judge)
+
+    def judge(x: Column) -> Column:
+        grouped = x["digits"].rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,2}(,[0-9]{2})*,[0-9]{3})([.][0-9]+)?$")
+        return let(F.struct(x.alias("x"), F.when(grouped, F.regexp_replace(x["digits"], ",", "").try_cast("decimal(24,6)")).alias("number")), lambda y: finish(y["x"], y["number"]))
+
+    def finish(x: Column, number: Column) -> Column:
+        amount = F.when(number == 0, F.lit(0).cast("decimal(38,6)")).otherwise((number * x["factor"]).cast("decimal(38,6)"))
+        value = F.round(amount, 2).cast("decimal(20,2)") * F.when(x["bare"].rlike(r"^(\(.*\)|-.*)$"), -1).otherwise(1)
+        missing = x["text"].isNull() | x["text"].isin(*NOT_REPORTED)
+        reason = (
+            F.when(missing, None).when(x["text"].contains("%"), "percentage").when(x["digits"].rlike("[a-z]"), "letters that are no unit").when(number.isNull(), "not a number")
+            .when((number != 0) & x["factor"].isNull(), "no unit")
+        )
+        status = F.when(missing, MISSING).when(reason.isNotNull(), ERROR).otherwise(VALUE)
+        return F.struct(status.alias("status"), F.when(~missing & reason.isNull(), value.cast("decimal(20,2)")).alias("value"), reason.alias("reason"))
+
+    return let(F.trim(F.lower(F.regexp_replace(cell, "[\u00a0\\s]+", " "))), read)
 
 
 def group_indian(value: Column, places: int = 2) -> Column:
     """1234567.5 as 12,34,567.50; NULL stays NULL."""
-    text = F.format_string(f"%.{places}f", F.abs(value.cast("decimal(30,6)")))
-    whole, rest = F.substring_index(text, ".", 1), F.when(text.contains("."), F.concat(F.lit("."), F.substring_index(text, ".", -1))).otherwise("")
-    head, tail = F.expr("1"), None  # placed below
+    text = F.abs(value).cast(f"decimal(30,{places})").cast("string")
+    whole = F.substring_index(text, ".", 1)
+    rest = F.when(text.contains("."), F.concat(F.lit("."), F.substring_index(text, ".", -1))).otherwise("")
     head = F.when(F.length(whole) > 3, F.regexp_replace(F.left(whole, F.length(whole) - 3), r"\B(?=([0-9]{2})+(?![0-9]))", ","))
     tail = F.right(whole, F.lit(3))
     return F.concat(F.when(value < 0, "-").otherwise(""), F.when(head.isNotNull(), F.concat(head, F.lit(","), tail)).otherwise(tail), rest)

@@ -58,10 +58,8 @@ def movers(summary: DataFrame, top: int) -> DataFrame:
 
 def waterfall(summary: DataFrame) -> DataFrame:
     """Steps from budget to balance: where each bar starts and ends; unknown after an unknown step."""
-    steps = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("be").alias("name"), F.col("be").alias("delta")), F.struct(F.lit(2), F.lit("revision"), (F.col("re") - F.col("be")).cast("decimal(20,2)")),
-        F.struct(F.lit(3), F.lit("supplementary"), F.coalesce("supplementary", F.lit(0)).cast("decimal(20,2)")), F.struct(F.lit(4), F.lit("spent"), (-F.col("spent")).cast("decimal(20,2)")),
-    )
+    deltas = {"be": F.col("be"), "revision": F.col("re") - F.col("be"), "supplementary": F.coalesce("supplementary", F.lit(0)), "spent": -F.col("spent")}
+    steps = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("name"), d.cast("decimal(20,2)").alias("delta")) for k, (n, d) in enumerate(deltas.items(), 1)])
     rows = summary.select("fy", "ministry_id", F.explode(steps).alias("s")).select("fy", "ministry_id", "s.*")
     w = Window.partitionBy("fy", "ministry_id").orderBy("step")
     broken = F.max(F.col("delta").isNull().cast("int")).over(w) > 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from khata.functions import calendar as cal
 from khata.functions import money, text
-from khata.operators import resolve, search, variance
+from khata.operators import narrative, resolve, search, variance
 from khata.oracle import M, SUMMARY, fy, with_parts
 from khata.plans import fiscal_queries as fiscal
 from khata.plans import projection as p
@@ -62,13 +62,13 @@ def match_names(spark, sf_dir) -> DataFrame:
 @query("""WITH i AS (SELECT 'min-' || n_nationkey AS entity_id, 'ministry' AS kind, n_name AS title, r_name AS extra FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'part-' || p_partkey, 'part', p_name, p_type || ' ' || p_brand FROM part),
     w AS (SELECT *, regexp_split_to_array(lower(title), '[^a-z0-9]+') AS a, regexp_split_to_array(lower(extra), '[^a-z0-9]+') AS b FROM i)
-    SELECT entity_id, kind, title, CAST(CASE WHEN list_contains(a, 'green') THEN 4 WHEN list_contains(b, 'green') THEN 2 ELSE 0 END + CASE WHEN list_contains(a, 'steel') THEN 4 WHEN list_contains(b, 'steel') THEN 2 ELSE 0 END AS INTEGER) AS score
-    FROM w WHERE (list_contains(a, 'green') OR list_contains(b, 'green')) AND (list_contains(a, 'steel') OR list_contains(b, 'steel'))""")
+    SELECT entity_id, kind, title, CAST(CASE WHEN list_contains(a, 'small') THEN 4 WHEN list_contains(b, 'small') THEN 2 ELSE 0 END + CASE WHEN list_contains(a, 'gear') THEN 4 WHEN list_contains(b, 'gear') THEN 2 ELSE 0 END AS INTEGER) AS score
+    FROM w WHERE (list_contains(a, 'small') OR list_contains(b, 'small')) AND (list_contains(a, 'gear') OR list_contains(b, 'gear'))""")
 def search_entities(spark, sf_dir) -> DataFrame:
     """Entities whose title or description has all the words asked for, titles weighing twice."""
     nations = p.ministries(spark, sf_dir).select(F.col("ministry_id").alias("entity_id"), F.lit("ministry").alias("kind"), F.col("name").alias("title"), F.col("sector").alias("extra"))
     goods = p.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("part").alias("kind"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_type", "p_brand").alias("extra"))
-    return search.find(nations.union(goods), ["green", "steel"])
+    return search.find(nations.union(goods), ["small", "gear"])
 
 
 BARE = "text"
@@ -169,7 +169,7 @@ def digest_days(spark, sf_dir) -> DataFrame:
 
 
 @query(with_parts("tender") + f"""SELECT {fy('published')} AS fy, ministry_id, o_orderkey, CAST(value AS DOUBLE) AS value, CAST(row_number() OVER w AS INTEGER) AS place FROM tender
-    QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY {fy('published')}, ministry_id ORDER BY value DESC NULLS LAST, o_orderkey)""")
+    WINDOW w AS (PARTITION BY {fy('published')}, ministry_id ORDER BY value DESC NULLS LAST, o_orderkey) QUALIFY row_number() OVER w <= 10""")
 def largest_tenders(spark, sf_dir) -> DataFrame:
     """The ten largest tenders of every ministry and year."""
     rows = p.tenders(spark, sf_dir).withColumn("fy", cal.fy_of(F.col("published")))
@@ -192,3 +192,26 @@ def flags_page(spark, sf_dir) -> DataFrame:
     """The first fifty flags, high ones first."""
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "notable", 1).otherwise(2)
     return fiscal.flags_of(spark, sf_dir).where("metric is not null").orderBy(rank, F.desc("fy"), "rule_id", "entity_id").limit(50).select("fy", "entity_id", "rule_id", "severity")
+
+
+TOLD = with_parts("ministry", "auth", "spent", "facts0", "current", "authority", "to_date", "summary", "tender")
+
+
+def said(label: str, column: str) -> str:
+    return f"coalesce('{label} ' || CAST({column} AS VARCHAR) || ' crore.', '{label} not reported.')"
+
+
+@query(TOLD + f""", c AS (SELECT {fy('published')} AS fy, ministry_id, count(*) AS n FROM tender GROUP BY 1, 2)
+    SELECT s.fy, s.ministry_id, name || ', ' || s.fy || ': ' || {said('Authority', 'authority')} || ' ' || {said('Spent', 'spent')} || ' ' || {said('Balance', 'balance')} || ' Tenders: ' || coalesce(n, 0) || '.' AS narrative, 0 AS problems
+    FROM summary s JOIN ministry m ON s.ministry_id = m.ministry_id LEFT JOIN c ON c.fy = s.fy AND c.ministry_id = s.ministry_id""")
+def narratives(spark, sf_dir) -> DataFrame:
+    """Plain sentences on every ministry and year, and how many problems the check finds in them."""
+    rows = narrative.bundles(fiscal.summary_of(spark, sf_dir), p.tenders(spark, sf_dir), cal.fy_of(F.col("published"))).join(F.broadcast(p.ministries(spark, sf_dir)), "ministry_id")
+    told = rows.select("fy", "ministry_id", "allowed", narrative.fallback(rows).alias("narrative"))
+    return told.select("fy", "ministry_id", "narrative", F.size(narrative.problems(F.col("narrative"), F.col("allowed"))).alias("problems"))
+
+
+@query(fiscal.FLAGS + """SELECT fy, string_agg('- ' || severity || ': ' || rule_id || ' (' || entity_id || ')', chr(10) ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'notable' THEN 1 ELSE 2 END, rule_id, entity_id) AS body, count(*) AS flags FROM flags GROUP BY fy""")
+def digests(spark, sf_dir) -> DataFrame:
+    """Each year's flags as one text, high ones first."""
+    return narrative.digest(fiscal.flags_of(spark, sf_dir))
