@@ -207,7 +207,8 @@ def said(label: str, column: str) -> str:
 def narratives(spark, sf_dir) -> DataFrame:
     """Plain sentences on every ministry and year, and how many problems the check finds in them."""
     rows = narrative.bundles(fiscal.summary_of(spark, sf_dir), p.tenders(spark, sf_dir), cal.fy_of(F.col("published"))).join(F.broadcast(p.ministries(spark, sf_dir)), "ministry_id")
-    told = rows.select("fy", "ministry_id", "allowed", narrative.fallback(rows).alias("narrative"))
+    named = F.concat("allowed", F.transform(text.figures(F.col("name")), lambda x: x.cast("double")))  # a name may hold figures
+    told = rows.select("fy", "ministry_id", named.alias("allowed"), narrative.fallback(rows).alias("narrative"))
     return told.select("fy", "ministry_id", "narrative", F.size(narrative.problems(F.col("narrative"), F.col("allowed"))).alias("problems"))
 
 

@@ -13,10 +13,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from khata.operators.quality import ERROR_SHARE, REQUEST_FLOOR
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """events with ts as an instant and a watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def alert_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Five-minute windows that are final: requests, errors and whether the error share passes its bound."""
     return (
-        events.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes").alias("w"))
+        timed(events, late).groupBy(F.window("ts", "5 minutes").alias("w"))
         .agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"))
         .select(F.col("w.start").alias("start"), "requests", "errors", ((F.col("requests") >= REQUEST_FLOOR) & (F.col("errors") > ERROR_SHARE * F.col("requests"))).alias("alert"))
     )
@@ -24,12 +29,12 @@ def alert_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 def session_stream(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: start, end and events."""
-    return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events, late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def newest_revisions(facts: DataFrame, late: str = "1 day") -> DataFrame:
     """The first copy of each revision of a cell; repeats within the watermark are dropped."""
-    return facts.withWatermark("ts", late).dropDuplicatesWithinWatermark(["fact_key", "amount"])
+    return timed(facts, late).dropDuplicatesWithinWatermark(["fact_key", "amount"])
 
 
 def limited_stream(events: DataFrame, rate: float, burst: float) -> DataFrame:
