@@ -29,52 +29,57 @@ HOT = 400
 
 def normalised(line: Column) -> Column:
     """Lower-cased, every run of [\\x20\\x09-\\x0D] one space, none at the ends."""
-    spaced = F.trim(F.translate(F.lower(line), SPACES, " " * len(SPACES)))
+    low = F.lower(line)
+    odd = reduce(lambda a, b: a | b, [line.contains(c) for c in SPACES[1:]])
+    spaced = F.trim(F.when(odd, F.translate(low, SPACES, " " * len(SPACES))).otherwise(low))
     return F.when(spaced.contains("  "), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, number (from 0) and the normalised line of every line of every text, cut at line feeds."""
-    return documents(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw")).select("doc_id", "number", normalised(F.col("raw")).alias("line"))
+    """doc_id, number (from 0), the normalised line and its length n, of every line of every text, cut at line feeds."""
+    rows = documents(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "raw")).select("doc_id", "number", normalised(F.col("raw")).alias("line"))
+    return rows.withColumn("n", F.length("line"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), in which value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def within(pattern: Column, text: Column, edits: int) -> Column:
     """Whether two lines lie within so many edits, by a bit-parallel column of the band |i - j| <= edits.
 
-    Bit b of the state of column j stands for row j - edits + b. Each step compares the band's characters
-    with the text's, and moves the vertical differences (up, down) down one row.
+    Bit b of the state of column j stands for row j - edits + b. First the band's matches with each of the
+    text's characters are set as bits; then each step moves the vertical differences (up, down) down one row.
     """
     band = 2 * edits + 1
-    full = (1 << band) - 1
+    full, top = (1 << band) - 1, 1 << (band - 1)
     n, m = F.length(pattern), F.length(text)
+    flip = lambda x: x.bitwiseXOR(F.lit(full))
+    some = lambda x: F.when(x != 0, 1).otherwise(0)
+
+    def matches(p: Column, t: Column) -> Column:
+        bit = lambda c, j, b: F.when(F.get(p, F.when(j + (b - edits) >= 0, j + (b - edits)).otherwise(F.lit(2**30))) == c, 1 << b).otherwise(0)
+        return F.transform(t, lambda c, j: reduce(lambda x, y: x + y, [bit(c, j, b) for b in range(band)]))
+
+    def step(state: Column, equal: Column, n: Column) -> Column:
+        up, down, j = state["up"], state["down"], state["j"] + 1
+        d = ((equal.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(equal).bitwiseOR(down).bitwiseAND(F.lit(full))
+
+        def move(d: Column) -> Column:
+            rise, fall, moved = down.bitwiseOR(flip(d.bitwiseOR(up))), d.bitwiseAND(up), F.shiftright(d, 1)
+            # The cost on the band's lower edge follows the diagonal and, from the last row on, that row.
+            bend = n + edits - j
+            last = lambda x: F.call_function("shiftright", x, bend).bitwiseAND(F.lit(1))
+            cost = state["cost"] + F.when(j + edits <= n, 1 - some(d.bitwiseAND(F.lit(top)))).otherwise(last(rise) - last(fall))
+            return F.struct(fall.bitwiseOR(flip(moved.bitwiseOR(rise))).alias("up"), rise.bitwiseAND(moved).alias("down"), cost.alias("cost"), j.alias("j"))
+
+        return let(d, move)
 
-    def step(state: Column, j: Column) -> Column:
-        c = F.substring(text, j, F.lit(1))
-        bit = lambda b: F.when((j - edits + b >= 1) & (j - edits + b <= n) & (F.substring(pattern, F.greatest(j - edits + b, F.lit(1)), F.lit(1)) == c), F.lit(1 << b)).otherwise(F.lit(0))
-        equal = reduce(lambda x, y: x.bitwiseOR(y), [bit(b) for b in range(band)])
-        up, down = state["up"], state["down"]
-        d = ((equal.bitwiseAND(up) + up).bitwiseXOR(up)).bitwiseOR(equal).bitwiseOR(down)
-        d = d.bitwiseAND(F.lit(full))
-        right_up = down.bitwiseOR(F.bitwise_not(d.bitwiseOR(up)).bitwiseAND(F.lit(full)))
-        right_down = d.bitwiseAND(up)
-        moved = F.shiftright(d, 1)
-        new_up = right_down.bitwiseOR(F.bitwise_not(moved.bitwiseOR(right_up)).bitwiseAND(F.lit(full)))
-        new_down = right_up.bitwiseAND(moved)
-        # The cost on the band's lower edge follows the diagonal, then, from the last row on, the row.
-        low = F.when(d.bitwiseAND(F.lit(1 << (band - 1))) != 0, F.lit(0)).otherwise(F.lit(1))
-        bend = (n + edits - j).cast("int")  # the last row's bit, from the top of the band
-        side = F.when(_bit(right_up, bend) != 0, F.lit(1)).otherwise(F.lit(0)) - F.when(_bit(right_down, bend) != 0, F.lit(1)).otherwise(F.lit(0))
-        cost = state["cost"] + F.when(j + edits <= n, low).otherwise(side)
-        return F.struct(new_up.alias("up"), new_down.alias("down"), cost.alias("cost"))
-
-    raise_not = (F.abs(n - m) > edits)
-    start = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("up"), F.lit(0).alias("down"), F.least(F.lit(edits), n).alias("cost"))
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), start, step)
-    return F.when(raise_not, F.lit(False)).when((n == 0) | (m == 0), F.greatest(n, m) <= edits).otherwise(last["cost"] <= edits)
-
-
-def _bit(value: Column, place: Column) -> Column:
-    return F.call_function("shiftright", value, place).bitwiseAND(F.lit(1))
+    start = F.struct(F.lit(full ^ ((1 << edits) - 1)).alias("up"), F.lit(0).alias("down"), F.least(F.lit(edits), n).alias("cost"), F.lit(0).alias("j"))
+    bits = let(F.split(pattern, ""), lambda p: matches(p, F.split(text, "")))
+    cost = let(n, lambda k: F.aggregate(bits, start, lambda state, equal: step(state, equal, k))["cost"])
+    return F.when(F.abs(n - m) > edits, F.lit(False)).when((n == 0) | (m == 0), F.greatest(n, m) <= edits).otherwise(cost <= edits)
 
 
 def _start(length: Column, k: int, edits: int) -> Column:
@@ -82,19 +87,18 @@ def _start(length: Column, k: int, edits: int) -> Column:
     return F.floor(length * k / (edits + 1)).cast("int") + 1
 
 
-def segments(line: Column, edits: int) -> Column:
-    """Keys of the line's segments: hashes of length, segment number and segment."""
-    n = F.length(line)
+def segments(line: Column, n: Column, edits: int) -> Column:
+    """Keys of the segments of a line of length n: hashes of length, segment number and segment."""
     return F.array(*[F.xxhash64(n, F.lit(k), F.substring(line, _start(n, k, edits), _start(n, k + 1, edits) - _start(n, k, edits))) for k in range(edits + 1)])
 
 
-def probes(line: Column, edits: int) -> Column:
+def probes(line: Column, n: Column, edits: int) -> Column:
     """Keys of the substrings that may be a segment of a line as long or shorter by up to edits.
 
     By the multi-match rule a match in segment k (from 0) has at most k edits before it and at most
     edits - k after it, so it starts within those of its own place, from either end.
     """
-    n, keys = F.length(line), []
+    keys = []
     for shorter in range(edits + 1):
         m = n - shorter
         for k in range(edits + 1):
@@ -156,10 +160,10 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame
     """
     lines = keep(lines_of(docs))
     places = lines.select("doc_id", "number", F.when(F.col("line") != "", F.md5("line")).alias("digest"), F.struct("doc_id", "number").alias("place"))
-    long = F.length("line") >= max(LEAST, edits + 1)
+    long = F.col("n") >= max(LEAST, edits + 1)
     keyed = lines.where("line != ''").select(
         F.md5("line").alias("digest"), F.struct("doc_id", "number").alias("place"),
-        F.when(long, segments(F.col("line"), edits)).alias("segments"), F.when(long, probes(F.col("line"), edits)).alias("probes"),
+        F.when(long, segments(F.col("line"), F.col("n"), edits)).alias("segments"), F.when(long, probes(F.col("line"), F.col("n"), edits)).alias("probes"),
     )
     # The keys are the same for all copies of a line.
     firsts = keyed.groupBy("digest").agg(F.min("place").alias("place"), F.first("segments").alias("segments"), F.first("probes").alias("probes"))
