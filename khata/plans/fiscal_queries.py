@@ -305,3 +305,53 @@ def row_validation(spark, sf_dir) -> DataFrame:
         (~F.col("c_nationkey").between(0, 24), "nation unknown"), (~F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"), "segment unknown"),
     ]
     return quality.failures(p.table(spark, sf_dir, "customer"), checks).select("c_custkey", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(SUMMARY + f"""SELECT fy, ministry_id, {s6('be', 're', 'authority')}, round({ratio('(authority - before)', 'before')}, 6) AS growth
+    FROM (SELECT *, CASE WHEN CAST(substr(lag(fy) OVER w, 3) AS INTEGER) + 1 = CAST(substr(fy, 3) AS INTEGER) THEN lag(authority) OVER w END AS before FROM summary WINDOW w AS (PARTITION BY ministry_id ORDER BY fy))""")
+def allocation_history(spark, sf_dir) -> DataFrame:
+    """Every ministry's allocation by year and its growth over the year before, unknown after a gap."""
+    w = Window.partitionBy("ministry_id").orderBy("fy")
+    before = F.when(F.lag("fy").over(w) == cal.shift_fy(F.col("fy"), -1), F.lag("authority").over(w))
+    rows = summary_of(spark, sf_dir).withColumn("before", before)
+    return rows.select("fy", "ministry_id", *r6("be", "re", "authority"), F.round(v.ratio(F.col("authority") - F.col("before"), F.col("before")), 6).alias("growth"))
+
+
+@query(SUMMARY_AND_MINISTRY + f""", t AS (SELECT s.fy, 'st-' || sector AS state_id, CAST(sum(be) AS {M}) AS be, CAST(sum(authority) AS {M}) AS authority, CAST(sum(spent) AS {M}) AS spent, max(as_of) AS as_of, count(*) FILTER (WHERE spent IS NULL) AS missing
+        FROM summary s JOIN ministry m ON s.ministry_id = m.ministry_id GROUP BY 1, 2)
+    SELECT fy, state_id, as_of, missing, {s6('be', 'authority', 'spent')}, round(CASE WHEN {elapsed('fy', 'as_of')} > 0 THEN {ratio('spent', 'authority')} / ({elapsed('fy', 'as_of')}) END, 6) AS burn_ratio FROM t""")
+def state_summary(spark, sf_dir) -> DataFrame:
+    """Budget, spend and pace by state and year, and how many of its ministries don't report."""
+    rows = summary_of(spark, sf_dir).join(F.broadcast(p.ministries(spark, sf_dir)), "ministry_id")
+    t = rows.groupBy("fy", F.concat(F.lit("st-"), "sector").alias("state_id")).agg(
+        F.sum("be").alias("be"), F.sum("authority").alias("authority"), F.sum("spent").alias("spent"), F.max("as_of").alias("as_of"), F.count_if(F.col("spent").isNull()).alias("missing")
+    )
+    gone = cal.fraction_elapsed(F.col("fy"), F.col("as_of"))
+    return t.select("fy", "state_id", "as_of", "missing", *r6("be", "authority", "spent"), F.round(F.when(gone > 0, v.ratio(F.col("spent"), F.col("authority")) / gone), 6).alias("burn_ratio"))
+
+
+@query(with_parts("auth", "spent", "portal", "facts") + """, c AS (SELECT source_id, fy, stage, count(*) AS n FROM facts GROUP BY 1, 2, 3),
+    usual AS (SELECT source_id, fy, stage AS usual_stage FROM c QUALIFY row_number() OVER (PARTITION BY source_id, fy ORDER BY n DESC, stage) = 1)
+    SELECT f.source_id, f.fy, usual_stage, count(*) AS facts, count(DISTINCT entity_id) AS entities, max(document_date) AS newest, count(supersedes) AS supersessions
+    FROM facts f JOIN usual u ON f.source_id = u.source_id AND f.fy = u.fy GROUP BY 1, 2, 3""")
+def provenance(spark, sf_dir) -> DataFrame:
+    """By source and year: facts, entities, newest document, usual stage and supersessions."""
+    facts = p.fiscal_facts(spark, sf_dir)
+    by_stage = facts.groupBy("source_id", "fy", "stage").agg(F.count("*").alias("n"), F.max("document_date").alias("newest"), F.count("supersedes").alias("s"))
+    sums = by_stage.groupBy("source_id", "fy").agg(F.min_by("stage", F.struct(-F.col("n"), "stage")).alias("usual_stage"), F.sum("n").alias("facts"), F.max("newest").alias("newest"), F.sum("s").alias("supersessions"))
+    entities = facts.groupBy("source_id", "fy").agg(F.count_distinct("entity_id").alias("entities"))
+    return sums.join(entities, ["source_id", "fy"])
+
+
+@query(SUMMARY + f"SELECT fy, ministry_id, {s6('be', 're')}, round(CAST(be - re AS DOUBLE) / abs(CAST(re AS DOUBLE)), 6) AS delta FROM summary WHERE re IS NOT NULL AND re != 0 AND be IS NOT NULL AND abs(CAST(be - re AS DOUBLE)) / abs(CAST(re AS DOUBLE)) > 0.01")
+def reconciliation(spark, sf_dir) -> DataFrame:
+    """Figures of two documents that differ by over one in a hundred; missing and zero ones are not compared."""
+    rows = summary_of(spark, sf_dir).where("re is not null and re != 0 and be is not null")
+    delta = (F.col("be") - F.col("re")).cast("double") / F.abs(F.col("re").cast("double"))
+    return rows.withColumn("delta", delta).where(F.abs("delta") > 0.01).select("fy", "ministry_id", *r6("be", "re", "delta"))
+
+
+@query(with_parts("ministry") + "SELECT sector, count(*) AS ministries, min(name) AS first_name FROM ministry GROUP BY 1")
+def sectors(spark, sf_dir) -> DataFrame:
+    """Sectors and their ministries."""
+    return p.ministries(spark, sf_dir).groupBy("sector").agg(F.count("*").alias("ministries"), F.min("name").alias("first_name"))
