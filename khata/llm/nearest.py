@@ -109,6 +109,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value.cast("array<double>").alias("embedding")).where(
         F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists(value, lambda v: v != 0)
     )
+    good = keep(good)
     lengths = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

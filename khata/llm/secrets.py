@@ -44,7 +44,7 @@ LONGEST = max(map(len, WORDS))
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
-LEET = str.maketrans("4@310$57!", "aaeiosstl"[:9])
+LEET = str.maketrans("4@310$57!", "aaeiosstl")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 #: Longer values are cut into parts of so many characters, whose costs add.
 LONG = 256
@@ -84,12 +84,11 @@ def guess_cost(value: str) -> float:
                 spans[j].append((i, size * math.log10(_class(unit[0])) + math.log10((j - i) // size)))
         for step in (1, -1):  # walks along a row of the keyboard, or up and down the codes
             for near in (True, False):
-                j, turns = i + 1, 1
+                j = i + 1
                 while j < n and _follows(low[j - 1], low[j], step, near):
                     j += 1
                     if j - i >= 3:
-                        spans[j].append((i, math.log10(len(PLACE) * 2 * (j - i) * turns)))
-    brute = math.log10(10)
+                        spans[j].append((i, math.log10(len(PLACE) * 2 * (j - i))))
     # cost[e][k]: cheapest cut of value[:e] into k parts, a brute-force span being one part.
     most = min(n, 12)
     inf = math.inf
@@ -97,7 +96,7 @@ def guess_cost(value: str) -> float:
     cost[0][0] = 0.0
     open_brute = [[inf] * (most + 1) for _ in range(n + 1)]  # the last part is a brute-force span
     for e in range(1, n + 1):
-        rate = max(brute, math.log10(_class(value[e - 1])))
+        rate = math.log10(_class(value[e - 1]))
         for k in range(1, most + 1):
             open_brute[e][k] = min(open_brute[e - 1][k], cost[e - 1][k - 1]) + rate
             best = open_brute[e][k]

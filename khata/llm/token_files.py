@@ -12,10 +12,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, table
+from .common import documents, keep, scratch, table
 from .tokens import encoder, in_parts
 
 #: ORC settings: bytes of a stripe, rows of a row group, and the Bloom filter.
@@ -49,22 +50,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def sums(batches):
         for batch in batches:
             ids = batch.column(1)
-            flat, ends = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4"), np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))
+            flat, ends = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4"), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
             starts = np.concatenate([[0], ends[:-1]]).astype("int64")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ends - starts, "int64"), pa.array([zlib.crc32(flat[a:b]) for a, b in zip(starts, ends)], "int64"), batch.column(2), batch.column(3)],
                 names=["doc_id", "n_tokens", "ids_crc32", "file", "place"],
             )
 
-    import pyarrow.compute  # noqa: F401
-
     rows = (
         spark.read.schema("doc_id long, ids array<int>").orc(path)
         .select("doc_id", "ids", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place"))
         .mapInArrow(sums, "doc_id long, n_tokens long, ids_crc32 long, file string, place long")
     )
-    from .common import keep
-
     rows = keep(rows)
     # One row a file: a window over all of them is small.
     files = rows.groupBy("file").agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("n"))
