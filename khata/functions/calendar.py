@@ -113,7 +113,8 @@ def period_of(label: Column) -> Column:
 
 def parse_day(text: Column) -> Column:
     """The first of several formats that reads the text; NULL if none does."""
-    formats = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "d MMM yyyy", "d MMMM yyyy", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd")
+    # The formats, in the order in which they are tried.
+    formats = ("yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "dd-MM-yyyy HH:mm", "dd-MMM-yyyy hh:mm a", "yyyy-MM-dd'T'HH:mm:ss")
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats])
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What stands for a figure that is not reported.
-NOT_REPORTED = ("", "-", "--", "---", "–", "—", "..", "...", "na", "n.a", "n.a.", "n/a", "nil reported", "not available", "not reported", "not applicable", "awaited", "*", "**", "nr", "n.r.", "null", "none", "#n/a")
+NOT_REPORTED = ("", "-", "--", "---", "–", "—", ".", "..", "...", "*", "**", "na", "n.a.", "n.a", "n/a", "nr", "nil", "none", "not reported", "not available", "not applicable", "no data", "neg", "negligible")
 # Units by name, longest first, and how many crore one is.
 UNITS = {
-    "thousand crores": "1000", "thousand crore": "1000", "lakh crores": "100000", "lakh crore": "100000", "crores": "1", "crore": "1", "lakhs": "0.01", "lakh": "0.01", "lacs": "0.01", "lac": "0.01",
-    "thousands": "0.0001", "thousand": "0.0001", "millions": "0.1", "million": "0.1", "billions": "100", "billion": "100", "rupees": "0.0000001", "rupee": "0.0000001", "cr.": "1", "cr": "1",
+    "lakhs crores": "100000", "lakhs crore": "100000", "lakh crores": "100000", "lakh crore": "100000", "lacs crores": "100000", "lacs crore": "100000", "lac crores": "100000", "lac crore": "100000",
+    "thousand crores": "1000", "thousand crore": "1000", "crores": "1", "crore": "1", "cr.": "1", "cr": "1", "lakhs": "0.01", "lakh": "0.01", "lacs": "0.01", "lac": "0.01", "trillions": "100000", "trillion": "100000",
+    "billions": "100", "billion": "100", "bn": "100", "millions": "0.1", "million": "0.1", "mn": "0.1", "thousands": "0.0001", "thousand": "0.0001", "rupees": "0.0000001", "rupee": "0.0000001",
 }
 VALUE, MISSING, ERROR = "value", "not_reported", "error"
 
@@ -49,7 +50,7 @@ def parse_crore(cell: Column, hint: Column | None = None) -> Column:
         return let(F.struct(text.alias("text"), bare.alias("bare"), F.coalesce(factor_of(own), given).alias("factor"), F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-", "$1")).alias("digits")), judge)
 
     def judge(x: Column) -> Column:
-        grouped = x["digits"].rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{3})+|[0-9]{1,2}(,[0-9]{2})*,[0-9]{3})([.][0-9]+)?$")
+        grouped = x["digits"].rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{2,3})*)([.][0-9]+)?$")
         return let(F.struct(x.alias("x"), F.when(grouped, F.regexp_replace(x["digits"], ",", "").try_cast("decimal(24,6)")).alias("number")), lambda y: finish(y["x"], y["number"]))
 
     def finish(x: Column, number: Column) -> Column:
@@ -63,7 +64,7 @@ def parse_crore(cell: Column, hint: Column | None = None) -> Column:
         status = F.when(missing, MISSING).when(reason.isNotNull(), ERROR).otherwise(VALUE)
         return F.struct(status.alias("status"), F.when(~missing & reason.isNull(), value.cast("decimal(20,2)")).alias("value"), reason.alias("reason"))
 
-    return let(F.trim(F.lower(F.regexp_replace(cell, "[\u00a0\\s]+", " "))), read)
+    return let(F.trim(F.lower(F.regexp_replace(F.translate(cell, "०१२३४५६७८९", "0123456789"), "[\u00a0\\s]+", " "))), read)
 
 
 def group_indian(value: Column, places: int = 2) -> Column:

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accents folded, abbreviations spelled out, and words without weight in names.
+# Accents folded, abbreviations spelled out, spellings made alike, and words without weight in names.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-SHORT = {"min": "ministry", "min.": "ministry", "dept": "department", "deptt": "department", "dept.": "department", "govt": "government", "govt.": "government", "devt": "development", "dev": "development", "natl": "national", "intl": "international", "&": "and"}
-NOISE = ("the", "of", "and", "for", "in", "to", "a", "an", "ministry", "department", "government", "india", "limited", "ltd")
+SLASHED = {"m/o": "ministry of", "d/o": "department of"}
+SHORT = {
+    "dept": "department", "deptt": "department", "min": "ministry", "govt": "government", "goi": "government of india", "&": "and", "dev": "development", "devt": "development", "corpn": "corporation",
+    "corp": "corporation", "ltd": "limited", "pvt": "private", "natl": "national", "nat": "national", "auth": "authority", "comm": "commission", "org": "organisation", "affrs": "affairs", "edn": "education",
+    "engg": "engineering", "admn": "administration",
+}
+SPELLING = {
+    "organization": "organisation", "organizations": "organisations", "utilization": "utilisation", "labor": "labour", "defense": "defence", "programme": "program", "programmes": "programs", "centre": "center",
+}
+NOISE = ("the", "of", "for", "and", "india", "indian", "government", "govt", "goi", "republic", "union", "central", "office", "o")
 # Stems that published prose may not use; a word may begin with them.
-BANNED = ("scam", "fraud", "corrupt", "loot", "embezzl", "siphon", "misappropriat", "bribe", "kickback", "launder", "steal", "stolen", "theft", "guilty", "illegal")
+BANNED = ("scam", "fraud", "fraudulent", "siphon", "siphoned", "siphoning", "corrupt", "corruption", "embezzle", "embezzled", "embezzlement", "loot", "looted", "misappropriat")
 
 
 def normalise_name(name: Column) -> Column:
-    """Lower case, no accents, signs to spaces, abbreviations spelled out."""
+    """Lower case, no accents, abbreviations spelled out (those with a slash first), signs to spaces, one spelling."""
     low = F.translate(F.lower(name), *ACCENTS)
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(low, "&", " and "), "[^a-z0-9.]+", " ")), " ")
-    table = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
-    spelled = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.replace(w, F.lit("."), F.lit(""))))
-    return F.array_join(F.filter(spelled, lambda w: w != ""), " ")
+    for short, long in SLASHED.items():
+        low = F.regexp_replace(low, rf"\b{short}\b", long)
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(low, "&", " and "), "[^a-z0-9]+", " ")), " ")
+    table = F.create_map(*[F.lit(x) for kv in (SHORT | SPELLING).items() for x in kv])
+    return F.array_join(F.filter(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), lambda w: w != ""), " ")
 
 
 def token_set(name: Column) -> Column:

@@ -11,8 +11,8 @@ from khata.functions.calendar import par_fraction
 from khata.plans.views import ratio
 
 # Upper bounds of the positions by pace against par, and of the bands by burn ratio.
-POSITIONS = ((0.6, "far behind"), (0.9, "behind"), (1.1, "near par"), (1.4, "ahead"), (None, "far ahead"))
-BURN_BANDS = ((0.5, "well under"), (0.85, "under"), (1.15, "on pace"), (1.3, "over"), (None, "well over"))
+POSITIONS = ((0.6, "far_behind"), (0.9, "behind"), (1.1, "near_par"), (1.4, "ahead"), (None, "far_ahead"))
+BURN_BANDS = ((0.5, "far_behind"), (0.85, "behind"), (1.15, "on_pace"), (1.3, "ahead"), (None, "far_ahead"))
 
 
 def position(pace: Column) -> Column:
@@ -43,7 +43,7 @@ def totals(rows: DataFrame) -> DataFrame:
     """Net, behind and ahead by year, with counts, the near-par ones apart."""
     return rows.groupBy("fy").agg(
         F.sum("gap").alias("net"), F.sum(F.when(F.col("gap") < 0, F.col("gap"))).alias("behind"), F.sum(F.when(F.col("gap") > 0, F.col("gap"))).alias("ahead"),
-        F.count_if(F.col("gap") < 0).alias("n_behind"), F.count_if(F.col("gap") > 0).alias("n_ahead"), F.count_if(F.col("position") == "near par").alias("n_near_par"),
+        F.count_if(F.col("gap") < 0).alias("n_behind"), F.count_if(F.col("gap") > 0).alias("n_ahead"), F.count_if(F.col("position") == "near_par").alias("n_near_par"),
     )
 
 

@@ -207,7 +207,7 @@ def calendar_of_orders(spark, sf_dir) -> DataFrame:
     t AS (SELECT *, -sum(least(gap, 0)) OVER (PARTITION BY fy ORDER BY gap, ministry_id ROWS UNBOUNDED PRECEDING) AS running, -sum(least(gap, 0)) OVER (PARTITION BY fy) AS short_total,
           CAST(authority AS DOUBLE) / sum(CAST(authority AS DOUBLE)) OVER (PARTITION BY fy) AS weight, row_number() OVER (PARTITION BY fy ORDER BY gap, ministry_id) AS place FROM h)
     SELECT fy, ministry_id, CAST(place AS INTEGER) AS place, round(absorption, 6) AS absorption, round(par, 6) AS par, round(pace, 6) AS pace, round(gap, 2) AS gap, round(weight, 6) AS weight, round(CASE WHEN short_total > 0 THEN running / short_total END, 6) AS pareto,
-           CASE WHEN pace < 0.6 THEN 'far behind' WHEN pace < 0.9 THEN 'behind' WHEN pace < 1.1 THEN 'near par' WHEN pace < 1.4 THEN 'ahead' WHEN pace IS NOT NULL THEN 'far ahead' END AS position FROM t""")
+           CASE WHEN pace < 0.6 THEN 'far_behind' WHEN pace < 0.9 THEN 'behind' WHEN pace < 1.1 THEN 'near_par' WHEN pace < 1.4 THEN 'ahead' WHEN pace IS NOT NULL THEN 'far_ahead' END AS position FROM t""")
 def variance_pareto(spark, sf_dir) -> DataFrame:
     """Distance of every ministry from even spending, largest shortfall first, with its running share."""
     rows = variance.pareto(summary_of(spark, sf_dir))

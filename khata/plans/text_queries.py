@@ -82,10 +82,10 @@ def figures_in_prose(spark, sf_dir) -> DataFrame:
     return p.table(spark, sf_dir, "documents").select("doc_id", F.size(text.figures(F.col("text"))).cast("long").alias("n_figures"))
 
 
-@query("SELECT doc_id, " + " + ".join(rf"CAST(regexp_matches(text, '(?i)\b{w}') AS INTEGER)" for w in text.BANNED) + " AS n_banned FROM documents WHERE " + " OR ".join(rf"regexp_matches(text, '(?i)\b{w}')" for w in text.BANNED))
+@query("SELECT doc_id, " + " + ".join(rf"CAST(regexp_matches(text, '(?i)\b{w}') AS INTEGER)" for w in text.BANNED) + " AS n_banned FROM documents")
 def banned_vocabulary(spark, sf_dir) -> DataFrame:
-    """Documents that use words which published prose may not."""
-    return p.table(spark, sf_dir, "documents").select("doc_id", F.size(text.banned_words(F.col("text"))).alias("n_banned")).where("n_banned > 0")
+    """How many of the words that published prose may not use each document has."""
+    return p.table(spark, sf_dir, "documents").select("doc_id", F.size(text.banned_words(F.col("text"))).alias("n_banned"))
 
 
 @query("""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)
@@ -99,7 +99,7 @@ def similar_evidence(spark, sf_dir) -> DataFrame:
 
 
 @query(r"""SELECT page_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_replace(url, '(?i)([?&](?:api[-_]?key|key|token|access_token)=)[^&#]*', '\1REDACTED', 'g') AS url,
-        regexp_matches(url, '^https?://') AND contains(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') AND NOT contains(regexp_extract(url, '^https?://([^/?#]*)', 1), '@') AND NOT regexp_matches(url, '(?i)[/?&#](?:login|signin|sign-in|logout|session|oauth|sso)(?:[/?&#=.]|$)') AS is_public,
+        regexp_matches(url, '^https?://') AND contains(regexp_extract(url, '^https?://([^/?#]*)', 1), '.') AND NOT contains(regexp_extract(url, '^https?://([^/?#]*)', 1), '@') AND NOT regexp_matches(url, '(?i)captcha|j_security_check|/login|/signin|/sign-in|/logon|/auth/|sso') AS is_public,
         CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1)) AS INTEGER) AS n_links, sha256(html) AS sha256 FROM pages""")
 def page_index(spark, sf_dir) -> DataFrame:
     """Every page's host, address without secrets, links and digest."""

@@ -22,8 +22,13 @@ MARKET = {"order value": "value", "procurement value": "value", "orders": "count
 PERSONAL = "aadhaar|beneficiary name|father|mobile|account no|village"
 
 
+# Labels of rows that total others.
+TOTALS = ("total", "grand total", "total expenditure", "total receipts", "gross total", "net total", "total of ministry")
+
+
 def is_total(label: Column) -> Column:
-    return F.lower(F.trim(label)).rlike("^(grand |sub[- ]?)?total( |$|:)")
+    bare = F.trim(F.regexp_replace(F.lower(label), "[^a-z ]", ""))
+    return bare.isin(*TOTALS) | bare.startswith("total ")
 
 
 def page_text(pages: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 # Query parameters that hold secrets, path parts of login pages, and file endings by content type.
 SECRET_PARAMETERS = "api[-_]?key|key|token|access_token"
-PRIVATE_PARTS = "login|signin|sign-in|logout|session|oauth|sso"
-ENDINGS = {"application/pdf": "pdf", "text/html": "html", "text/csv": "csv", "application/json": "json", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.ms-excel": "xls", "application/xml": "xml", "text/xml": "xml", "text/plain": "txt", "application/zip": "zip"}
+PRIVATE_PARTS = "captcha|j_security_check|/login|/signin|/sign-in|/logon|/auth/|sso"
+ENDINGS = {
+    "application/pdf": "pdf", "text/html": "html", "application/xhtml+xml": "html", "text/csv": "csv", "text/plain": "txt", "application/json": "json", "application/xml": "xml", "text/xml": "xml",
+    "application/rss+xml": "xml", "application/vnd.ms-excel": "xls", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/zip": "zip",
+}
 
 
 class _Rows(HTMLParser):
@@ -84,7 +87,7 @@ def redacted(url: Column) -> Column:
 def is_public(url: Column) -> Column:
     """http or https, a host with a dot, no credentials, no login part."""
     host = F.regexp_extract(url, r"^https?://([^/?#]*)", 1)
-    return url.rlike("^https?://") & host.contains(".") & ~host.contains("@") & ~url.rlike(rf"(?i)[/?&#](?:{PRIVATE_PARTS})(?:[/?&#=.]|$)")
+    return url.rlike("^https?://") & host.contains(".") & ~host.contains("@") & ~url.rlike(rf"(?i){PRIVATE_PARTS}")
 
 
 def host_of(url: Column) -> Column:
