@@ -6,9 +6,11 @@ of two lines that close, the later holds one of the other's segments unchanged,
 match, the substrings at which such a segment may stand. Candidates are verified by banded bit-parallel
 edit distance.
 
-Where one segment is shared by very many lines (templates), pairs within the group are not made. Such
-groups are joined on the lines with one character taken out, which are equal just where two lines lie
-within one edit, and the smallest of each such group is found by aggregation alone.
+Where one segment is shared by very many lines (templates), pairs within the group are not made. With one
+edit, all of two lines but the window that holds it is unchanged, so the lines of such groups are keyed
+anew by all that lies outside each of many small windows. Groups that are large even so are joined on
+the lines with one character taken out, which are equal just where two lines lie within one edit, and the
+smallest of each is found by aggregation alone.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import SPACES, documents, keep, small, table
 EDITS = 1
 #: Shorter lines are only compared for equality: an edit would be a large part of them.
 LEAST = 20
-#: Lines that share a segment, beyond which the group is joined without pairs.
-HOT = 400
+#: Lines that share a key, beyond which the group is keyed more finely; windows of the finer keys.
+HOT, WINDOWS = 64, 32
 
 
 def normalised(line: Column) -> Column:
@@ -109,6 +111,13 @@ def probes(line: Column, n: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
+def windows(line: Column, n: Column, shorter: int, count: int) -> Column:
+    """Keys of all but one window of the line of length n, as a line shorter by 0 or 1 would have them."""
+    m = n - shorter
+    at = lambda q: F.floor(m * q / count).cast("int")
+    return F.array(*[F.xxhash64(m, F.lit(q), F.substring(line, F.lit(1), at(q)), F.substring(line, at(q + 1) + (shorter + 1), n)) for q in range(count)])
+
+
 def _hot_links(lines: DataFrame) -> DataFrame:
     """Ids of lines(id, line, place) that lie within one edit of one of an earlier place, without making pairs.
 
@@ -133,15 +142,25 @@ def near_lines(lines: DataFrame, keys: DataFrame, edits: int = EDITS, hot: int =
     """
     index = keys.select(F.explode("segments").alias("key"), F.col("id").alias("a"))
     asks = keys.select(F.explode("probes").alias("key"), F.col("id").alias("b"))
-    found = None
+    meet = lambda index, asks: index.join(asks, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crowded = lambda index: small(keep(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")))
+    inside = lambda index, asks, crowd: keep(index.join(crowd, "key", "left_semi").select(F.col("a").alias("id")).union(asks.join(crowd, "key", "left_semi").select("b")).distinct())
+    found = fine = None
     if edits == 1:
-        crowded = keep(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
-        if not crowded.isEmpty():
-            crowd = small(crowded)
-            members = keep(index.join(crowd, "key", "left_semi").select(F.col("a").alias("id")).union(asks.join(crowd, "key", "left_semi").select("b")).distinct())
-            found = _hot_links(lines(members).join(keys.select("id", "place"), "id"))
+        crowd = crowded(index)
+        if not crowd.isEmpty():
+            own = keep(lines(inside(index, asks, crowd)).join(keys.select("id", "place"), "id"))
             index = index.join(crowd, "key", "left_anti")
-    pairs = keep(index.join(asks, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            line, n = F.col("line"), F.length("line")
+            fine_index = own.select(F.explode(windows(line, n, 0, WINDOWS)).alias("key"), F.col("id").alias("a"))
+            fine_asks = own.select(F.explode(F.concat(windows(line, n, 0, WINDOWS), windows(line, n, 1, WINDOWS))).alias("key"), F.col("id").alias("b"))
+            crowd = crowded(fine_index)
+            if not crowd.isEmpty():
+                found = _hot_links(own.join(inside(fine_index, fine_asks, crowd), "id", "left_semi"))
+                fine_index = fine_index.join(crowd, "key", "left_anti")
+            fine = meet(fine_index, fine_asks)
+    pairs = meet(index, asks)
+    pairs = keep((pairs.union(fine) if fine is not None else pairs).distinct())
     text = keep(lines(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).join(keys.select("id", "place"), "id"))
     side = lambda c: text.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
