@@ -119,8 +119,9 @@ def edited(line, r):
     return "".join(line)
 
 
-@pytest.mark.parametrize("edits, hot", [(1, 400), (1, 2), (2, 400)])
-def test_line_dedup(spark, nothing, edits, hot):
+@pytest.mark.parametrize("edits, hot, windows", [(1, 400, 32), (1, 1, 4), (1, 3, 32), (2, 400, 32)])
+def test_line_dedup(spark, nothing, monkeypatch, edits, hot, windows):
+    monkeypatch.setattr(line_dedup, "WINDOWS", windows)
     r = random.Random(3)
     base = ["".join(r.choice("abcdefg ") for _ in range(r.randrange(18, 36))) for _ in range(20)]
     rows = [(d * 7 % 40, "\n".join(edited(r.choice(base), r) for _ in range(5))) for d in range(40)] + [(100, None), (101, ""), (102, "\n\n x"), (None, base[0])]
