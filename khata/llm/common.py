@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,25 @@ from pyspark.sql import functions as F
 #: one or two 64-bit columns (32 MB); beyond it the same join is a shuffle join.
 BROADCAST_ROWS = 2_000_000
 
+#: Rows of the batches that go to Python workers: texts are long, and two batches are held at a time.
+BATCH_ROWS = 1000
+
 #: The bytes of the class [\x20\x09-\x0D], which separate words throughout.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(owner, make):
+    """make() of the operator that last ran in this Python worker; workers live on, so others' memories go."""
+    if owner not in _REMEMBERED:
+        _REMEMBERED.clear()
+        pa.default_memory_pool().release_unused()
+        _REMEMBERED[owner] = make()
+    return _REMEMBERED[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,8 +65,16 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_ROWS rows, so that a worker's memory doesn't follow its partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and whole text (null: empty), so that other columns can't clash."""
+    """doc_id and whole text (null: empty), so that other columns can't clash; batches of them are short."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, keep, small, table, without_ids
+from .common import components, documents, keep, remembered, small, table, without_ids
 
 WORDS, PERCENT = 5, 80
 #: Part of all hashes that comes first in the order, by rarity.
@@ -31,7 +31,16 @@ FIRST = 0.3
 #: Nodes of a shingle whose pairs are made; nodes of a block (a tile is two blocks at most).
 FEW, BLOCK = 8, 2048
 
-_HASHES: dict[bytes, int] = {}
+#: Words whose hashes a worker keeps; beyond it the memory starts anew.
+MEMORY = 200_000
+
+
+class Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -41,15 +50,10 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(found) < words:
         return np.array([xxhash.xxh64_intdigest(b" ".join(found), 1)], np.uint64)
-    if len(_HASHES) > 500_000:
-        _HASHES.clear()
-    hashes = []
-    for w in found:
-        h = _HASHES.get(w)
-        if h is None:
-            h = _HASHES[w] = xxhash.xxh64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, np.uint64)
+    known = remembered("shingles", Hashes)
+    if len(known) > MEMORY:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     n = len(h) - words + 1
     mixed = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, table
+from . import common
+from .common import documents, remainder, remembered
 
 DIMENSIONS = 4096
 SYMBOLS = 32  # 0: no letter, 1-26: a-z, 27-31: other letters, by a hash of the lower-case letter
@@ -36,22 +37,18 @@ def letter_codes() -> np.ndarray:
     return codes
 
 
-_CODES: list[np.ndarray] = []
-
-
 def trigram_counts(text: str) -> np.ndarray | None:
     """Counts of all trigrams of symbols that hold a letter; None if the text has no letter."""
-    if not _CODES:
-        _CODES.append(letter_codes())
+    table = remembered("letters", letter_codes)
     total, letters, tail = np.zeros(SYMBOLS**3, np.int64), False, np.zeros(1, np.int32)
     for at in range(0, len(text), STEP):
         part = text[at : at + STEP]
         points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
         if part.isascii() or points.max(initial=0) < 65536:
-            codes = _CODES[0][points]
+            codes = table[points]
         else:
             wide = points >= 65536
-            codes = _CODES[0][np.minimum(points, 65536)]
+            codes = table[np.minimum(points, 65536)]
             codes[wide] = [31 * chr(p).isalpha() for p in points[wide]]
         letters |= bool(codes.any())
         codes = np.concatenate([tail, codes, np.zeros(int(at + STEP >= len(text)), np.int32)])
@@ -111,6 +108,7 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -> Profi
         for lang, own in counts.items():
             yield pd.DataFrame({"lang": lang, "place": np.arange(dimensions), "value": bundle(own, vectors).astype("int64")})
 
+    common.short_batches(rows.sparkSession)
     labelled = rows.where("lang is not null and text is not null").select("text", "lang")
     sums = labelled.mapInPandas(bundles, "lang string, place int, value long").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("v")).orderBy("lang").collect()
@@ -146,6 +144,6 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = common.table(spark, sf_dir, "documents")
     profiles = train(docs.where(remainder(F.col("doc_id"), 5) != 0))
     return predict(docs, profiles).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")

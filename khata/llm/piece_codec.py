@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, table
+from .common import documents, remembered, table
 from .tokens import in_parts
 
 MEMORY = 400_000
@@ -185,13 +185,9 @@ class Codec:
         return self.library.decode(ids)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """One for each worker process."""
+    return remembered(path, lambda: Codec(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, remembered, short_batches, table
 
 # The three base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -171,8 +171,12 @@ def scan(docs: DataFrame, least: float = GUESSES) -> DataFrame:
 def redact(docs: DataFrame, least: float = GUESSES, mask: str = "[secret]") -> DataFrame:
     """docs with every secret in text replaced by mask; overlapping spans by one. A null text stays null."""
 
+    short_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
+        remembered("secrets", dict)  # nothing to keep, and nothing of others
+
         def one(text):
             if text is None:
                 return None

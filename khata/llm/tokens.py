@@ -11,10 +11,12 @@ import os
 import re
 from array import array
 
+from .common import remembered
+
 #: White space of the Unicode property White_Space, as the tokenizers' patterns read it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Chunks kept by each worker; beyond it the memory starts anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
 class Encoder(dict):
@@ -87,14 +89,9 @@ class Encoder(dict):
         return [b"".join(map(known, self.split(t))) for t in texts]
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
     """One for each worker process."""
-    if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
-    return _ENCODERS[path, kind]
+    return remembered((path, kind), lambda: Encoder(path, kind))
 
 
 def in_parts(texts: list[str], most: int = 2_000_000):
