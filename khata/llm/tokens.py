@@ -2,7 +2,9 @@
 
 No pre-token of the two tokenizers spans the place where a space meets the word before it, so a text
 falls into chunks that are encoded apart, and each different chunk is encoded once per worker. A
-chunk's ids are kept as little-endian unsigned 32-bit bytes, and those of a text are their join.
+chunk's ids are kept as little-endian unsigned 32-bit bytes, and those of a text are their join. A text
+that holds one of the tokenizer's added tokens goes to the library whole: they match before all else, also
+inside words, and end the runs of spaces beside them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Any text may hold an added token that matches normalised text.
+        self.always_whole = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
+        self.added = [t.content if kind == "byte" else t.content.encode().lower().decode() for t in added]
         self.spaced = kind == "byte"
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if self.spaced else f"[^{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the patterns do not
@@ -74,9 +79,13 @@ class Encoder(dict):
         found = self.chunks.findall(text)
         return [c[1:] if c[0] == " " and (c == " " or c[-1] != " ") else f"{c} " for c in found] if self.spaced else found
 
-    def split(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str] | None:
+        """The text's chunks; None if it must be encoded whole."""
+        if not self.spaced:
+            text = text.encode().lower().decode()  # also what only now looks like an added token may not stand in a chunk
+        if self.always_whole or any(t in text for t in self.added):
+            return None
         if not self.spaced:
-            text = text.encode().lower().decode()
             return self.split_odd(text) if self.odd.search(text) else text.split()
         if "  " in text or text.endswith(" "):
             return self.split_odd(text)
@@ -84,9 +93,12 @@ class Encoder(dict):
         words[0] += " "
         return words
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.__getitem__
-        return [b"".join(map(known, self.split(t))) for t in texts]
+        return [self.whole(t) if (chunks := self.split(t)) is None else b"".join(map(known, chunks)) for t in texts]
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from khata.llm import exact_dedup, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, token_files
+from khata.llm import exact_dedup, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, token_files, tokens
 from khata.llm.common import components, scratch
 
 WORDS = "the of and to in that is was for on are with his they der die und das von zu mit sich des auf le la les et des en un une que el los las por con para".split()
@@ -226,6 +226,27 @@ def test_token_files(spark, docs, nothing):
     assert token_files.read_tokens(spark, empty).count() == 0
 
 
+ADDED = ["a <|endoftext|> b", "A  \n  <|endoftext|>B", "x<|startoftext|>y<|endoftext|>", "<|ENDOFTEXT|> Up", "<|endoftext|>", " <|endoftext|> ", "<|endof text|> <|", "no token", "İ <|startoftext|> ΣΑΣ"]
+
+
+@pytest.mark.parametrize("kind, name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_added_tokens_are_the_librarys(spark, kind, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    library = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ADDED]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens.Encoder(path, kind).encode(ADDED)] == library
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    if kind == "byte":
+        folder = scratch(spark)
+        token_files.write_tokens(docs, folder, path)
+        rows = token_files.read_tokens(spark, folder).orderBy("start").collect()
+        assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(x) + 1, crc([*x, 2])) for x in library]
+    else:
+        rows = packing.pack_documents(docs, path).orderBy("doc_id").collect()
+        assert [(r.length, r.ids_crc32) for r in rows] == [(len(x) + 1, crc([*x, 0])) for x in library]
+
+
 def test_secrets(docs, nothing):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in secrets.scan(docs.where("doc_id < 20")).collect():
