@@ -39,15 +39,29 @@ WORDS = (
     "spring autumn monday friday january default changeme example sample token key demo temp none null true false public private "
     "server client data base mail web home work love god the and for you not this that with from your have are was but all can"
 ).split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+
+
+class Words:
+    """Words by rank, from 1, and how long those are that begin with two characters."""
+
+    def __init__(self, more: list[str] = ()):
+        self.rank: dict[str, int] = {}
+        self.longest: dict[str, int] = {}
+        for w in (*WORDS, *more):
+            if w not in self.rank:
+                self.rank[w] = len(self.rank) + 1
+                self.longest[w[:2]] = max(len(w), self.longest.get(w[:2], 0))
+
+    def reach(self, *heads: str) -> int:
+        return max(self.longest.get(h, 0) for h in heads)
+
+
+GUESSERS = Words()
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 LEET = str.maketrans("4@310$57!", "aaeiosstl")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
-#: Longer values are cut into parts of so many characters, whose costs add.
-LONG = 256
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 #: log10 of the guesses from which a value is taken for a secret.
 GUESSES = 10.0
@@ -57,53 +71,101 @@ def _class(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation of value; 0 for the empty value.
+def guess_cost(value: str, least: float = GUESSES, words: Words | None = None) -> float:
+    """log10 of the guesses of the cheapest segmentation of value, or inf once that can't be below least; 0 for the empty value.
 
-    With k parts the guesses are the product of the parts' guesses times k factorial.
+    With k parts the guesses are the product of the parts' guesses times k factorial, which bounds k. One
+    pass keeps the costs at an end, those of spans that end later, and the repeats that are still open.
     """
     n = len(value)
     if not n:
         return 0.0
-    if n > LONG:
-        return guess_cost(value[:LONG]) + guess_cost(value[LONG:])
+    words = words or GUESSERS
+    orders = [0.0, 0.0]  # log10 of k factorial
+    while orders[-1] + math.log10(len(orders)) < least:
+        orders.append(orders[-1] + math.log10(len(orders)))
+    room = [least - x for x in orders]  # what k parts may cost
+    parts, inf = range(1, len(orders)), math.inf
     low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    spans: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start, cost
-    for i in range(n):
-        for j in range(i + 2, min(n, i + LONGEST) + 1):  # words, in any case or with look-alikes
-            if (rank := RANK.get(low[i:j])) or (rank := RANK.get(plain[i:j])):
-                changes = sum(c.isupper() for c in value[i:j]) + sum(a != b for a, b in zip(low[i:j], plain[i:j]))
-                spans[j].append((i, math.log10(rank) + math.log10(2) * changes))
-        if m := DATE.match(value, i):  # some day of a century, or a year
-            spans[m.end()].append((i, math.log10(365 * 100 if len(m[0]) > 4 else 100)))
-        for size in range(1, min(8, (n - i) // 2) + 1):  # repeats of a unit
-            unit, j = value[i : i + size], i + size
-            while value.startswith(unit, j):
-                j += size
-                spans[j].append((i, size * math.log10(_class(unit[0])) + math.log10((j - i) // size)))
+    cost = [0.0] + [inf] * (len(orders) - 1)  # by parts: cheapest cut of value[:e], a brute-force span being one part
+    brute = [inf] * len(orders)  # the last part is a brute-force span
+    later: dict[int, list[float]] = {}  # costs at later ends
+    runs: dict[tuple[int, int], list[list[tuple[float, int]]]] = {}  # open repeats by size and place modulo size; by parts: costs of units and starts
+
+    def to(end: int, more: float) -> None:
+        own = later.get(end)
+        for k in parts:
+            if (c := cost[k - 1] + more) < room[k]:
+                if own is None:
+                    own = later[end] = [inf] * len(orders)
+                if c < own[k]:
+                    own[k] = c
+
+    for e in range(n + 1):
+        if e:
+            rate = math.log10(_class(value[e - 1]))
+            brute = [inf] + [c if (c := min(brute[k], cost[k - 1]) + rate) < room[k] else inf for k in parts]
+            cost = brute if (own := later.pop(e, None)) is None else [min(x, y) for x, y in zip(brute, own)]
+            for size in range(1, 9) if runs else ():
+                if (open_runs := runs.get((size, e % size))) is None:
+                    continue
+                if value[e - size : e] != value[e - 2 * size : e - size]:  # ended; one that begins here goes on
+                    if any(own_run := [[x for x in by if x[1] == e - size] for by in open_runs]):
+                        runs[size, e % size] = own_run
+                    else:
+                        del runs[size, e % size]
+                    continue
+                cost, some = list(cost), False
+                for k in parts:
+                    if not open_runs[k]:
+                        continue
+                    left: list[tuple[float, int]] = []
+                    best = inf
+                    for base, i in open_runs[k]:  # by start; once an earlier start is as cheap, it stays so
+                        repeats = (e - i) // size
+                        now = base + math.log10(repeats)
+                        if now < room[k] and now < best:
+                            best = now
+                            if repeats > 1:
+                                while left and left[-1][0] >= base:
+                                    left.pop()
+                                cost[k] = min(cost[k], now)
+                            left.append((base, i))
+                    open_runs[k] = left
+                    some |= bool(left)
+                if not some:
+                    del runs[size, e % size]
+            if not later and not runs and min(cost) == inf:
+                return inf
+        if e == n:
+            break
+        if min(cost) == inf:
+            continue
+        for j in range(e + 2, min(n, e + words.reach(low[e : e + 2], plain[e : e + 2])) + 1):  # words, in any case or with look-alikes
+            if (rank := words.rank.get(low[e:j])) or (rank := words.rank.get(plain[e:j])):
+                changes = sum(c.isupper() for c in value[e:j]) + sum(a != b for a, b in zip(low[e:j], plain[e:j]))
+                to(j, math.log10(rank) + math.log10(2) * changes)
+        if m := DATE.match(value, e):  # some day of a century, or a year
+            to(m.end(), math.log10(365 * 100 if len(m[0]) > 4 else 100))
+        for size in range(1, min(8, (n - e) // 2) + 1):  # repeats of a unit that is none itself
+            unit = value[e : e + size]
+            if value.startswith(unit, e + size) and not any(size % x == 0 and unit == unit[:x] * (size // x) for x in range(1, size // 2 + 1)):
+                rate = size * math.log10(_class(value[e]))
+                own_run = runs.setdefault((size, e % size), [[] for _ in orders])
+                for k in parts:
+                    if (c := cost[k - 1] + rate) < room[k]:
+                        own_run[k].append((c, e))
+                if not any(own_run):
+                    del runs[size, e % size]
         for step in (1, -1):  # walks along a row of the keyboard, or up and down the codes
             for near in (True, False):
-                j = i + 1
+                j = e + 1
                 while j < n and _follows(low[j - 1], low[j], step, near):
                     j += 1
-                    if j - i >= 3:
-                        spans[j].append((i, math.log10(len(PLACE) * 2 * (j - i))))
-    # cost[e][k]: cheapest cut of value[:e] into k parts, a brute-force span being one part.
-    most = min(n, 12)
-    inf = math.inf
-    cost = [[inf] * (most + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
-    open_brute = [[inf] * (most + 1) for _ in range(n + 1)]  # the last part is a brute-force span
-    for e in range(1, n + 1):
-        rate = math.log10(_class(value[e - 1]))
-        for k in range(1, most + 1):
-            open_brute[e][k] = min(open_brute[e - 1][k], cost[e - 1][k - 1]) + rate
-            best = open_brute[e][k]
-            for start, c in spans[e]:
-                best = min(best, cost[start][k - 1] + c)
-            cost[e][k] = best
-    return min(c + math.log10(math.factorial(k)) for k, c in enumerate(cost[n]) if c < inf)
+                    if j - e >= 3:
+                        to(j, math.log10(len(PLACE) * 2 * (j - e)))
+    return min(c + x for c, x in zip(cost, orders))
 
 
 def _follows(a: str, b: str, step: int, near: bool) -> bool:

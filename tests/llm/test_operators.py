@@ -270,6 +270,15 @@ def test_guess_cost():
     assert not secrets.guess_spans("the token is something and the password is wonderful") and secrets.guess_spans("pwd: x7Kq9vTz2Lm4")
 
 
+def test_guess_cost_of_long_values(spark):
+    assert secrets.guess_cost("a" * 100_000) == pytest.approx(math.log10(26) + 5) and secrets.guess_cost("ab1" * 1000) < secrets.GUESSES
+    blob = "x7Kq9vTz2Lm4" + "aB3$" * 250_000
+    assert secrets.guess_spans("token: " + blob) == [(7, 3, 7 + len(blob))]
+    assert not secrets.guess_spans("token: " + "ab1" * 2000)
+    long = spark.createDataFrame([(1, "pwd: " + "Qz7" * 340_000)], "doc_id long, text string")
+    assert secrets.scan(long).first().n_spans == 0
+
+
 def test_language_id(spark, nothing, docs):
     vocabulary = {"en": "the and that with from have this there".split(), "de": "und der die nicht eine sich auch schön".split(), "fr": "les des que être dans pour avec où".split()}
     rows = [(k, prose(40, k, w), lang) for n, (lang, w) in enumerate(vocabulary.items()) for k in range(n, 90, 3)] + [(900, None, "en"), (901, "12 34", "de"), (902, "", None)]
