@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +40,9 @@ WORDS = (
     "spring autumn monday friday january default changeme example sample token key demo temp none null true false public private "
     "server client data base mail web home work love god the and for you not this that with from your have are was but all can"
 ).split()
+#: Words of the documents that guessers try after them: the most frequent ones, which stand in so many texts at least.
+KNOWN, LEAST_TEXTS, LONGEST = 50_000, 2, 32
+WORD = re.compile(r"[^\W\d_]+")
 
 
 class Words:
@@ -191,19 +195,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, least: float = GUESSES) -> list[tuple[int, int, int]]:
-    """Values of a credential context whose guess cost is at least 10 ** least."""
+def credentials(text: str):
+    """Matches of CONTEXT."""
     low = text.lower()
-    if not any(w in low for w in CONTEXT_HINTS):
-        return []
+    return CONTEXT.finditer(text) if any(w in low for w in CONTEXT_HINTS) else ()
+
+
+def guess_spans(text: str, least: float = GUESSES, words: Words | None = None) -> list[tuple[int, int, int]]:
+    """Values of a credential context whose guess cost is at least 10 ** least.
+
+    Without the documents' words prose can't be told from secrets, and only values with a letter and a digit count.
+    """
     found = []
-    for m in CONTEXT.finditer(text):
+    for m in credentials(text):
         value = m[1].rstrip(".,;:!?)]}")
-        if LETTER.search(value) and DIGIT.search(value) and guess_cost(value) >= least:  # words of prose have no digits
+        judged = value
+        if words is None:
+            if not (LETTER.search(value) and DIGIT.search(value)):
+                continue
+        elif value == m[1] and (rest := WORD.match(text, m.end(), m.end() + LONGEST)):
+            judged += rest[0]  # the value ends inside a word, before a letter beyond ASCII
+        if guess_cost(judged, least, words) >= least:
             found.append((m.start(1), 3, m.start(1) + len(value)))
     return found
 
 
+def words_of(docs: DataFrame) -> Words:
+    """The guessers' words and the KNOWN most frequent ones of all texts, by the number of texts that hold them.
+
+    Values of a credential context are not counted, so that secrets don't become words.
+    """
+
+    def count(batches):
+        seen: Counter[str] = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), "string"), pa.array(list(seen.values()), "int64")], names=["word", "n"])
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                parts, at = [], 0
+                for m in credentials(text):
+                    parts.append(text[at : m.start(1)])
+                    at = m.end()
+                seen.update({w for w in WORD.findall("".join([*parts, text[at:]]).lower()) if 1 < len(w) <= LONGEST})
+            if len(seen) > 200_000:
+                yield told()
+                seen.clear()
+        yield told()
+
+    counts = documents(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    most = counts.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(KNOWN)
+    return Words([r["word"] for r in most.collect()])  # at most KNOWN short rows
+
+
 def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -214,13 +256,14 @@ def scan(docs: DataFrame, least: float = GUESSES) -> DataFrame:
     Spans are kind:start:end in code points, by start, then kind. A null or empty text has none (the
     digest is that of the empty string). Repeated rows are each scanned; other columns are not read.
     """
+    known = docs.sparkSession.sparkContext.broadcast(words_of(docs))
 
     def run(batches):
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text)
-                every = sorted(base + guess_spans(text, least))
+                every = sorted(base + guess_spans(text, least, known.value))
                 kinds = [k for _, k, _ in base]
                 rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every)))
             columns = zip(*rows) if rows else [[]] * 6
@@ -234,6 +277,7 @@ def redact(docs: DataFrame, least: float = GUESSES, mask: str = "[secret]") -> D
     """docs with every secret in text replaced by mask; overlapping spans by one. A null text stays null."""
 
     short_batches(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(words_of(docs))
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -242,7 +286,7 @@ def redact(docs: DataFrame, least: float = GUESSES, mask: str = "[secret]") -> D
         def one(text):
             if text is None:
                 return None
-            spans = sorted(base_spans(text) + guess_spans(text, least))
+            spans = sorted(base_spans(text) + guess_spans(text, least, known.value))
             if not spans:
                 return text
             out, at, end = [], 0, -1

@@ -270,6 +270,24 @@ def test_guess_cost():
     assert not secrets.guess_spans("the token is something and the password is wonderful") and secrets.guess_spans("pwd: x7Kq9vTz2Lm4")
 
 
+PROSE = {
+    "en": "the password requires attention and the token represents something", "fr": "password: connaissance et token: gouvernement dans le passphrase: certainement",
+    "de": "pwd: Geschwindigkeitsbeschränkung und token: Zusammenarbeit oder bearer: wahrscheinlich", "es": "token: conocimiento y passphrase: administraciones para bearer: desarrollo",
+}
+OPEN = ["GxTqLmZrWvKpHsYb", "correct-Horse!Battery&staple", "kLmQwZxRtYvBnPsDfGh", "8841-2203-9917-3306"]
+
+
+def test_secrets_of_letters_or_digits_alone(spark):
+    words = " ".join(PROSE.values()).replace(":", " ") + " correct horse battery staple"
+    rows = [(1, words), (2, words), *((10 + k, t) for k, t in enumerate(PROSE.values())), *((20 + k, f"pwd: {v} end") for k, v in enumerate(OPEN)), (30, "passphrase is something")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    cleaned = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for k, v in enumerate(OPEN):
+        assert spans[20 + k] == f"guess:5:{5 + len(v)}" and cleaned[20 + k] == "pwd: [secret] end"
+    assert not any("guess" in spans[10 + k] for k in range(4)) and "guess" not in spans[30]
+
+
 def test_guess_cost_of_long_values(spark):
     assert secrets.guess_cost("a" * 100_000) == pytest.approx(math.log10(26) + 5) and secrets.guess_cost("ab1" * 1000) < secrets.GUESSES
     blob = "x7Kq9vTz2Lm4" + "aB3$" * 250_000
