@@ -4,25 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from khata.llm import exact_dedup, jaccard_join, language_id, packing, secrets
-from khata.llm.common import keep, table, without_ids
-
-#: A document goes when its language is predicted with less than this (chance is one by the number of languages).
-LEAST_SCORE = 0.3
+from khata.llm.common import keep, table
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents of no recognisable language: no letters, or hardly better than chance.
+    """Without documents of no recognisable language: no letters, or less like their best language than
+    nearly all labelled texts of that length.
 
-    Profiles are learned from all labelled rows; with none, every document stays.
+    Profiles and bounds are learned from all labelled rows; with none, only letterless documents go.
     """
-    profiles = language_id.train(docs)
-    if not profiles.languages:
-        return docs
-    guessed = language_id.predict(docs, profiles)
-    return without_ids(docs, guessed.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id"))
+    return language_id.recognisable(docs)
 
 
 def by_equality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ DIMENSIONS = 4096
 SYMBOLS = 32  # 0: no letter, 1-26: a-z, 27-31: other letters, by a hash of the lower-case letter
 SHARPNESS = 20.0
 STEP = 1_000_000  # characters looked at at once
+#: Lengths of the beginnings by which texts are judged, and the share of labelled ones that may fall below the bound.
+LENGTHS, TAIL = (16, 64, 256, 1024, 4096), 0.005
 
 
 def letter_codes() -> np.ndarray:
@@ -79,18 +81,33 @@ class Profiles:
     products: np.ndarray
     dimensions: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def cosines(self, text: str | None) -> np.ndarray | None:
+        """With the prototypes; None without a letter or a language."""
         counts = trigram_counts(text or "") if self.languages else None
         if counts is None:
-            return "und", 0.0
+            return None
         some = counts.nonzero()[0]
         own = counts[some].astype(float)
         # Random vectors are almost orthogonal: the bundle's squared norm is near dimensions * sum of squares.
-        cosines = own @ self.products[some] / np.sqrt(self.dimensions * (own @ own))
+        return own @ self.products[some] / np.sqrt(self.dimensions * (own @ own))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        cosines = self.cosines(text)
+        if cosines is None:
+            return "und", 0.0
         chances = np.exp(SHARPNESS * (cosines - cosines.max()))
         best = int(cosines.argmax())
         return self.languages[best], float(chances[best] / chances.sum())
 
+    def recognised(self, text: str | None, bounds: dict[tuple[int, int], float]) -> bool:
+        """Whether the best cosine reaches the bound of its language and the text's length; never without a letter."""
+        cosines = self.cosines(text)
+        if cosines is None:
+            return False
+        best = int(cosines.argmax())
+        own = [bounds[best, size] for size in LENGTHS if size <= len(text) and (best, size) in bounds]
+        return not own or bool(cosines[best] >= own[-1])
+
 
 def train(rows: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -> Profiles:
     """Profiles from all rows(text, lang) whose lang is not null; one bundle per task and language is summed.
@@ -128,6 +145,47 @@ def train(rows: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7) -> Profi
     return Profiles(languages, products.reshape(SYMBOLS**3, -1), dimensions)
 
 
+def least_cosines(rows: DataFrame, profiles: Profiles) -> dict[tuple[int, int], float]:
+    """Bounds by place of the best language and length: the TAIL quantile of the best cosines of the texts' beginnings.
+
+    From all rows(text, lang) whose lang is not null; what comes to the driver is one number per language and length.
+    """
+    model = rows.sparkSession.sparkContext.broadcast(profiles)
+
+    def measure(batches):
+        for batch in batches:
+            told = []
+            for text in batch["text"]:
+                for size in LENGTHS:
+                    if size <= len(text) and (cosines := model.value.cosines(text[:size])) is not None:
+                        told.append((int(cosines.argmax()), size, float(cosines.max())))
+            yield pd.DataFrame(told, columns=["best", "size", "cosine"])
+
+    common.short_batches(rows.sparkSession)
+    labelled = rows.where("lang is not null and text is not null").select("text")
+    told = labelled.mapInPandas(measure, "best int, size int, cosine double").groupBy("best", "size")
+    return {(r["best"], r["size"]): r["least"] for r in told.agg(F.percentile_approx("cosine", TAIL, 100_000).alias("least")).collect()}
+
+
+def recognisable(docs: DataFrame) -> DataFrame:
+    """Rows of docs(text, lang) whose text is in a language known from the labelled rows, each row by itself.
+
+    Letterless and null texts go, whatever is labelled; with no labelled rows every other one stays, and so do
+    texts too short to be told from chance (under the first of LENGTHS).
+    """
+    profiles = train(docs)
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    model = docs.sparkSession.sparkContext.broadcast((profiles, least_cosines(docs, profiles)))
+
+    @F.pandas_udf("boolean")
+    def told(texts: pd.Series) -> pd.Series:
+        known, bounds = model.value
+        return texts.map(lambda t: known.recognised(t, bounds)).astype(bool)
+
+    return docs.where(told("text"))
+
+
 def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row of docs(doc_id, text).
 

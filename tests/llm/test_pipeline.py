@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest table, against plain versions of their decisions."""
 
+import base64
+import random
 import re
 
 import pytest
@@ -64,3 +66,20 @@ def test_packed(stages):
     assert packed.select("doc_id").distinct().count() == stages[-2].count()
     per = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert per.where("n > 2048 or n != end").count() == 0
+
+
+def test_gibberish_goes(spark):
+    r = random.Random(4)
+    letters, mash = "abcdefghijklmnopqrstuvwxyz ", "asdfghjkl;qwer uiop"
+    odd = [*("".join(r.choice(kind) for _ in range(400)) for kind in (letters, mash, "абвгдежзиклмнопрст ") for _ in range(20)), *(base64.b64encode(r.randbytes(300)).decode() for _ in range(20)), "q" * 400]
+    short = ["the house and the garden", "der Mann und die Frau sind nicht hier", "les enfants et la maison", "el perro y los gatos de la casa", "Yes."]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate([*odd, *short, "12 -- 5"])], "doc_id long, text string, lang string")
+    left = corpus_pipeline.by_language(spark, docs.unionByName(more), SF)
+    ids = {x.doc_id for x in left.select("doc_id").collect()}
+    assert sum(10**6 + k in ids for k in range(len(odd))) <= 0.02 * len(odd) and 10**6 + len(odd) - 1 not in ids
+    assert all(10**6 + len(odd) + k in ids for k in range(len(short))) and len([i for i in ids if i < 10**6]) >= 0.99 * docs.where("text rlike '[a-zA-Z]'").count()
+    few = corpus_pipeline.by_language(spark, docs.where("lang in ('en', 'de')").unionByName(more), SF)
+    assert {x.doc_id for x in few.where("doc_id >= 1000000").collect()}.isdisjoint({10**6 + len(odd) - 1, 10**6 + len(odd) + len(short)})
+    bare = corpus_pipeline.by_language(spark, more, SF)
+    assert {x.doc_id for x in bare.collect()} == set(range(10**6, 10**6 + len(odd) + len(short)))
