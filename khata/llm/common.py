@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it has been counted and has at most this many rows of
-#: one or two 64-bit columns (32 MB); beyond it the same join is a shuffle join.
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is broadcast only when it has been measured and holds at most so many bytes; beyond
+#: it the same join is a shuffle join.
+BROADCAST_BYTES = 16 << 20
 
 #: Rows of the batches that go to Python workers: texts are long, and two batches are held at a time.
 BATCH_ROWS = 1000
@@ -37,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names, or in a local one where none is set."""
+    """A new path in the shared folder that the cluster names; a local one only in local mode where none is set."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='khata-')}"
         context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/khata-{uuid.uuid4().hex}"
@@ -54,15 +57,29 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The (kept, narrow) table with a broadcast hint if it is small enough, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The (kept) table with a broadcast hint if its values take up so many bytes at most, else as it is."""
+    wide = [F.sum(F.octet_length(f.name)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    n, *more = df.agg(F.count("*"), *wide).first()
+    size = n * 8 * len(df.columns) + sum(x or 0 for x in more)
+    return F.broadcast(df) if size <= most else df
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among ids(doc_id); texts are not shuffled while ids are few."""
-    gone = keep(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a number of its own for every row, and the name of that column.
+
+    Doc ids may be null or stand on several rows, so what is decided for a row is told by this number.
+    """
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+    """numbered() rows but for those of gone(gone), without their numbers; texts are not shuffled while few go."""
+    gone = keep(gone.select(F.col("gone").alias("__gone")))
+    return rows.join(small(gone), rows[name] == F.col("__gone"), "left_anti").drop(name)
 
 
 def short_batches(spark: SparkSession) -> None:

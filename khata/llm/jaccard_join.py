@@ -5,13 +5,13 @@ linked sets must share one of (prefix filtering). To order by rarity without cou
 the order begins with those whose hash lies below a fixed quantile, by their number of nodes, and
 goes on by hash; a prefix nearly always ends within the first part, so only that part is shuffled.
 
-Nodes that share a shingle of their prefixes are candidates. A shingle of few nodes gives their pairs,
-which are verified by the exact intersection of their sorted arrays. Shingles of many nodes are those
-of families of near copies, whose nodes share most of them: such families are compared in tiles, nodes
-sorted by size in blocks, block against block where sizes allow, so that each pair is met once and
-not once per shingle (or, where a family is wider than its shingles' groups, by shingle). In a tile, hashed
-bitmap signatures bound the overlap of all pairs from above; of those that pass, pairs not yet
-connected are verified exactly, likely ones first, so a tile yields a spanning forest of its links and
+Nodes that share a shingle of their prefixes are candidates: every such shingle makes a star of its nodes
+around the smallest of them, and stars that share nodes a family. A family whose stars overlap much is
+compared as a whole, so that each pair is met once, another one star by star. Either is cut into size
+bands, a band into blocks of bounded rows and bytes, and blocks of the same or of neighbouring bands
+meet in tiles; small families share a tile. In a tile, hashed bitmap signatures bound the overlap of all
+pairs from above by their bit counts; of those that pass, pairs not yet connected are verified by the exact
+intersection of their sorted arrays, likely ones first, so a tile yields a spanning forest of its links and
 not all of them.
 """
 
@@ -20,16 +20,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, keep, remembered, small, table, without_ids
+from .common import components, documents, keep, numbered, remembered, small, table, without_rows
 
 WORDS, PERCENT = 5, 80
 #: Part of all hashes that comes first in the order, by rarity.
 FIRST = 0.3
-#: Nodes of a shingle whose pairs are made; nodes of a block (a tile is two blocks at most).
-FEW, BLOCK = 8, 2048
+#: Nodes and shingles of a block at most (a tile is two blocks); a family with so few of both shares a tile.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+LIGHT, LIGHT_SHINGLES = 64, 500_000
+#: One node in so many is looked at to find keys of about HOT rows, which are aggregated apart.
+SAMPLED, HOT = 16, 512
 
 #: Words whose hashes a worker keeps; beyond it the memory starts anew.
 MEMORY = 200_000
@@ -77,8 +80,8 @@ def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(bits)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest of the set, the prefix to look at (signed hashes), how many of it lie in the first part."""
+def _sets(docs: DataFrame, more: list[str] = ()) -> DataFrame:
+    """doc_id, n, digest of the set, the prefix to look at (signed hashes), how many of it lie in the first part, and more columns (longs)."""
     limit = np.uint64(int(FIRST * 2**64))
 
     def run(batches):
@@ -93,11 +96,11 @@ def _sets(docs: DataFrame) -> DataFrame:
                 keys.append(own[: max(prefix, inside)].view(np.int64) if len(own) else own.view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, "int64"), pa.array(digest, "binary"), pa.array(first, "int64"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))],
-                names=["doc_id", "n", "digest", "first", "keys"],
+                [batch.column(0), pa.array(n, "int64"), pa.array(digest, "binary"), pa.array(first, "int64"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), *batch.columns[2:]],
+                names=["doc_id", "n", "digest", "first", "keys", *more],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, first long, keys array<long>")
+    return docs.mapInArrow(run, ", ".join(["doc_id long, n long, digest binary, first long, keys array<long>", *(f"{m} long" for m in more)]))
 
 
 def _arrays(docs: DataFrame) -> DataFrame:
@@ -115,10 +118,29 @@ def _arrays(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, shingles array<long>")
 
 
+def per_key(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """The (kept) rows(key, node, ...) with aggregates over all rows of their key.
+
+    A key of very many rows is never collected in one task: such keys are found among one node in SAMPLED, aggregated
+    where their rows lie, and their exact results joined back. Which way a key goes doesn't change its result.
+    """
+    some = rows.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)
+    hot = keep(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLED).select(F.col("key").alias("__key")))
+    alone = Window.partitionBy("key")
+    over = {name: agg.over(alone) for name, agg in aggregates.items()}
+    if hot.isEmpty():
+        return rows.withColumns(over)
+    hot = small(hot)
+    here = F.col("key") == F.col("__key")
+    many = rows.join(hot, here, "left_semi")
+    told = keep(many.groupBy(F.col("key").alias("__key")).agg(*(agg.alias(name) for name, agg in aggregates.items())))
+    return rows.join(hot, here, "left_anti").withColumns(over).unionByName(many.join(small(told), here).drop("__key"))
+
+
 def _prefixes(nodes: DataFrame) -> DataFrame:
     """(key, node, n) of the shingles in nodes' prefixes that more than one node looks at."""
     rows = nodes.select("node", "n", "first", F.explode("keys").alias("key"))
-    shared = rows.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    shared = per_key(rows, df=F.count("*")).where("df > 1")
     own = shared.groupBy("node").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
     prefix = F.col("n") - F.ceil(F.col("n") * PERCENT / 100).cast("long") + 1
     # Shingles that no other node has come first in the order; they use up part of the prefix.
@@ -134,23 +156,11 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-
-    def run(batches):
-        for batch in batches:
-            hits = [linked(x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hits, "bool"))
-
-    first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+def tile_links(node: np.ndarray, side: np.ndarray, arrays: list[np.ndarray]) -> tuple[list, list, int, int]:
+    """Edges a, b that connect what is linked across the two sides of a tile, or within its one side.
 
-def _tile(key, rows):
-    """Edges (a, b) that connect what is linked across the two sides of a tile, or within its one side."""
-    node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-    arrays = [x.values.to_numpy().view(np.uint64) for x in rows["shingles"].combine_chunks()]
+    Also how many pairs of fitting sizes met, and how many of them the bitmaps' bound cut.
+    """
     n = np.array([len(x) for x in arrays])
     order = np.lexsort((node, n))
     node, side, n, arrays = node[order], side[order], n[order], [arrays[k] for k in order]
@@ -160,8 +170,8 @@ def _tile(key, rows):
     ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
     one_side = bool((side == side[0]).all())
     root = np.arange(len(node))
-    a, b = [], []
-    for i in range(len(node)):
+    a, b, met, cut = [], [], 0, 0
+    for i in range(len(node) - 1):
         # Sizes are in order, so those that can link with i end where theirs gets too large.
         after = int(np.searchsorted(n, n[i] * 100 // PERCENT, "right"))
         others = np.arange(i + 1, after)
@@ -172,47 +182,72 @@ def _tile(key, rows):
         most = np.minimum(n[i] - ones[i] + both, n[others] - ones[others] + both)
         union = n[i] + n[others] - most
         fits = 100 * most >= PERCENT * union
+        met, cut = met + len(others), cut + len(others) - int(fits.sum())
         for j in others[fits][np.argsort(-(most[fits] / union[fits]), kind="stable")]:
             if root[j] != root[i] and linked(arrays[i], arrays[j]):
-                a.append(node[i])
-                b.append(node[j])
+                a.append(int(node[i]))
+                b.append(int(node[j]))
                 root[root == root[j]] = root[i]
-    return pa.table({"a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
+    return a, b, met, cut
 
 
-def _families(rows: DataFrame) -> DataFrame:
-    """(family, part, node, n) of rows(key, node, n, df): part is null where the family is compared as a whole, else the key."""
-    centre = F.min("node").over(Window.partitionBy("key"))
-    found = keep(components(rows.select("node", centre.alias("c")).distinct().select(F.col("node").alias("a"), F.col("c").alias("b"))))
-    placed = keep(rows.join(small(found.select(F.col("node").alias("__n"), F.col("component").alias("family"))), F.col("node") == F.col("__n")).drop("__n"))
-    # Pairs of the whole family against those of its keys.
-    size = placed.groupBy("family").agg(F.count_distinct("node").alias("v"), F.sum("df").alias("pairs"))
-    whole = keep(size.select(F.col("family").alias("__f"), (F.col("v") * F.col("v") <= F.col("pairs")).alias("whole")))
-    return placed.join(small(whole), F.col("family") == F.col("__f")).select("family", F.when(~F.col("whole"), F.col("key")).alias("part"), "node", "n").distinct()
+def _tile(rows: pa.Table) -> pa.Table:
+    """Edges (a, b) of a tile: of two blocks, or of the families that share it, each for itself."""
+    family, part, node, side = (rows[c].to_numpy() for c in ("family", "part", "node", "side"))
+    flat = rows["shingles"].combine_chunks()
+    values, ends = flat.values.to_numpy().view(np.uint64), flat.offsets.to_numpy()
+    order = np.lexsort((part, family))
+    new = np.flatnonzero((np.diff(family[order]) != 0) | (np.diff(part[order]) != 0)) + 1
+    a, b = [], []
+    for own in np.split(order, new):
+        if len(own) > 1:
+            x, y, _, _ = tile_links(node[own], side[own], [values[ends[k] : ends[k + 1]] for k in own])
+            a += x
+            b += y
+    return pa.table({"a": pa.array(a, "int64"), "b": pa.array(b, "int64")})
 
 
-def _links(prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+def _families(rows: DataFrame) -> DataFrame:
+    """(family, part, node, n) of rows(node, n, centre): part is -1 where the family is compared as a whole, else the star."""
+    stars = keep(rows.select("node", "n", "centre").distinct())
+    found = keep(components(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"))).select(F.col("node").alias("__n"), F.col("component").alias("family")))
+    # Pairs of the whole family against those of its stars.
+    star = stars.groupBy(F.col("centre").alias("__n")).agg(F.count("*").alias("c")).join(small(found), "__n")
+    pairs = star.groupBy(F.col("family").alias("__f")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    whole = found.groupBy(F.col("family").alias("__f")).agg(F.count("*").alias("v")).join(pairs, "__f").select("__f", (F.col("v") * F.col("v") <= F.col("pairs")).alias("whole"))
+    placed = stars.join(small(found), F.col("node") == F.col("__n")).join(small(keep(whole)), F.col("family") == F.col("__f"))
+    return placed.select("family", F.when(F.col("whole"), F.lit(-1)).otherwise(F.col("centre")).alias("part"), "node", "n").distinct()
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """The (kept) members(family, part, node, n) with the tile (f, p, b1, s1, b2, s2) and the side of it at which they stand."""
+    group, tile = ["family", "part"], ["f", "p", "b1", "s1", "b2", "s2"]
+    sizes = keep(members.groupBy(*group).agg(F.count("*").alias("v"), F.sum("n").alias("shingles")).where("v > 1").withColumn("light", (F.col("v") <= LIGHT) & (F.col("shingles") <= LIGHT_SHINGLES)))
+    bins = max(1, -(-(sizes.where("light").agg(F.sum("shingles")).first()[0] or 0) // BLOCK_SHINGLES))
+    sized = members.join(small(sizes.select(F.col("family").alias("__f"), F.col("part").alias("__p"), "light")), (F.col("family") == F.col("__f")) & (F.col("part") == F.col("__p"))).drop("__f", "__p")
+    zero = F.lit(0)
+    shared = sized.where("light").select(*group, "node", zero.alias("side"), F.pmod(F.xxhash64(*group), F.lit(bins)).alias("f"), F.lit(-2).cast("long").alias("p"), *(zero.alias(c) for c in tile[2:]))
+    # Two sets link only if neither is larger than 1.25 times the other: they lie in one band or in two that meet.
+    banded = keep(sized.where("not light").withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT + 1e-6))).cast("int")).drop("light"))
+    cuts = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
+    bands = keep(banded.groupBy(*group, "band").agg(F.count("*").alias("c"), F.sum("n").alias("m")).select(F.col("family").alias("f"), F.col("part").alias("p"), F.col("band").alias("b"), cuts.alias("cuts")))
+    of_band = (F.col("family") == F.col("f")) & (F.col("part") == F.col("p")) & (F.col("band") == F.col("b"))
+    blocked = banded.join(small(bands), of_band).select(*group, "band", "node", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int").alias("block"))
+    block = F.explode(F.sequence(zero, F.col("cuts") - 1))
+    first = bands.select("f", "p", F.col("b").alias("b1"), block.alias("s1"))
+    second = lambda up: bands.select(F.col("f").alias("f2"), F.col("p").alias("p2"), (F.col("b") - up).alias("at"), F.col("b").alias("b2"), block.alias("s2"))
+    beside = lambda up, fits: first.join(second(up), (F.col("f") == F.col("f2")) & (F.col("p") == F.col("p2")) & (F.col("b1") == F.col("at")) & fits).select(*tile)
+    pairs = keep(beside(0, F.col("s1") <= F.col("s2")).union(beside(1, F.lit(True))))
+    same = (F.col("b1") == F.col("b2")) & (F.col("s1") == F.col("s2"))
+    ends = pairs.select(*tile, F.col("b1").alias("b"), F.col("s1").alias("s"), zero.alias("side")).union(pairs.where(~same).select(*tile, "b2", "s2", F.lit(1)))
+    met = blocked.join(ends, (F.col("family") == F.col("f")) & (F.col("part") == F.col("p")) & (F.col("band") == F.col("b")) & (F.col("block") == F.col("s")))
+    return shared.select(*group, "node", "side", *tile).union(met.select(*group, "node", "side", *tile))
+
+
+def _links(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     """Verified edges (a, b) that connect all nodes that are linked."""
-    few = prefixes.where(F.col("df") <= FEW)
-    first = few.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"))
-    second = few.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    fits = F.least("n_a", "n_b") * 100 >= PERCENT * F.greatest("n_a", "n_b")
-    pairs = keep(first.join(second, "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct())
-    edges = _verified(pairs, sets)
-    many = prefixes.where(F.col("df") > FEW)
-    if many.isEmpty():
-        return edges
-    group = ["family", "part"]
-    at = Window.partitionBy(*group).orderBy("n", "node")
-    blocks = keep(_families(many).withColumn("block", F.floor((F.row_number().over(at) - 1) / BLOCK).cast("int")))
-    about = blocks.groupBy(*group, "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    second = about.select(F.col("family").alias("f2"), F.col("part").alias("p2"), F.col("block").alias("j"), F.col("low").alias("low2"))
-    tiles = about.join(second, (F.col("family") == F.col("f2")) & F.col("part").eqNullSafe(F.col("p2")) & (F.col("block") <= F.col("j")) & (F.col("high") * 100 >= PERCENT * F.col("low2")))
-    tiles = keep(tiles.select("family", "part", F.col("block").alias("i"), "j"))
-    ends = tiles.select("family", "part", F.col("i").alias("block"), "i", "j", F.lit(0).alias("side")).union(tiles.where("i != j").select("family", "part", "j", "i", "j", F.lit(1)))
-    ends = ends.select(F.col("family").alias("f2"), F.col("part").alias("p2"), F.col("block").alias("b2"), "i", "j", "side")
-    members = blocks.join(ends, (F.col("family") == F.col("f2")) & F.col("part").eqNullSafe(F.col("p2")) & (F.col("block") == F.col("b2"))).join(sets, "node")
-    return edges.union(members.select(*group, "i", "j", "side", "node", "shingles").groupBy(*group, "i", "j").applyInArrow(_tile, "a long, b long"))
+    of_tile = tiles.join(sets, "node").select("family", "part", "node", "side", "shingles", "f", "p", "b1", "s1", "b2", "s2")
+    return of_tile.groupBy("f", "p", "b1", "s1", "b2", "s2").applyInArrow(_tile, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -222,28 +257,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     its own component. Equal sets are linked, so repeated rows share a component; with equal doc_ids the smallest is theirs.
     An empty table gives an empty result; other columns are not read.
     """
+    return _told(docs)
+
+
+def _told(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """What jaccard_components gives; with number, a column that tells rows apart, also that and whether the row stays."""
+    more = [number] if number else []
+    rows = documents(docs, *more)
     docs = documents(docs)
-    sets = keep(_sets(docs).withColumn("row", F.monotonically_increasing_id()))
+    sets = keep(_sets(rows, more).withColumn("row", F.monotonically_increasing_id()))
     heads = keep(sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("node")))
     nodes = sets.join(small(heads.select("node")), F.col("row") == F.col("node"))
-    prefixes = keep(_prefixes(nodes))
-    prefixes = keep(prefixes.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1"))
-    wanted = keep(prefixes.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node"))
+    prefixes = keep(_prefixes(keep(nodes.select("node", "n", "first", "keys"))))
+    stars = keep(per_key(prefixes, df=F.count("*"), centre=F.min("node")).where("df > 1").select("node", "n", "centre").distinct())
+    wanted = keep(stars.select("node").distinct().join(nodes.select("node", "doc_id", "digest"), "node"))
     ids = small(wanted.select(F.col("node").alias("node"), F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")))
-    some = docs.join(small(keep(wanted.select(F.col("doc_id").alias("__doc")).distinct())), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
+    some = docs.join(small(keep(wanted.select(F.col("doc_id").alias("__doc")).distinct()), 64 << 20), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     arrays = _arrays(some).join(ids, (F.col("doc_id").eqNullSafe(F.col("__doc"))) & (F.col("digest") == F.col("__digest")))
     arrays = keep(arrays.select("node", "shingles").dropDuplicates(["node"]))
-    edges = keep(_links(prefixes, arrays))
+    edges = keep(_links(_tiles(keep(_families(stars))), arrays))
     labels = keep(components(edges))
-    of_row = sets.select("row", "doc_id", "n", "digest").join(heads, "digest", "left").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node", "row"))
-    of_row = keep(of_row.select("doc_id", "n", "c"))
-    least = of_row.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return of_row.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of_row = sets.select("row", "doc_id", "n", "digest", *more).join(heads, "digest", "left").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node", "row"))
+    of_row = keep(of_row.select("doc_id", "n", "c", *more))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *more)  # ids first, the smallest before all
+    least = of_row.groupBy("c").agg(F.min(first).alias("first"))
+    stays = [F.col(number), (F.col(number) == F.col(f"first.{number}")).alias("stays")] if number else []
+    return of_row.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), *stays)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are not the smallest id of their component."""
-    return without_ids(docs, jaccard_components(docs).where("doc_id != component_id").select("doc_id"))
+    """One row of docs, with all its columns, of each component: that of the smallest id; ids may be null or clash."""
+    rows, number = numbered(docs)
+    return without_rows(rows, number, _told(rows, number).where("not stays").select(F.col(number).alias("gone")))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

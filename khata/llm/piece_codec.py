@@ -142,8 +142,10 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[tuple[list[int], bytes, np.ndarray]]:
         """Of each text: ids, the ids in decimals joined by commas, and the pieces' bounds."""
-        if not self.apart:
-            return [(ids, ",".join(map(str, ids)).encode(), spans) for ids, spans in map(self.encode, texts)]
+        if not self.apart or any("▁" in t for t in texts):
+            # The sign that stands for a space may join those beside it, so a text that holds it is encoded whole.
+            apart = iter(self.encode_all([t for t in texts if "▁" not in t]) if self.apart else ())
+            return [next(apart) if self.apart and "▁" not in t else self._whole(t) for t in texts]
         # A word keeps its spaces before it; a text starts as if after a space, which has no original byte.
         rows = [([] if not t else t.split(" ") if "  " not in t and t[0] != " " and t[-1] != " " else [w[1:] for w in re.findall(" +[^ ]*", f" {t}")]) for t in texts]
         if len(self.words) > MEMORY:
@@ -167,6 +169,10 @@ class Codec:
             out.append((np.frombuffer(b"".join(ids), "<i4").tolist(), b",".join(decimals), np.concatenate([[0], np.maximum(bounds, 0)])))
         return out
 
+    def _whole(self, text: str) -> tuple[list[int], bytes, np.ndarray]:
+        ids, spans = self.encode(text)
+        return ids, ",".join(map(str, ids)).encode(), spans
+
     def _word(self, word: str, ids: list[int]) -> tuple[bytes, bytes, bytes, int, int]:
         """Of a word after one more space: ids, their decimals, where pieces end from that space on, their number, bytes."""
         raw = word.encode()

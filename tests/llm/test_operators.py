@@ -88,6 +88,17 @@ def test_sentencepiece(docs, nothing):
     assert piece_codec.digests(nothing, path).count() == 0
 
 
+def test_sentencepiece_beside_the_sign_for_spaces():
+    import sentencepiece
+
+    path, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(8)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.Codec(path)
+    texts = ["".join(r.choice(["▁", " ", "  ", "a", "the", ">", "\r", "\n", "é", "<s>"]) for _ in range(r.randrange(9))) for _ in range(3000)]
+    for text, (ids, decimals, bounds) in zip(texts, own.encode_all(texts)):
+        assert ids == library.encode(text) and decimals.decode() == ",".join(map(str, ids))
+        assert len(bounds) == len(ids) + 1 and (bounds[-1] == len(text.encode()) or not ids) and (np.diff(bounds) >= 0).all()
+
+
 @pytest.mark.parametrize("strip", [True, False])
 def test_character_map_normalisation(strip):
     import sentencepiece
@@ -179,10 +190,12 @@ def test_jaccard_join(spark, docs, nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("few, block", [(1, 4), (3, 7), (100, 8)])
-def test_tiles_of_any_size(spark, monkeypatch, few, block):
-    monkeypatch.setattr(jaccard_join, "FEW", few)
+@pytest.mark.parametrize("light, block, hot", [(1, 4, 512), (1, 7, 16), (8, 100, 16), (64, 8, 16)])
+def test_tiles_of_any_size(spark, monkeypatch, light, block, hot):
+    monkeypatch.setattr(jaccard_join, "LIGHT", light)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "SAMPLED", 4)
     family = prose(100, 60)
     rows = [(k, near(family, 700 + k, 1 + k % 4)) for k in range(25)] + [(50 + k, prose(60, 800 + k)) for k in range(5)]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -194,6 +207,22 @@ def test_tiles_of_any_size(spark, monkeypatch, few, block):
     assert got == want
 
 
+def test_bitmaps_cut_pairs_and_lose_none():
+    texts = [near(prose(100, 70 + k % 3), 900 + k, k % 5) for k in range(60)]
+    sets = [jaccard_join.shingles(t) for t in texts]
+    a, b, met, cut = jaccard_join.tile_links(np.arange(60), np.zeros(60, int), sets)
+    root = list(range(60))
+    for x, y in zip(a, b):
+        assert jaccard_join.linked(sets[x], sets[y])
+        root = [root[x] if r == root[y] else r for r in root]
+    plain = list(range(60))
+    for x in range(60):
+        for y in range(x):
+            if jaccard_join.linked(sets[x], sets[y]):
+                plain = [plain[x] if r == plain[y] else r for r in plain]
+    assert len(set(zip(root, plain))) == len(set(root)) == len(set(plain)) and cut > met / 3
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 103), (103, 101), (200, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -203,9 +232,7 @@ def test_components(spark):
 def ids_of(name, text):
     from tokenizers import Tokenizer
 
-    tool = Tokenizer.from_file(public_tokenizers.path(name))
-    tool.encode_special_tokens = True
-    return tool.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path(name)).encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
@@ -334,6 +361,22 @@ def test_exact_dedup(docs, nothing):
     assert left.columns == docs.columns and 2 not in {r.doc_id for r in left.collect()}
 
 
+CLASH = [(3, "B b"), (5, "A a"), (5, "B b"), (None, "A  a"), (None, "C"), (None, "C"), (7, "C"), (7, "C"), (8, None), (8, ""), (9, prose(60, 31)), (9, prose(60, 32)), (None, near(prose(60, 31), 1, 1)), (9, near(prose(60, 32), 2, 1)), (9, prose(60, 33))]
+
+
+def test_rows_whose_ids_clash(spark):
+    docs = spark.createDataFrame(CLASH, "doc_id long, text string").withColumn("__row", F.lit("x"))
+    left = exact_dedup.unique_documents(docs)
+    assert left.columns == docs.columns
+    assert sorted(bare(r.text) for r in left.collect()) == sorted({bare(t) for _, t in CLASH})
+    for operator in (jaccard_join.one_of_each(docs), jaccard_join.one_of_each(left)):
+        rows = operator.collect()
+        sets = [shingle_set(r.text) for r in rows]
+        assert operator.columns == docs.columns
+        assert all(not sets[i] or 100 * len(sets[i] & sets[j]) < 80 * len(sets[i] | sets[j]) for i in range(len(rows)) for j in range(i))
+        assert all(any(s == o or s and 100 * len(s & o) >= 80 * len(s | o) for o in sets) for s in (shingle_set(t) for _, t in CLASH))
+
+
 def test_language_model(docs, nothing):
     trained = docs.where("doc_id is not null").withColumn("trained", F.col("doc_id") % 3 != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "trained")
     texts = [(i, t) for i, t in TEXTS if i is not None]
