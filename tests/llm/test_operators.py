@@ -455,18 +455,44 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
-    r = random.Random(5)
-    for _ in range(30):
-        sizes = sorted((r.randint(1, 50) for _ in range(r.randint(0, 80))), reverse=True)
-        gaps = []
-        for s in sizes:
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(50 - s)
-        steps = packing.sweep(dict(collections.Counter(sizes)), 50)
-        assert len({s[3] + k for s in steps for k in range(s[2] - s[1])}) == len(gaps)
-        assert sum(s[2] - s[1] for s in steps) == len(sizes)
+def best_fit_decreasing(sizes, capacity):
+    """The number of sequences of the plain loop."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+            gaps.append(min(fit) - s)
+        else:
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("highest, n", [(60, 400), (30, 300)])
+def test_packs_as_tight_as_best_fit_decreasing(spark, highest, n):
+    r = random.Random(highest)
+    sizes = [min(64, 1 + int(highest * r.random() ** 2)) for _ in range(n)] + [64] * 5
+    items = spark.createDataFrame([(k % 50, k, s) for k, s in enumerate(sizes)], "doc_id long, piece int, length long").withColumn("item", F.lit("x"))
+    rows = packing.pack(items, 64).collect()
+    assert sorted((r.doc_id, r.piece, r.length) for r in rows) == sorted((k % 50, k, s) for k, s in enumerate(sizes))
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        own.sort()
+        assert [o for o, _ in own] == np.cumsum([0] + [x for _, x in own])[:-1].tolist() and sum(x for _, x in own) <= 64
+    assert len(held) <= 1.02 * best_fit_decreasing(sizes, 64) + 1
+
+
+def test_partitions_match_what_is_left_as_one_sweep_would():
+    r = random.Random(6)
+    for _ in range(200):
+        left = [(p, r.randrange(4), r.randrange(4)) for p in range(6)]
+        slots, want = [], set()
+        for p, documents_left, slots_left in left:
+            for k in range(documents_left):
+                if slots:
+                    want.add((p, k, *slots.pop()))
+            slots += [(p, k) for k in range(slots_left)]
+        spans = packing.across(left)
+        assert {(p, k, of, top - (k - first)) for p, first, after, of, top in spans for k in range(first, after)} == want and len(spans) <= 2 * len(left)
