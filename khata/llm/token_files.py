@@ -19,26 +19,20 @@ from pyspark.sql import functions as F
 from .common import documents, keep, scratch, table
 from .tokens import encoder, in_parts
 
-#: ORC settings: bytes of a stripe, rows of a row group, and the Bloom filter.
-ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "ZSTD"}
+#: ORC settings: bytes of a stripe, rows of a row group, and the Bloom filter; run lengths are all the compression.
+ORC = {"orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.compress": "NONE"}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end: int = 2) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Write doc_id and ids (the text's, then the end id) of every document, in ascending order of doc_id.
 
     A null or empty text has the end id alone. Rows that repeat a doc_id are all written, by text.
     """
-    last = end.to_bytes(4, "little")
-
     def encode(batches):
-        tool = encoder(tokenizer, kind)
+        tool = encoder(tokenizer, "byte")
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in in_parts(texts):
-                rows = [x + last for x in tool.encode(texts[a:b])]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])]).astype("int32")
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["doc_id", "ids"])
+            for a, b in in_parts(pc.utf8_length(batch.column(1)).to_pylist()):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), tool.encode_column(batch.column(1).slice(a, b - a), end)], names=["doc_id", "ids"])
 
     ordered = documents(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "doc_id long, ids array<int>").write.options(**ORC).orc(path)

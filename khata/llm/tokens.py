@@ -12,13 +12,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import remembered
 
 #: White space of the Unicode property White_Space, as the tokenizers' patterns read it.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Chunks kept by each worker; beyond it the memory starts anew.
-MEMORY = 500_000
+#: ASCII signs but for the apostrophe.
+SIGNS = r"[!-&(-/:-@\[-`{-~]+"
+#: Chunks kept by each worker, by kind; beyond it the memory starts anew.
+MEMORY = {"byte": 1_000_000, "word": 500_000}
 
 
 class Encoder(dict):
@@ -37,11 +44,11 @@ class Encoder(dict):
         #: Any text may hold an added token that matches normalised text.
         self.always_whole = self.tokenizer.normalizer is not None and any(t.normalized for t in added)
         self.added = [t.content if kind == "byte" else t.content.encode().lower().decode() for t in added]
-        self.spaced = kind == "byte"
+        self.spaced, self.memory = kind == "byte", MEMORY[kind]
         self.chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if self.spaced else f"[^{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the patterns do not
         letters = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
-        self.plain, self.stop = re.compile(letters), re.compile(f"({letters})([!-&(-/:-@\\[-`{{-~]+)")
+        self.plain, self.stop = re.compile(letters), re.compile(f"({letters})({SIGNS})")
         self.model = self.tokenizer.model
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level tokenizers show as themselves
         self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
@@ -70,7 +77,7 @@ class Encoder(dict):
         return self._keep(key, array("I", [t.id for t in self.model.tokenize(lead + shown)]).tobytes())
 
     def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= self.memory:
             self.clear()
         self[key] = ids
         return ids
@@ -101,16 +108,67 @@ class Encoder(dict):
         return [self.whole(t) if (chunks := self.split(t)) is None else b"".join(map(known, chunks)) for t in texts]
 
 
+    def encode_column(self, texts: pa.Array, *more: int) -> pa.ListArray:
+        """The ids of every text of a column, and more ids after them, for the byte kind.
+
+        The column is cut at spaces, and the different words into letters and the signs after them, by Arrow; each
+        different part is looked up once.
+        """
+        odd = [pc.match_substring(texts, t) for t in ("  ", *self.added)] + [pc.ends_with(texts, " ")]
+        whole = np.flatnonzero(reduce(pc.or_, odd).to_numpy(zero_copy_only=False) | self.always_whole)
+        left = np.setdiff1d(np.arange(len(texts)), whole)
+        parts = pc.split_pattern(texts.take(pa.array(left)) if len(whole) else texts, " ")
+        words = pc.dictionary_encode(parts.flatten())
+        cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        number, different = words.indices.to_numpy(), words.dictionary
+        found = pc.extract_regex(different, f"^(?P<word>{self.plain.pattern})(?P<signs>{SIGNS})$")
+        plain = pc.is_null(found)
+        heads = pc.dictionary_encode(pc.if_else(plain, different, pc.struct_field(found, "word")))
+        tails = pc.dictionary_encode(pc.if_else(plain, "", pc.struct_field(found, "signs")))
+        firsts = different.take(pa.array(number[cuts[:-1]])) if len(left) else different.slice(0, 0)
+        listed = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.__getitem__, listed(heads.dictionary)))
+        n_heads = len(known)
+        known += [self[f"{t} "] if t else b"" for t in listed(tails.dictionary)]
+        first = len(known)
+        known += [self[f"{w} "] for w in listed(firsts)]  # no space leads a text's first word
+        end = len(known)
+        known += [b"", np.array(more, "<u4").tobytes()] + self.encode([texts[int(k)].as_py() for k in whole])
+        order = np.empty((len(number), 2), np.int64)
+        order[:, 0] = heads.indices.to_numpy()[number]
+        order[:, 1] = n_heads + tails.indices.to_numpy()[number]
+        order[cuts[:-1], 0] = first + np.arange(len(left))
+        order[cuts[:-1], 1] = end
+        pieces, at = [], 0
+        for nth, k in enumerate(whole):  # few: texts between two of them go as they are
+            before = int(k) - nth
+            pieces += [_with_ends(order, cuts[at : before + 1], end + 1), np.array([end + 2 + nth, end + 1])]
+            at = before
+        order = np.concatenate([*pieces, _with_ends(order, cuts[at:], end + 1)])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[order]
+        upto = np.cumsum(own)
+        ids = np.frombuffer(b"".join(known), "<i4")[np.repeat(starts[order] - (upto - own), own) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        offsets = np.concatenate([[0], upto[order == end + 1]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+
+
+def _with_ends(order: np.ndarray, cuts: np.ndarray, end: int) -> np.ndarray:
+    """The rows cuts[0] to cuts[-1] of order in one line, with end after each piece."""
+    return np.insert(order[cuts[0] : cuts[-1]].ravel(), 2 * (cuts[1:] - cuts[0]), end)
+
+
 def encoder(path: str, kind: str) -> Encoder:
     """One for each worker process."""
     return remembered((path, kind), lambda: Encoder(path, kind))
 
 
-def in_parts(texts: list[str], most: int = 2_000_000):
-    """Slices of a batch with about so many characters each, at least one text."""
+def in_parts(texts: list, most: int = 2_000_000):
+    """Slices of a batch with about so many characters each, at least one text; of texts or their lengths."""
     start, size = 0, 0
     for k, t in enumerate(texts):
-        size += len(t)
+        size += t if isinstance(t, int) else len(t)
         if size >= most:
             yield start, k + 1
             start, size = k + 1, 0
