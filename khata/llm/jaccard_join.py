@@ -130,11 +130,12 @@ def per_key(rows: DataFrame, **aggregates: Column) -> DataFrame:
     over = {name: agg.over(alone) for name, agg in aggregates.items()}
     if hot.isEmpty():
         return rows.withColumns(over)
-    hot = small(hot)
     here = F.col("key") == F.col("__key")
-    many = rows.join(hot, here, "left_semi")
-    told = keep(many.groupBy(F.col("key").alias("__key")).agg(*(agg.alias(name) for name, agg in aggregates.items())))
-    return rows.join(hot, here, "left_anti").withColumns(over).unionByName(many.join(small(told), here).drop("__key"))
+    many = rows.join(small(hot), here, "left").where("__key is not null")
+    told = keep(many.groupBy("__key").agg(*(agg.alias(f"__{name}") for name, agg in aggregates.items())))
+    beside = rows.join(small(told), here, "left")
+    few = beside.where("__key is null").select(*rows.columns, *(agg.alias(name) for name, agg in over.items()))
+    return few.union(beside.where("__key is not null").select(*rows.columns, *(F.col(f"__{name}").alias(name) for name in aggregates)))
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:

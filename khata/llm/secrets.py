@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, remembered, short_batches, table
+from .common import documents, keep, remembered, short_batches, table
 
 # The three base patterns and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,6 +42,8 @@ WORDS = (
 ).split()
 #: Words of the documents that guessers try after them: the most frequent ones, which stand in so many texts at least.
 KNOWN, LEAST_TEXTS, LONGEST = 50_000, 2, 32
+#: Steps of the counts of texts in a factor of two, by which the least count of a known word is set.
+STEPS = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -221,7 +223,7 @@ def guess_spans(text: str, least: float = GUESSES, words: Words | None = None) -
 
 
 def words_of(docs: DataFrame) -> Words:
-    """The guessers' words and the KNOWN most frequent ones of all texts, by the number of texts that hold them.
+    """The guessers' words and the most frequent ones of all texts, at most KNOWN, by the number of texts that hold them.
 
     Values of a credential context are not counted, so that secrets don't become words.
     """
@@ -241,9 +243,17 @@ def words_of(docs: DataFrame) -> Words:
                 seen.clear()
         yield told()
 
-    counts = documents(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = counts.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(KNOWN)
-    return Words([r["word"] for r in most.collect()])  # at most KNOWN short rows
+    counts = documents(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    counts = keep(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")))
+    # The least count that KNOWN words reach, in steps of a few per cent: one row a step comes to the driver, then at most KNOWN words.
+    least, room = 0, KNOWN
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            least = r["step"] + 1
+            break
+    most = counts.where(F.col("step") >= least).collect()
+    return Words([r["word"] for r in sorted(most, key=lambda r: (-r["n"], r["word"]))])
 
 
 def joined(spans) -> str:
