@@ -88,3 +88,19 @@ def sum_if_all(*parts: Column) -> Column:
 
 def null_ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
+
+
+def lakh_crore(crore: Column) -> Column:
+    """An amount in crore as lakh crore, to two places."""
+    return F.concat((crore * F.lit("0.00001").cast("decimal(6,5)")).cast("decimal(18,2)").cast("string"), F.lit(" lakh crore"))
+
+
+def compact(crore: Column) -> Column:
+    """An amount in crore in its shortest form: lakhs or thousands of crore to one place, else whole crore."""
+    scaled = lambda by, places: (crore * F.lit(by).cast("decimal(6,5)")).cast(f"decimal(18,{places})").cast("string")
+    return F.when(crore >= 100000, F.concat(scaled("0.00001", 1), F.lit("L cr"))).when(crore >= 1000, F.concat(scaled("0.001", 1), F.lit("K cr"))).otherwise(F.concat(crore.cast("decimal(18,0)").cast("string"), F.lit(" cr")))
+
+
+def percent(share: Column, places: int = 1) -> Column:
+    """A share of one in percent."""
+    return F.concat((share * 100).cast(f"decimal(18,{places})").cast("string"), F.lit("%"))

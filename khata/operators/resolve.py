@@ -53,3 +53,19 @@ def match_tokens(names: DataFrame, entities: DataFrame, least: float = 0.6) -> D
     scored = words.join(a, "name").join(b, "entity_id").withColumn("score", F.when(F.col("norm") == F.col("norm_b"), 2.0).otherwise(jaccard(F.col("ta"), F.col("tb")))).where(F.col("score") >= least)
     best = scored.groupBy("name").agg(F.min_by("entity_id", F.struct(-F.col("score"), "entity_id")).alias("entity_id"), F.max("score").alias("score"))
     return a.select("name").join(best, "name", "left").select("name", "entity_id", F.when(F.col("score") == 2, "high").when(F.col("score").isNotNull(), "medium").otherwise("none").alias("match"))
+
+
+def by_alias(names: DataFrame, aliases: DataFrame, least: float = ACCEPT) -> DataFrame:
+    """name, entity_id and outcome of every row of names(name), by aliases(alias, entity_id, confidence).
+
+    Names and aliases are equal when their letters and digits are. An alias of at least this confidence resolves a name (the surest,
+    then the smallest id, where several do); one of less gives what a reviewer is to look at; else the name is unknown.
+    """
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    keyed = aliases.groupBy(key("alias").alias("key")).agg(
+        F.min(F.when(F.col("confidence") >= least, F.struct((-F.col("confidence")).alias("less"), "entity_id"))).alias("sure"),
+        F.max(F.when(F.col("confidence") < least, F.col("entity_id"))).alias("weak"),
+    )
+    found = names.join(keyed, key("name") == F.col("key"), "left")
+    outcome = F.when(F.col("sure").isNotNull(), "alias").when(F.col("weak").isNotNull(), "review").otherwise("unknown")
+    return found.select("name", F.coalesce("sure.entity_id", "weak").alias("entity_id"), outcome.alias("outcome"))

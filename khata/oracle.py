@@ -80,11 +80,12 @@ PARTS = {
         SELECT fy, entity_type, entity_id, max(amount) FILTER (WHERE head = 'total') AS spent, max(amount) FILTER (WHERE head = 'revenue') AS revenue,
                max(amount) FILTER (WHERE head = 'capital') AS capital, max(as_of) FILTER (WHERE head = 'total') AS as_of FROM latest GROUP BY 1, 2, 3)""",
     "monthly": f"""monthly AS (
-        SELECT fy, entity_type, entity_id, month, period_end, amount AS cumulative,
-               CAST(CASE WHEN m0 IS NULL AND month = 1 THEN amount WHEN month - m0 = 1 THEN amount - c0 END AS {M}) AS amount, coalesce(amount < c0, FALSE) AS is_decrease
-        FROM (SELECT *, lag(amount) OVER w AS c0, lag(month) OVER w AS m0 FROM (
-                SELECT *, {month('period_end')} AS month FROM current_facts WHERE stage = 'EXPENDITURE' AND is_cumulative AND head = 'total')
-              WINDOW w AS (PARTITION BY fy, entity_type, entity_id ORDER BY month)))""",
+        SELECT *, coalesce(amount < 0, FALSE) AS is_decrease FROM (
+            SELECT fy, entity_type, entity_id, month, period_end, amount AS cumulative,
+                   CAST(CASE WHEN m0 IS NULL AND month = 1 THEN amount WHEN month - m0 = 1 THEN amount - c0 END AS {M}) AS amount
+            FROM (SELECT *, lag(amount) OVER w AS c0, lag(month) OVER w AS m0 FROM (
+                    SELECT *, {month('period_end')} AS month FROM current_facts WHERE stage = 'EXPENDITURE' AND is_cumulative AND head = 'total')
+                  WINDOW w AS (PARTITION BY fy, entity_type, entity_id ORDER BY month))))""",
     "summary": f"""summary0 AS (
         SELECT a.fy, a.entity_id AS ministry_id, be, re, supplementary, authority, spent, revenue, capital, as_of, CAST(authority - spent AS {M}) AS balance,
                {ratio('spent', 'authority')} AS share, CASE WHEN as_of IS NOT NULL THEN {elapsed('a.fy', 'as_of')} END AS elapsed, {ratio('(re - be)', 'be')} AS revision,

@@ -15,14 +15,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def query_into(queries: dict, texts: dict):
+    """A decorator that registers a query, and its SQL, by its name."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                texts[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, SQL)
 
 
 def r6(*names: str) -> list:
@@ -319,7 +327,7 @@ def allocation_history(spark, sf_dir) -> DataFrame:
 
 @query(SUMMARY_AND_MINISTRY + f""", t AS (SELECT s.fy, 'st-' || sector AS state_id, CAST(sum(be) AS {M}) AS be, CAST(sum(authority) AS {M}) AS authority, CAST(sum(spent) AS {M}) AS spent, max(as_of) AS as_of, count(*) FILTER (WHERE spent IS NULL) AS missing
         FROM summary s JOIN ministry m ON s.ministry_id = m.ministry_id GROUP BY 1, 2)
-    SELECT fy, state_id, as_of, missing, {s6('be', 'authority', 'spent')}, round(CASE WHEN {elapsed('fy', 'as_of')} > 0 THEN {ratio('spent', 'authority')} / ({elapsed('fy', 'as_of')}) END, 6) AS burn_ratio FROM t""")
+    SELECT fy, state_id, as_of, missing, {s6('be', 'authority', 'spent')}, round(CASE WHEN {elapsed('fy', 'as_of')} > 0 THEN {ratio('spent', 'authority')} / ({elapsed('fy', 'as_of')}) END, 6) + 0.0 AS burn_ratio FROM t""")
 def state_summary(spark, sf_dir) -> DataFrame:
     """Budget, spend and pace by state and year, and how many of its ministries don't report."""
     rows = summary_of(spark, sf_dir).join(F.broadcast(p.ministries(spark, sf_dir)), "ministry_id")
@@ -327,7 +335,7 @@ def state_summary(spark, sf_dir) -> DataFrame:
         F.sum("be").alias("be"), F.sum("authority").alias("authority"), F.sum("spent").alias("spent"), F.max("as_of").alias("as_of"), F.count_if(F.col("spent").isNull()).alias("missing")
     )
     gone = cal.fraction_elapsed(F.col("fy"), F.col("as_of"))
-    return t.select("fy", "state_id", "as_of", "missing", *r6("be", "authority", "spent"), F.round(F.when(gone > 0, v.ratio(F.col("spent"), F.col("authority")) / gone), 6).alias("burn_ratio"))
+    return t.select("fy", "state_id", "as_of", "missing", *r6("be", "authority", "spent"), (F.round(F.when(gone > 0, v.ratio(F.col("spent"), F.col("authority")) / gone), 6) + F.lit(0.0)).alias("burn_ratio"))
 
 
 @query(with_parts("auth", "spent", "portal", "facts") + """, c AS (SELECT source_id, fy, stage, count(*) AS n FROM facts GROUP BY 1, 2, 3),

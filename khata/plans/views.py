@@ -38,8 +38,8 @@ def expenditure_to_date(current: DataFrame) -> DataFrame:
 def monthly_spend(current: DataFrame, head: str = "total") -> DataFrame:
     """Each month's own spend from cumulative snapshots.
 
-    The first snapshot is a month's own only in April; after a missing month it is not known. A fall is
-    kept and flagged.
+    The first snapshot is a month's own only in April; after a missing month it is not known. A month below
+    zero is kept and flagged, April's too.
     """
     snapshots = current.where((F.col("stage") == "EXPENDITURE") & F.col("is_cumulative") & (F.col("head") == head)).select(
         *ENTITY, fy_month_index(F.col("period_end")).alias("month"), "period_end", F.col("amount").alias("cumulative")
@@ -47,7 +47,7 @@ def monthly_spend(current: DataFrame, head: str = "total") -> DataFrame:
     order = Window.partitionBy(*ENTITY).orderBy("month")
     before, last = F.lag("cumulative").over(order), F.lag("month").over(order)
     own = F.when(last.isNull() & (F.col("month") == 1), F.col("cumulative")).when(F.col("month") - last == 1, F.col("cumulative") - before)
-    return snapshots.withColumn("amount", own.cast("decimal(20,2)")).withColumn("is_decrease", F.coalesce(F.col("cumulative") < before, F.lit(False)))
+    return snapshots.withColumn("amount", own.cast("decimal(20,2)")).withColumn("is_decrease", F.coalesce(F.col("amount") < 0, F.lit(False)))
 
 
 def ratio(a, b):
