@@ -25,8 +25,9 @@ def let(value: Column, body) -> Column:
 
 def unit_of(text: Column) -> Column:
     """The unit that a heading or cell names, the longest first; NULL if none."""
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.rlike(rf"(^|[^a-z]){u.replace('.', '[.]')}([^a-z]|$)"), F.lit(u)) for u in UNITS])
+    names = F.array(*map(F.lit, UNITS))
+    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?:^|[^a-z])({'|'.join(u.replace('.', '[.]') for u in UNITS)})(?=[^a-z]|$)"), F.lit(1))
+    return F.get(names, F.array_min(F.transform(found, lambda u: F.array_position(names, u))).cast("int") - 1)
 
 
 def factor_of(unit: Column) -> Column:
@@ -47,7 +48,7 @@ def parse_crore(cell: Column, hint: Column | None = None) -> Column:
     def read(text: Column) -> Column:
         own = F.regexp_extract(text, unit, 1)
         bare = F.trim(F.regexp_replace(F.regexp_replace(text, rf"(^|[^a-z])(?:{names})(?=[^a-z]|$)", "$1"), "₹|\\brs\\b[.]?|\\binr\\b|/-", ""))
-        return let(F.struct(text.alias("text"), bare.alias("bare"), F.coalesce(factor_of(own), given).alias("factor"), F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^-", "$1")).alias("digits")), judge)
+        return let(F.struct(text.alias("text"), bare.alias("bare"), F.coalesce(factor_of(own), given).alias("factor"), F.trim(F.regexp_replace(bare, r"^\((.*)\)$|^[-+]", "$1")).alias("digits")), judge)
 
     def judge(x: Column) -> Column:
         grouped = x["digits"].rlike(r"^([0-9]+|[0-9]{1,3}(,[0-9]{2,3})*)([.][0-9]+)?$")

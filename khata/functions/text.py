@@ -71,12 +71,21 @@ def clean_cell(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+# What holds digits but is no figure: citations, year labels, dates, quarters, and signs of layout.
+MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+PATTERNS = (
+    r"(?i)\[(?:source|tender|evidence):[^\]]*\]", r"(?i)\bFY ?[0-9]{2,4}(-[0-9]{2,4})?\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", rf"(?i)\b(?:[0-9]{{1,2}}\s+)?{MONTHS}\s+[0-9]{{4}}\b", r"\b[0-9]{4}-[0-9]{2}\b",
+    r"\b[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}\b", r"(?i)\bQ[1-4]\b", r"[*_#`]+",
+)
+NUMBER = r"([-+]?[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?)"
+
+
 def figures(prose: Column) -> Column:
-    """Numbers of a text, as printed without grouping, after citations, year labels, dates and quarters are taken out."""
+    """Numbers of a text, with their sign, as printed without grouping, after citations, year labels, dates and quarters are taken out."""
     bare = prose
-    for pattern in (r"\[[^\]]*\]", r"FY ?[0-9]{2,4}(-[0-9]{2,4})?", r"\b[0-9]{4}-[0-9]{2}(-[0-9]{2})?\b", r"\b[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}\b", r"\bQ[1-4]\b", r"[*_#`]+"):
+    for pattern in PATTERNS:
         bare = F.regexp_replace(bare, pattern, " ")
-    found = F.regexp_extract_all(bare, F.lit(r"([0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)"), 1)
+    found = F.regexp_extract_all(bare, F.lit(NUMBER), 1)
     return F.transform(found, lambda x: F.regexp_replace(x, ",", ""))
 
 
@@ -93,4 +102,5 @@ def unsupported(printed: Column, allowed: Column) -> Column:
 
 def banned_words(prose: Column) -> Column:
     """Stems that the text uses at the beginning of a word, in their order."""
-    return F.array_compact(F.array(*[F.when(prose.rlike(rf"(?i)\b{w}"), F.lit(w)) for w in BANNED]))
+    found = F.array_compact(F.array(*[F.when(prose.rlike(rf"(?i)\b{w}"), F.lit(w)) for w in BANNED]))
+    return F.when(prose.rlike(rf"(?i)\b(?:{'|'.join(BANNED)})"), found).when(prose.isNotNull(), F.array().cast("array<string>"))

@@ -26,11 +26,11 @@ def invented_citations(cited: Column, offered: Column) -> Column:
 
 
 def bundles(summary: DataFrame, tenders: DataFrame, fy_of_tender: Column) -> DataFrame:
-    """Each ministry's figures of a year with what follows from them, and all values that prose may state, without sign."""
+    """Each ministry's figures of a year with what follows from them, and all values that prose may state, with their sign or without."""
     by_year = tenders.groupBy(fy_of_tender.alias("fy"), "ministry_id").agg(F.count("*").alias("tenders"), F.sum("value").alias("tender_value"))
     rows = summary.join(by_year, ["fy", "ministry_id"], "left").withColumn("tenders", F.coalesce("tenders", F.lit(0)))
     values = ["be", "re", "supplementary", "authority", "spent", "balance", "pct_spent", "tenders", "tender_value"]
-    return rows.withColumn("allowed", F.array_compact(F.array(*[F.abs(F.col(v).cast("double")) for v in values])))
+    return rows.withColumn("allowed", F.array_compact(F.array(*[f(F.col(v).cast("double")) for v in values for f in (F.abs, lambda x: x)])))
 
 
 def fallback(rows: DataFrame, name: str = "name") -> Column:

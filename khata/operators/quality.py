@@ -64,7 +64,7 @@ def drift(days: DataFrame) -> DataFrame:
     hit = lambda cond, name, level, value: F.when(cond, F.struct(F.lit(name).alias("finding"), level.alias("severity"), F.round(value.cast("double"), 6).alias("value")))
     hits = F.array(
         hit(F.col("n") == 0, "zero_rows", F.lit("high"), F.lit(None)), hit(n > SWING_WARN, "row_count_swing", band(n), n), hit(t > SWING_WARN, "total_amount_swing", band(t), t),
-        hit(F.col("failed") > 0, "parse_error_rate", F.when(errors >= ERRORS_HIGH, "high").when(errors >= ERRORS_WARN, "warn").otherwise("info"), errors), hit(F.col("base_n").isNull(), "no_baseline", F.lit("info"), F.lit(None)),
+        hit(F.col("failed") > 0, "parse_error_rate", F.when(errors >= ERRORS_HIGH, "high").when(errors >= ERRORS_WARN, "warn").otherwise("info"), errors), hit(F.col("base_n").isNull() & (F.col("n") > 0) & (F.col("failed") == 0), "no_baseline", F.lit("info"), F.lit(None)),
     )
     return rows.select("source_id", "day", F.explode(F.array_compact(hits)).alias("h")).select("source_id", "day", "h.*")
 

@@ -57,7 +57,7 @@ PARTS = {
     spent AS (
         SELECT fy || '|min-' || nk || '|EXPENDITURE|' || head || '|' || month AS fact_key, fy, 'ministry' AS entity_type, 'min-' || nk AS entity_id, 'EXPENDITURE' AS stage, head,
                period_end, TRUE AS is_cumulative, amount, CAST(period_end + 30 AS DATE) AS document_date, 'accounts' AS source_id, CAST(NULL AS VARCHAR) AS supersedes
-        FROM snapshots WHERE NOT (nk % 5 = 0 AND (month + nk) % 7 = 0))""",
+        FROM snapshots)""",
     "portal": f"""portal AS (
         SELECT {fy('l_shipdate')} || '|sch-' || l_suppkey || '|' || CASE l_returnflag WHEN 'A' THEN 'RELEASE' WHEN 'R' THEN 'UTILIZATION' ELSE 'SANCTION' END AS fact_key,
                {fy('l_shipdate')} AS fy, 'scheme' AS entity_type, 'sch-' || l_suppkey AS entity_id,
@@ -95,7 +95,7 @@ PARTS = {
     "tender": f"""tender AS (
         SELECT o_orderkey, c_name AS org_raw, 'min-' || c_nationkey AS ministry_id, CAST(o_totalprice AS {M}) AS value,
                CASE o_orderstatus WHEN 'F' THEN 'awarded' WHEN 'O' THEN 'open' ELSE 'cancelled' END AS status, CAST(o_orderdate AS DATE) AS published
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_nationkey % 4 != 0)""",
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')""",
     "run": """run AS (
         SELECT event_id AS run_id, 'src-' || (user_id % 16) AS source_id, ts AS started_at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'drift_alert' ELSE 'ok' END AS status,
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS n_rows, value AS total FROM events)""",

@@ -186,7 +186,7 @@ def source_freshness(spark, sf_dir) -> DataFrame:
     SELECT source_id, day, 'row_count_swing' AS finding, CASE WHEN n_swing > 0.9 THEN 'high' ELSE 'warn' END AS severity, round(n_swing, 6) AS value FROM j WHERE n_swing > 0.5
     UNION ALL SELECT source_id, day, 'total_amount_swing', CASE WHEN t_swing > 0.9 THEN 'high' ELSE 'warn' END, round(t_swing, 6) FROM j WHERE t_swing > 0.5
     UNION ALL SELECT source_id, day, 'parse_error_rate', CASE WHEN failed / n >= 0.10 THEN 'high' WHEN failed / n >= 0.02 THEN 'warn' ELSE 'info' END, round(failed / n, 6) FROM j WHERE failed > 0
-    UNION ALL SELECT source_id, day, 'no_baseline', 'info', CAST(NULL AS DOUBLE) FROM j WHERE base_n IS NULL""")
+    UNION ALL SELECT source_id, day, 'no_baseline', 'info', CAST(NULL AS DOUBLE) FROM j WHERE base_n IS NULL AND n > 0 AND failed = 0""")
 def drift_findings(spark, sf_dir) -> DataFrame:
     """Each source's day against the median of its eight days before."""
     runs = p.pipeline_runs(spark, sf_dir).groupBy("source_id", F.to_date("started_at").alias("day")).agg(

@@ -18,10 +18,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 query = query_into(QUERIES, SQL)
 
-ORDERS = {
-    "allocation": [F.desc_nulls_last("authority")], "burn": [F.desc_nulls_last("burn_ratio")], "burn_up": [F.asc_nulls_last("burn_ratio")],
-    "balance": [F.desc_nulls_last("balance")], "name": [],
-}
+#: Named orders: the figure and whether the largest comes first; missing ones stand last in either.
+ORDERS = {"allocation": ("authority", True), "burn": ("burn_ratio", True), "burn_up": ("burn_ratio", False), "balance": ("balance", True), "name": None}
 MOST = 500
 # Stages in the order in which money moves through them.
 STAGES = ("BE", "RE", "SUPPLEMENTARY", "SANCTION", "RELEASE", "EXPENDITURE", "UTILIZATION")
@@ -62,7 +60,9 @@ def ministries_of_year(spark, sf_dir, year: str, order: str = "allocation", limi
     known = p.ministries(spark, sf_dir).where(only(sector=sector, ministry_id=ministry_id))
     figures = summary_of(spark, sf_dir).where(F.col("fy") == valid_year(year))
     rows = known.join(figures, "ministry_id", "left")
-    return rows.orderBy(*ORDERS[valid_order(order)], "name", "ministry_id").limit(valid_limit(limit)).select("ministry_id", "name", "sector", *r6(*FIGURES))
+    by = ORDERS[valid_order(order)]
+    first = [F.desc_nulls_last(by[0]) if by[1] else F.asc_nulls_last(by[0])] if by else []
+    return rows.orderBy(*first, "name", "ministry_id").limit(valid_limit(limit)).select("ministry_id", "name", "sector", *r6(*FIGURES))
 
 
 def ministries_sql(year: str, order: str, where: str = "TRUE", limit: int = MOST) -> str:

@@ -50,7 +50,7 @@ def authority_facts(spark, sf_dir) -> DataFrame:
 
 
 def expenditure_facts(spark, sf_dir) -> DataFrame:
-    """Cumulative monthly snapshots by head, from line items by the supplier's nation; some months are missing."""
+    """Cumulative monthly snapshots by head, from line items by the supplier's nation."""
     items = table(spark, sf_dir, "lineitem")
     day = F.to_date("l_shipdate")
     price = F.col("l_extendedprice").cast(MONEY)
@@ -62,7 +62,7 @@ def expenditure_facts(spark, sf_dir) -> DataFrame:
     split = by_supplier.join(suppliers, by_supplier.l_suppkey == suppliers.s_suppkey).groupBy("fy", "nk", "month", "head").agg(F.sum("amount").alias("amount"))
     heads = split.select("fy", "nk", "month", F.explode(F.array("head", F.lit("total"))).alias("head"), "amount").groupBy("fy", "nk", "month", "head").agg(F.sum("amount").alias("amount"))
     running = F.sum("amount").over(Window.partitionBy("fy", "nk", "head").orderBy("month")).cast(MONEY)
-    snapshots = heads.withColumn("amount", running).where(~((F.col("nk") % 5 == 0) & ((F.col("month") + F.col("nk")) % 7 == 0)))
+    snapshots = heads.withColumn("amount", running)
     entity = F.concat(F.lit("min-"), F.col("nk").cast("string"))
     end = F.last_day(F.add_months(fy_start(F.col("fy")), F.col("month") - 1))
     return snapshots.select(
@@ -90,11 +90,11 @@ def fiscal_facts(spark, sf_dir) -> DataFrame:
 
 
 def tenders(spark, sf_dir) -> DataFrame:
-    """tender_id, org, ministry_id, value, status, published: urgent orders of some nations."""
+    """tender_id, org, ministry_id, value, status, published: urgent orders."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     status = F.when(F.col("o_orderstatus") == "F", "awarded").when(F.col("o_orderstatus") == "O", "open").otherwise("cancelled")
     return (
-        orders.where("o_orderpriority = '1-URGENT'").join(customers, orders.o_custkey == customers.c_custkey).where("c_nationkey % 4 != 0")
+        orders.where("o_orderpriority = '1-URGENT'").join(customers, orders.o_custkey == customers.c_custkey)
         .select("o_orderkey", F.col("c_name").alias("org_raw"), F.concat(F.lit("min-"), F.col("c_nationkey").cast("string")).alias("ministry_id"), F.col("o_totalprice").cast(MONEY).alias("value"), status.alias("status"), F.to_date("o_orderdate").alias("published"))
     )
 

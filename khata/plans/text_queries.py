@@ -72,11 +72,11 @@ def search_entities(spark, sf_dir) -> DataFrame:
 
 
 BARE = "text"
-for _pattern in (r"\[[^\]]*\]", r"FY ?[0-9]{2,4}(-[0-9]{2,4})?", r"\b[0-9]{4}-[0-9]{2}(-[0-9]{2})?\b", r"\b[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}\b", r"\bQ[1-4]\b", r"[*_#`]+"):
+for _pattern in text.PATTERNS:
     BARE = f"regexp_replace({BARE}, '{_pattern}', ' ', 'g')"
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all({BARE}, '([0-9]{{1,3}}(?:,[0-9]{{2,3}})+(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?)')) AS n_figures FROM documents""")
+@query(rf"""SELECT doc_id, len(regexp_extract_all({BARE}, '{text.NUMBER}')) AS n_figures FROM documents""")
 def figures_in_prose(spark, sf_dir) -> DataFrame:
     """How many figures every document states, apart from dates, years and citations."""
     return p.table(spark, sf_dir, "documents").select("doc_id", F.size(text.figures(F.col("text"))).cast("long").alias("n_figures"))

@@ -7,6 +7,7 @@ rows that total others are left out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,20 @@ from khata.functions.money import parse_crore, unit_of
 from khata.functions.text import clean_cell, normalise_name
 from khata.sources import tabular, web
 
-# Labels of an employment scheme's table and of a marketplace's page, and what they mean.
-EMPLOYMENT = {"approved labour budget": "BE", "total release": "RELEASE", "total expenditure": "EXPENDITURE", "total exp": "EXPENDITURE"}
-MARKET = {"order value": "value", "procurement value": "value", "orders": "count", "sellers": "count", "buyers": "count", "products": "count"}
-PERSONAL = "aadhaar|beneficiary name|father|mobile|account no|village"
+# Labels of an employment scheme's table and the stages they stand for, and what marks a ratio or a balance.
+EMPLOYMENT = {
+    "central release": "RELEASE", "central fund released": "RELEASE", "release of central share": "RELEASE", "total expenditure": "UTILIZATION", "total exp.": "UTILIZATION",
+}
+NO_STAGE = ("percentage", "percent", "% of", "balance", "available")
+# Labels of a marketplace's page by metric.
+MARKET = {
+    "gross_merchandise_value": ("gmv", "gross merchandise value", "order value", "total value"), "order_count": ("orders", "total orders", "order count"),
+    "seller_count": ("sellers", "total sellers", "sellers and service providers"), "buyer_count": ("buyers", "total buyers", "buyer organisations"),
+}
+# What marks a table about persons.
+PERSONAL = (
+    "registration", "reg no", "reg. no", "aadhaar", "aadhar", "account no", "account number", "bank account", "ifsc", "beneficiary name", "farmer name", "beneficiary id", "mobile", "village", "father",
+)
 
 
 # Labels of rows that total others.
@@ -31,6 +42,17 @@ def is_total(label: Column) -> Column:
     return bare.isin(*TOTALS) | bare.startswith("total ")
 
 
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether the text holds any of the words."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def longest_count(text: Column) -> Column:
+    """The number in the longest group of digits and commas, the first of equals; NULL if there is none."""
+    groups = F.transform(F.regexp_extract_all(text, F.lit("[0-9][0-9,]*"), F.lit(0)), lambda x: F.regexp_replace(x, ",", ""))
+    return F.aggregate(groups, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)).try_cast("long")
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     return pages.withColumn("prose", clean_cell(F.regexp_replace("html", "<[^>]*>", " ")))
 
@@ -56,7 +78,11 @@ def monthly_accounts(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     about = page_text(pages).select("page_id", cal.period_of(heading).alias("period"), unit_of(F.col("prose")).alias("unit"))
     rows = _columns(pages, ["entity"], {"entity": "entity|ministry", "raw": "cumulative|expenditure|spend"}).join(about, "page_id").where(~is_total(F.col("entity")))
     parsed = rows.withColumn("p", parse_crore(F.col("raw"), F.col("unit")))
-    return _split(parsed.select("page_id", "entity", F.lit("EXPENDITURE").alias("stage"), F.col("period.end").alias("period_end"), F.lit(True).alias("is_cumulative"), F.lit(True).alias("is_provisional"), "raw", "p"), "page_id", "entity", "stage", "period_end", "is_cumulative", "is_provisional")
+    found = parsed.select("page_id", "entity", F.lit("EXPENDITURE").alias("stage"), F.col("period.end").alias("period_end"), F.lit(True).alias("is_cumulative"), F.lit(True).alias("is_provisional"), "raw", "p")
+    keep = ["page_id", "entity", "stage", "period_end", "is_cumulative", "is_provisional"]
+    rows, errors = _split(found, *keep)
+    undated = found.where("p.status = 'value' and period_end is null").select(*keep, "raw", F.lit("no period").alias("reason"))
+    return rows.where("period_end is not null"), errors.union(undated)
 
 
 def scheme_releases(pages: DataFrame, fy: str) -> tuple[DataFrame, DataFrame]:
@@ -81,23 +107,23 @@ def employment(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     unit = page_text(pages).select("page_id", unit_of(F.col("prose")).alias("unit"))
     stage = F.coalesce(*[F.when(F.lower("label").contains(k), F.lit(v)) for k, v in EMPLOYMENT.items()])
     rows = _columns(pages, ["particulars"], {"label": "particulars", "raw": "amount"}).join(unit, "page_id").withColumn("stage", stage)
-    rows = rows.where("stage is not null").where(~F.lower("label").rlike("balance|%|per cent|ratio"))
+    rows = rows.where("stage is not null").where(~_holds(F.lower("label"), NO_STAGE))
     return _split(rows.withColumn("p", parse_crore(F.col("raw"), F.col("unit"))), "page_id", "label", "stage")
 
 
 def marketplace(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One figure per metric, the first; counts apart from money."""
     cells = web.table_rows(pages).where(F.size("cells") >= 2).select("page_id", "table_no", "row_no", F.col("cells")[0].alias("label"), F.col("cells")[1].alias("raw"))
-    metric = F.coalesce(*[F.when(F.lower("label").contains(k), F.lit(k)) for k in MARKET])
+    metric = F.coalesce(*[F.when(_holds(F.lower("label"), names), F.lit(k)) for k, names in MARKET.items()])
     first = cells.withColumn("metric", metric).where("metric is not null").groupBy("page_id", "metric").agg(F.min_by("raw", F.struct("table_no", "row_no")).alias("raw"))
-    money = F.col("metric").isin(*[k for k, v in MARKET.items() if v == "value"])
-    counts = first.where(~money).select("page_id", "metric", F.regexp_replace(F.regexp_extract("raw", "([0-9][0-9,]*)", 1), ",", "").try_cast("long").alias("n"))
+    money = F.col("metric") == "gross_merchandise_value"
+    counts = first.where(~money).select("page_id", "metric", longest_count(F.col("raw")).alias("n"))
     return first.where(money).withColumn("p", parse_crore(F.col("raw"))).select("page_id", "metric", F.col("p.value").alias("amount"), F.col("p.reason").alias("reason")), counts
 
 
 def farmer_transfers(pages: DataFrame) -> DataFrame:
     """Amounts after their labels; pages with tables about persons are not read at all."""
-    public = page_text(pages).where(~F.lower("html").rlike(PERSONAL))
+    public = page_text(pages).where(~_holds(F.lower("html"), PERSONAL))
     raw = F.regexp_extract("prose", r"(?i)(?:total )?amount (?:transferred|disbursed)[^0-9₹R]*((?:₹|Rs\.?)? *[0-9][0-9,.]* *(?:lakh crore|crore|lakh)?)", 1)
     return public.select("page_id", F.when(raw != "", parse_crore(raw)).alias("p")).where("p is not null").select("page_id", F.col("p.value").alias("amount"), F.col("p.reason").alias("reason"))
 

@@ -55,6 +55,29 @@ def test_query_equals_its_sql(spark, db, name):
     assert sorted([plain(r[c]) for c in order] for r in got.collect()) == sorted([plain(r[names.index(c)]) for c in order] for r in rows)
 
 
+def test_parameters_of_listings():
+    from khata.plans import listing_queries as q
+
+    assert (q.valid_limit(None), q.valid_limit(0), q.valid_limit(3.9), q.valid_limit(10**6)) == (500, 1, 3, 500)
+    assert q.valid_year("FY2026") == "FY2026" and q.valid_year(None) is None
+    for bad in (lambda: q.valid_year("2026"), lambda: q.valid_order("size")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_aliases(spark):
+    aliases = spark.createDataFrame([("Roads Dept.", "r2", 0.95), ("ROADS DEPT", "r1", 0.95), ("Water", "w", 0.8)], "alias string, entity_id string, confidence double")
+    names = spark.createDataFrame([("roads dept",), ("Water!",), ("Air",), (None,)], "name string")
+    got = {r.name: (r.entity_id, r.outcome) for r in resolve.by_alias(names, aliases).collect()}
+    assert got == {"roads dept": ("r1", "alias"), "Water!": ("w", "review"), "Air": (None, "unknown"), None: (None, "unknown")}
+
+
+def test_formats_of_amounts(spark):
+    d = F.lit("123456.789").cast("decimal(20,3)").cast("decimal(20,2)")
+    assert tuple(one(spark, a=money.lakh_crore(d), b=money.compact(d), c=money.compact(F.lit("2500").cast("decimal(20,2)")), d=money.percent(F.lit(0.1234)))) == ("1.23 lakh crore", "1.2L cr", "2.5K cr", "12.3%")
+    assert one(spark, a=money.unit_of(F.lit("Rupees in lakh crore"))).a == "lakh crore" and one(spark, a=money.unit_of(F.lit("scrubs"))).a is None
+
+
 def test_every_query_is_registered():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(QUERIES)
 
@@ -98,7 +121,8 @@ def test_names(spark):
     assert one(spark, a=text.normalise_name(F.lit("Min. of Éducation & Govt."))).a == "ministry of education and government"
     assert one(spark, a=text.similarity(F.lit("word"), F.lit("two words"))).a == pytest.approx(4 / 11)
     assert sorted(one(spark, a=text.token_set(F.lit("Dept of Rural Dev"))).a) == ["department", "development", "rural"]
-    assert one(spark, a=text.figures(F.lit("In FY2026 (2025-04-01) spend was 1,23,456.5 and 12% [3]"))).a == ["123456.5", "12"]
+    assert one(spark, a=text.figures(F.lit("In FY2026 (2025-04-01) spend was 1,23,456.5 and 12% [3]"))).a == ["123456.5", "12", "3"]
+    assert one(spark, a=text.figures(F.lit("On 15 August 2025, in fy2026 and q1, it fell -4.5 [source:412] to 3000 [Evidence:7]"))).a == ["-4.5", "3000"]
     assert one(spark, a=text.unsupported(F.array(F.lit("12.5"), F.lit("13"), F.lit("7")), F.array(F.lit(12.46), F.lit(12.5001)))).a == ["7"]
     assert one(spark, a=text.banned_words(F.lit("A Scammer and a discam"))).a == ["scam"]
 

@@ -27,6 +27,16 @@ def test_monthly_accounts(spark):
     assert [(r.page_id, r.entity, r.reason) for r in errors.collect()] == [(1, "Alpha", "no unit")]
 
 
+def test_accounts_without_a_period_are_errors(spark):
+    rows, errors = named.monthly_accounts(pages(spark, ACCOUNTS.replace("April to June 2025", "latest")))
+    assert rows.count() == 0 and [(r.entity, r.reason) for r in errors.collect()] == [("Alpha", "no period")]
+
+
+@pytest.mark.parametrize("mark", named.PERSONAL)
+def test_tables_about_persons_are_refused(spark, mark):
+    assert named.farmer_transfers(pages(spark, f"<p>Amount transferred: Rs 3 crore</p><table><tr><th>{mark.title()}</th></tr></table>")).count() == 0
+
+
 def test_scheme_releases(spark):
     page = "<p>As on 15-05-2026, in lakh</p><table>" + row("Scheme", "Release", "Transactions") + row("Roads", "500", "3") + row("Total", "500", "3") + "</table>"
     rows, _ = named.scheme_releases(pages(spark, page), "FY2026")
@@ -41,11 +51,11 @@ def test_tenders(spark):
 
 
 def test_employment_and_market(spark):
-    page = "<p>Rs. in lakh</p><table>" + row("Particulars", "Amount") + row("Total Release", "200") + row("Total expenditure as % of release", "9") + row("Total Expenditure", "100") + row("Balance of total release", "1") + "</table>"
+    page = "<p>Rs. in lakh</p><table>" + row("Particulars", "Amount") + row("Central Release", "200") + row("State Release", "7") + row("Total expenditure as % of release", "9") + row("Total Expenditure", "100") + row("Balance of central release", "1") + "</table>"
     rows, _ = named.employment(pages(spark, page))
-    assert {(r.stage, float(r.amount)) for r in rows.collect()} == {("RELEASE", 2.0), ("EXPENDITURE", 1.0)}
+    assert {(r.stage, float(r.amount)) for r in rows.collect()} == {("RELEASE", 2.0), ("UTILIZATION", 1.0)}
     money, counts = named.marketplace(pages(spark, "<table>" + row("Order Value", "Rs 5 crore") + row("Order Value", "Rs 6 crore") + row("Sellers", "1,23,456") + "</table>"))
-    assert [float(r.amount) for r in money.collect()] == [5.0] and [(r.metric, r.n) for r in counts.collect()] == [("sellers", 123456)]
+    assert [float(r.amount) for r in money.collect()] == [5.0] and [(r.metric, r.n) for r in counts.collect()] == [("seller_count", 123456)]
 
 
 def test_press_and_persons(spark):
