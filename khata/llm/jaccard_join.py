@@ -126,16 +126,15 @@ def per_key(rows: DataFrame, **aggregates: Column) -> DataFrame:
     """
     some = rows.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)
     hot = keep(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT // SAMPLED).select(F.col("key").alias("__key")))
-    alone = Window.partitionBy("key")
-    over = {name: agg.over(alone) for name, agg in aggregates.items()}
-    if hot.isEmpty():
-        return rows.withColumns(over)
     here = F.col("key") == F.col("__key")
-    many = rows.join(small(hot), here, "left").where("__key is not null")
-    told = keep(many.groupBy("__key").agg(*(agg.alias(f"__{name}") for name, agg in aggregates.items())))
-    beside = rows.join(small(told), here, "left")
-    few = beside.where("__key is null").select(*rows.columns, *(agg.alias(name) for name, agg in over.items()))
-    return few.union(beside.where("__key is not null").select(*rows.columns, *(F.col(f"__{name}").alias(name) for name in aggregates)))
+    # Rows of other keys make one group of their own, a row a task before the shuffle.
+    told = keep(rows.join(small(hot), here, "left").groupBy("__key").agg(F.count("*").alias("__n"), *(agg.alias(f"__{name}") for name, agg in aggregates.items())))
+    told = told.where("__key is not null")
+    # A hot key's rows are dealt to groups of about HOT, which take the result as it is.
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("__n") / HOT)), F.lit(0))
+    own = Window.partitionBy("key", "__part")
+    beside = rows.join(small(told), here, "left").withColumn("__part", part)
+    return beside.select(*rows.columns, *(F.coalesce(f"__{name}", agg.over(own)).alias(name) for name, agg in aggregates.items()))
 
 
 def _prefixes(nodes: DataFrame) -> DataFrame:

@@ -126,16 +126,32 @@ def superstep(waiting: DataFrame, gaps: DataFrame, least: int, most: int, parts:
     n_matched, n_left = sum(r["n0"] for r in told), sum(r["n1"] for r in told)
     matched, left = events.where("kind = 0").select("item", "length", "seq", "slot"), events.where("kind = 1").select("part", "rank", "item", "length")
     if spans:
-        plan = F.broadcast(waiting.sparkSession.createDataFrame(spans, "__at int, __first long, __after long, __of int, __top long"))  # two rows a partition at most
-        met = left.join(plan, (F.col("part") == F.col("__at")) & (F.col("rank") >= F.col("__first")) & (F.col("rank") < F.col("__after")), "left")
-        asked = met.where("__at is not null").select("item", "length", "__of", (F.col("__top") - (F.col("rank") - F.col("__first"))).alias("__rank"))
+        met = left.mapInArrow(placed_across(spans), "item long, length long, of int, place long")
         free = events.where("kind = 2").select(F.col("part").alias("__p"), F.col("rank").alias("__r"), "seq", "slot")
-        matched = matched.union(asked.join(free, (F.col("__of") == F.col("__p")) & (F.col("__rank") == F.col("__r"))).select("item", "length", "seq", "slot"))
-        left = met.where("__at is null")
+        asked = met.where("of is not null")
+        matched = matched.union(asked.join(free, (F.col("of") == F.col("__p")) & (F.col("place") == F.col("__r"))).select("item", "length", "seq", "slot"))
+        left = met.where("of is null")
         n_matched, n_left = (x + sign * sum(s[2] - s[1] for s in spans) for x, sign in ((n_matched, 1), (n_left, -1)))
     return matched, left.select("item", "length"), n_matched, n_left
 
 
+def placed_across(spans: list[tuple[int, int, int, int, int]]):
+    """A map of documents left (part, rank, item, length) to the partition and the place of the slot that spans give them, or none."""
+    first, count, start, of, top = (np.array(x, np.int64) for x in zip(*((part << 40 | a, b - a, a, of, top) for part, a, b, of, top in sorted(spans))))
+
+    def run(batches):
+        for batch in batches:
+            part, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            at = part << 40 | rank
+            k = np.maximum(np.searchsorted(first, at, "right") - 1, 0)
+            found = (at >= first[k]) & (at < first[k] + count[k])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2), batch.column(3), pa.array(of[k], "int32", mask=~found), pa.array(top[k] - (rank - start[k]), "int64", mask=~found)], names=["item", "length", "of", "place"]
+            )
+
+    return run
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """items(doc_id, piece, length, ...), each of 1 to capacity tokens, with sequence_id and offset.
 

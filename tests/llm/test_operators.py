@@ -468,8 +468,9 @@ def best_fit_decreasing(sizes, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("highest, n", [(60, 400), (30, 300)])
-def test_packs_as_tight_as_best_fit_decreasing(spark, highest, n):
+@pytest.mark.parametrize("highest, n, rows_of_a_part", [(60, 400, 20), (30, 300, 20_000)])
+def test_packs_as_tight_as_best_fit_decreasing(spark, monkeypatch, highest, n, rows_of_a_part):
+    monkeypatch.setattr(packing, "LEAST_ROWS", rows_of_a_part)  # several partitions, or one
     r = random.Random(highest)
     sizes = [min(64, 1 + int(highest * r.random() ** 2)) for _ in range(n)] + [64] * 5
     items = spark.createDataFrame([(k % 50, k, s) for k, s in enumerate(sizes)], "doc_id long, piece int, length long").withColumn("item", F.lit("x"))
