@@ -126,7 +126,8 @@ def superstep(waiting: DataFrame, gaps: DataFrame, least: int, most: int, parts:
     n_matched, n_left = sum(r["n0"] for r in told), sum(r["n1"] for r in told)
     matched, left = events.where("kind = 0").select("item", "length", "seq", "slot"), events.where("kind = 1").select("part", "rank", "item", "length")
     if spans:
-        met = left.mapInArrow(placed_across(spans), "item long, length long, of int, place long")
+        # Written once: what is left is matched, counted, range-sampled and sorted after this.
+        met = keep(left.mapInArrow(placed_across(spans), "item long, length long, of int, place long"))
         free = events.where("kind = 2").select(F.col("part").alias("__p"), F.col("rank").alias("__r"), "seq", "slot")
         asked = met.where("of is not null")
         matched = matched.union(asked.join(free, (F.col("of") == F.col("__p")) & (F.col("place") == F.col("__r"))).select("item", "length", "seq", "slot"))
