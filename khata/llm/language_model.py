@@ -11,9 +11,9 @@ trie of its contexts and successors, and answers every batch by looking up what
 counts of words, and 8-bit codes of the two factors above. Nothing grows on the driver, and a frequent
 word costs a shard one list per batch.
 
-A trie has two levels, both Elias-Fano coded in anonymous memory maps: sorted 64-bit word hashes, and
-per context its successors' 32-bit fingerprints, which the context's number makes one monotone
-sequence, so that pointers and successors are found by a successor search relative to the context.
+A trie has two levels, both Elias-Fano coded in anonymous memory maps and searched as they are: sorted
+64-bit word hashes, and per context its successors' 32-bit fingerprints, which the context's number makes
+one monotone sequence, so that pointers and successors are found by a successor search relative to the context.
 """
 
 from __future__ import annotations
@@ -53,53 +53,78 @@ class Index(dict):
         return number
 
 
+#: Bytes of a block of the unary code whose zeros are counted ahead; look-ups made at a time.
+BLOCK, LOOK_UPS = 16, 1 << 14
+#: Place of the k-th zero (column) of a byte (row), from its highest bit.
+ZERO = np.argsort(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, kind="stable")
+
+
 class EliasFano:
-    """A sorted sequence of 64-bit numbers: low bytes in a row, high parts in unary."""
+    """A sorted sequence of 64-bit numbers: low bytes in a row, high parts in unary.
+
+    Both stay packed: a look-up selects in the unary code, by a count of zeros for every BLOCK bytes, and
+    searches among the low bytes in place.
+    """
 
     def __init__(self, values: np.ndarray):
         n, top = len(values), int(values[-1]) if len(values) else 0
         spare = max(0, top.bit_length() - max(1, n).bit_length() + 2)
         self.n, self.low_bytes = n, min(7, -(-spare // 8))
-        shift = np.uint64(8 * self.low_bytes)
-        high = (values >> shift).astype(np.int64)
-        bits = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+        high = (values >> np.uint64(8 * self.low_bytes)).astype(np.int64)
+        self.buckets = (int(high[-1]) if n else 0) + 1
+        bits = np.zeros(-(-(self.buckets + n) // (8 * BLOCK)) * 8 * BLOCK, np.uint8)
         bits[high + np.arange(n)] = 1
         packed = np.packbits(bits)
         low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, : self.low_bytes] if n else np.zeros((0, 0), np.uint8)
-        self.memory = mmap.mmap(-1, max(1, packed.nbytes + low.nbytes))
-        self.memory[: packed.nbytes] = packed.tobytes()
-        self.memory[packed.nbytes : packed.nbytes + low.nbytes] = low.tobytes()
-        self.bits, self.high_bytes = len(bits), packed.nbytes
-
-    def open(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bucket of each high part (from the zeros of the unary code), and the low parts."""
-        bits = np.unpackbits(np.frombuffer(self.memory, np.uint8, self.high_bytes), count=self.bits)
-        zeros = np.flatnonzero(bits == 0)
-        bounds = np.concatenate([[0], zeros - np.arange(len(zeros))])
-        low = np.zeros((self.n, 8), np.uint8)
-        low[:, : self.low_bytes] = np.frombuffer(self.memory, np.uint8, self.n * self.low_bytes, self.high_bytes).reshape(self.n, self.low_bytes)
-        return bounds, low.view("<u8").ravel()
+        self.low_at = packed.nbytes
+        self.memory = mmap.mmap(-1, packed.nbytes + low.nbytes + 8)  # the last low part is read as 8 bytes, too
+        self.memory[: self.low_at] = packed.tobytes()
+        self.memory[self.low_at : self.low_at + low.nbytes] = low.tobytes()
+        zeros = 8 * BLOCK - np.bitwise_count(packed.reshape(-1, BLOCK)).sum(1, dtype=np.int64)
+        self.ahead = np.cumsum(zeros) - zeros
+
+    def first_of(self, bucket: np.ndarray) -> np.ndarray:
+        """How many elements lie in buckets before these: the ones before the zero that ends the one before."""
+        blocks = np.frombuffer(self.memory, np.uint8, self.low_at).reshape(-1, BLOCK)
+        out = np.zeros(len(bucket), np.int64)
+        for at in range(0, len(bucket), LOOK_UPS):
+            zero = bucket[at : at + LOOK_UPS] - 1
+            own = np.maximum(np.searchsorted(self.ahead, zero, "right") - 1, 0)
+            held = blocks[own]
+            upto = np.cumsum(np.bitwise_count(~held), axis=1, dtype=np.int16)
+            rest = zero - self.ahead[own]
+            byte = np.minimum((upto <= rest[:, None]).sum(1), BLOCK - 1)
+            row = np.arange(len(zero))
+            rest = rest - np.where(byte > 0, upto[row, byte - 1], 0)
+            place = (own * BLOCK + byte) * 8 + ZERO[held[row, byte], np.clip(rest, 0, 7)]
+            out[at : at + LOOK_UPS] = np.where(zero >= 0, place - zero, 0)
+        return out
+
+    def low(self, place: np.ndarray) -> np.ndarray:
+        """Low parts of the elements at these places."""
+        if not self.low_bytes:
+            return np.zeros(len(place), np.uint64)
+        return np.ndarray((self.n,), "<u8", self.memory, self.low_at, (self.low_bytes,))[place] & np.uint64((1 << 8 * self.low_bytes) - 1)
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each number, the place of the first element not below it, and whether that is the number itself."""
-        bounds, low = self.open()
+        if not self.n:
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
         shift = np.uint64(8 * self.low_bytes)
         high = wanted >> shift
-        rest = wanted - (high << shift) if self.low_bytes else np.zeros(len(wanted), np.uint64)
-        bucket = np.minimum(high, np.uint64(len(bounds) - 2)).astype(np.int64)
-        past = high > np.uint64(len(bounds) - 2)
-        first, after = bounds[bucket], np.where(past, bounds[bucket + 1], bounds[bucket + 1])
-        first = np.where(past, self.n, first)
-        after = np.where(past, self.n, after)
+        rest = wanted - (high << shift)
+        past = high >= np.uint64(self.buckets)
+        bucket = np.minimum(high, np.uint64(self.buckets - 1)).astype(np.int64)
+        after = self.first_of(bucket + 1)
+        first = np.where(past, self.n, self.first_of(bucket))
         end = after.copy()
-        while (open_ := first < after).any():
-            middle = (first + after) >> 1
-            less = open_ & (low[np.minimum(middle, max(self.n - 1, 0))] < rest)
-            first = np.where(less, middle + 1, first)
-            after = np.where(open_ & ~less, middle, after)
+        while len(open_ := np.flatnonzero(first < after)):
+            middle = (first[open_] + after[open_]) >> 1
+            less = self.low(middle) < rest[open_]
+            first[open_[less]] = middle[less] + 1
+            after[open_[~less]] = middle[~less]
         hit = first < end
-        if self.n:
-            hit &= low[np.minimum(first, self.n - 1)] == rest
+        hit[hit] = self.low(first[hit]) == rest[hit]
         return first, hit
 
 
