@@ -8,9 +8,10 @@ edit distance.
 
 Where one segment is shared by very many lines (templates), pairs within the group are not made. With one
 edit, all of two lines but the window that holds it is unchanged, so the lines of such groups are keyed
-anew by all that lies outside each of many small windows. Groups that are large even so are joined on
-the lines with one character taken out, which are equal just where two lines lie within one edit, and the
-smallest of each is found by aggregation alone.
+anew by all that lies outside each of a few windows; the windows of groups that are large even so are cut
+again, down to single characters. Lines equal but for one place are then paired with the earliest of them
+alone, and lines with one character taken out with the one line that they equal so: the pairs number no
+more than the lines. They are verified as all others are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import SPACES, documents, keep, small, table
 EDITS = 1
 #: Shorter lines are only compared for equality: an edit would be a large part of them.
 LEAST = 20
-#: Lines that share a key, beyond which the group is keyed more finely; windows of the finer keys.
+#: Lines that share a key, beyond which the group is keyed more finely; parts that a window is cut into then.
 HOT, WINDOWS = 64, 32
 
 
@@ -111,28 +112,49 @@ def probes(line: Column, n: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def windows(line: Column, n: Column, shorter: int, count: int) -> Column:
-    """Keys of all but one window of the line of length n, as a line shorter by 0 or 1 would have them."""
-    m = n - shorter
-    at = lambda q: F.floor(m * q / count).cast("int")
-    return F.array(*[F.xxhash64(m, F.lit(q), F.substring(line, F.lit(1), at(q)), F.substring(line, at(q + 1) + (shorter + 1), n)) for q in range(count)])
+def _last_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) within crowded groups of rows(id, shorter, s, e, line, place) whose window is one place at most."""
+    line, n, s = F.col("line"), F.length("line"), F.col("s").cast("int")
+    without = lambda p, mark="": F.md5(F.concat(F.substring(line, F.lit(1), p), F.lit(mark), F.substring(line, p + 2, n)))
+    same = keep(rows.where("shorter = 0 and e > s").select(without(s, "\n").alias("key"), "id", "place"))
+    least = keep(same.groupBy("key").agg(F.min(F.struct("place", "id"))["id"].alias("a")))
+    changed = same.join(small(least), "key").where("a != id").select("a", F.col("id").alias("b"))
+    whole = rows.where("shorter = 0").select(F.md5("line").alias("key"), F.col("id").alias("a")).distinct()
+    cut = rows.where("shorter = 1").select(F.explode(F.transform(F.sequence(s, F.col("e").cast("int")), lambda p: without(p))).alias("key"), F.col("id").alias("b"))
+    return changed.union(whole.join(cut, "key").select("a", "b"))
 
 
-def _hot_links(lines: DataFrame) -> DataFrame:
-    """Ids of lines(id, line, place) that lie within one edit of one of an earlier place, without making pairs.
+def _crowded_pairs(own: DataFrame, hot: int, count: int) -> DataFrame:
+    """Pairs (a, b) of own(id, line, place), of which those within one edit are a part; of the lines of a group of more than hot no pairs are made.
 
-    Two lines of one length differ in character p alone just where they are equal without it; one line is
-    another with a character taken out just where it equals it without that character.
+    Rows stand for a line, as one of its own length (shorter 0) or as one with a character more than another
+    (shorter 1), and a window from s to e of the other's places, outside which both are equal.
     """
-    n, line = F.length("line"), F.col("line")
-    before, after = lambda p: F.substring(line, F.lit(1), p - 1), lambda p: F.substring(line, p + 1, n)
-    without = F.transform(F.sequence(F.lit(1), n), lambda p: F.struct(F.md5(F.concat(before(p), F.lit("\n"), after(p))).alias("same"), F.md5(F.concat(before(p), after(p))).alias("cut")))
-    cuts = lines.select("id", "place", F.explode(without).alias("c"))
-    # side 0: equal but for one place; 1: with one character taken out; 2: as it is, met by those of side 1.
-    change = cuts.select("id", "place", F.col("c.same").alias("key"), F.lit(0).alias("side")).union(cuts.select("id", "place", F.col("c.cut"), F.lit(1))).union(lines.select("id", "place", F.md5("line"), F.lit(2)))
-    least = change.groupBy("key").agg(*(F.min(F.when(F.col("side") == k, F.col("place"))).alias(f"least{k}") for k in range(3)))
-    earlier = F.when(F.col("side") == 0, F.col("least0")).when(F.col("side") == 1, F.col("least2")).otherwise(F.col("least1"))
-    return change.join(least, "key").where(earlier < F.col("place")).select("id")
+    line, n = F.col("line"), F.length("line")
+    wide = own.select("id", "line", F.explode(F.array(F.lit(0), F.lit(1))).alias("shorter")).select("*", F.lit(0).cast("long").alias("s"), (n - F.col("shorter")).cast("long").alias("e"))
+    found = None
+    while True:
+        size, parts = F.col("e") - F.col("s"), F.least(F.col("e") - F.col("s"), F.lit(count).cast("long"))
+        at = lambda q: F.col("s") + F.floor(size * q / parts)
+        finer = wide.where("e > s").withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).select("id", "line", "shorter", at(F.col("q")).alias("s"), at(F.col("q") + 1).alias("e"))
+        outside = F.xxhash64(n - F.col("shorter"), "s", "e", F.substring(line, F.lit(1), F.col("s").cast("int")), F.substring(line, (F.col("e") + F.col("shorter") + 1).cast("int"), n))
+        level = keep(finer.select("id", "shorter", "s", "e", outside.alias("key")))
+        crowd = keep(level.where("shorter = 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
+        none = crowd.isEmpty()
+        crowd = small(crowd)
+        calm = level if none else level.join(crowd, "key", "left_anti")
+        pairs = _meet(calm.where("shorter = 0").select("key", F.col("id").alias("a")), calm.select("key", F.col("id").alias("b")))
+        found = pairs if found is None else found.union(pairs)
+        if none:
+            return found
+        full = keep(level.join(crowd, "key", "left_semi").drop("key").join(own, "id"))
+        found = found.union(_last_pairs(full.where("e - s <= 1")))
+        wide = full.where("e - s > 1").drop("place")
+
+
+def _meet(index: DataFrame, asks: DataFrame) -> DataFrame:
+    """Different ids a, b of index(key, a) and asks(key, b) that share a key, the smaller as a."""
+    return index.join(asks, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_lines(lines: DataFrame, keys: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
@@ -142,30 +164,22 @@ def near_lines(lines: DataFrame, keys: DataFrame, edits: int = EDITS, hot: int =
     """
     index = keys.select(F.explode("segments").alias("key"), F.col("id").alias("a"))
     asks = keys.select(F.explode("probes").alias("key"), F.col("id").alias("b"))
-    meet = lambda index, asks: index.join(asks, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = lambda index: small(keep(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")))
-    inside = lambda index, asks, crowd: keep(index.join(crowd, "key", "left_semi").select(F.col("a").alias("id")).union(asks.join(crowd, "key", "left_semi").select("b")).distinct())
-    found = fine = None
+    fine = None
     if edits == 1:
-        crowd = crowded(index)
+        crowd = keep(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
         if not crowd.isEmpty():
-            own = keep(lines(inside(index, asks, crowd)).join(keys.select("id", "place"), "id"))
+            crowd = small(crowd)
+            inside = keep(index.join(crowd, "key", "left_semi").select(F.col("a").alias("id")).union(asks.join(crowd, "key", "left_semi").select("b")).distinct())
+            fine = _crowded_pairs(keep(lines(inside).join(keys.select("id", "place"), "id")), hot, WINDOWS)
             index = index.join(crowd, "key", "left_anti")
-            line, n = F.col("line"), F.length("line")
-            fine_index = own.select(F.explode(windows(line, n, 0, WINDOWS)).alias("key"), F.col("id").alias("a"))
-            fine_asks = own.select(F.explode(F.concat(windows(line, n, 0, WINDOWS), windows(line, n, 1, WINDOWS))).alias("key"), F.col("id").alias("b"))
-            crowd = crowded(fine_index)
-            if not crowd.isEmpty():
-                found = _hot_links(own.join(inside(fine_index, fine_asks, crowd), "id", "left_semi"))
-                fine_index = fine_index.join(crowd, "key", "left_anti")
-            fine = meet(fine_index, fine_asks)
-    pairs = meet(index, asks)
-    pairs = keep((pairs.union(fine) if fine is not None else pairs).distinct())
+    pairs = _meet(index, asks)
+    if fine is not None:
+        pairs = pairs.union(fine.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = keep(pairs.distinct())
     text = keep(lines(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()).join(keys.select("id", "place"), "id"))
     side = lambda c: text.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
-    near = close.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id"))
-    return (near.union(found) if found is not None else near).distinct()
+    return close.select(F.when(F.col("place_a") < F.col("place_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
 def line_dedup(docs: DataFrame, edits: int = EDITS, hot: int = HOT) -> DataFrame:
