@@ -158,13 +158,13 @@ def test_line_dedup(spark, nothing, monkeypatch, edits, hot, windows):
 
 
 def test_crowds_of_long_lines(spark, monkeypatch):
-    """Many lines of 30,000 characters beside one that each is an edit away from; others are further away."""
+    """Many lines of 3,000 characters beside one that each is an edit away from; others are further away."""
     monkeypatch.setattr(line_dedup, "WINDOWS", 16)
     r = random.Random(4)
-    base = "".join(r.choice("abcdefg") for _ in range(30_000))
+    base = "".join(r.choice("abcdefg") for _ in range(3_000))
     put = lambda at, c, cut=1: base[:at] + c + base[at + cut :]
-    near = [put(20_000 + k, "x") for k in range(12)] + [put(20_005, c) for c in "pqrstuv"] + [put(20_010 + k, "y", 0) for k in range(12)] + [put(29_999, ""), put(0, ""), put(0, "w", 0)]
-    far = [put(20_000 + k, "uvm") for k in range(12)]
+    near = [put(2_000 + k, "x") for k in range(12)] + [put(2_005, c) for c in "pqrstuv"] + [put(2_010 + k, "y", 0) for k in range(12)] + [put(2_999, ""), put(0, ""), put(0, "w", 0)]
+    far = [put(2_000 + k, "uvm") for k in range(12)]
     got = line_dedup.line_dedup(spark.createDataFrame([(k, x) for k, x in enumerate([base, *near, *far])], "doc_id long, text string"), hot=3).collect()
     lines, told = [base, *near, *far], {x.doc_id: x.n_near for x in got}
     close = lambda x, y: abs(len(x) - len(y)) <= 1 and one_edit(x, y)
