@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, token_files
+from . import exact_dedup, hard_negatives, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, spelling, token_files, tree_bpe
 
 QUERIES = {
     "op1_sentencepiece": piece_codec.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_model": language_model.op8_language_model,
     "op9_nearest_neighbours": nearest.op9_nearest_neighbours,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_tree_bpe": tree_bpe.op12_tree_bpe,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-SQL = {**exact_dedup.SQL}
+SQL = {**exact_dedup.SQL, **spelling.SQL, **hard_negatives.SQL}
