@@ -16,6 +16,7 @@ UNITS = {
     "billions": "100", "billion": "100", "bn": "100", "millions": "0.1", "million": "0.1", "mn": "0.1", "thousands": "0.0001", "thousand": "0.0001", "rupees": "0.0000001", "rupee": "0.0000001",
 }
 VALUE, MISSING, ERROR = "value", "not_reported", "error"
+NO_FIGURE = "Not reported"
 
 
 def let(value: Column, body) -> Column:
@@ -79,7 +80,7 @@ def group_indian(value: Column, places: int = 2) -> Column:
 
 
 def format_crore(value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("₹"), group_indian(value), F.lit(" cr")), F.lit("Not reported"))
+    return F.coalesce(F.concat(F.lit("₹"), group_indian(value), F.lit(" cr")), F.lit(NO_FIGURE))
 
 
 def sum_if_all(*parts: Column) -> Column:
@@ -91,17 +92,38 @@ def null_ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
 
-def lakh_crore(crore: Column) -> Column:
-    """An amount in crore as lakh crore, to two places."""
-    return F.concat((crore * F.lit("0.00001").cast("decimal(6,5)")).cast("decimal(18,2)").cast("string"), F.lit(" lakh crore"))
+def lakh_crore(crore: Column, places: int = 2) -> Column:
+    """An amount in crore as lakh crore: ₹48.32 lakh cr."""
+    return _with_signs(crore * F.lit("0.00001").cast("decimal(6,5)"), places, " lakh cr")
+
+
+def auto(crore: Column) -> Column:
+    """Lakh crore from one lakh crore on, whichever its sign, else crore, without places where the amount is whole."""
+    whole = F.round(crore * 100) % 100 == 0
+    small = F.when(whole, _with_signs(crore, 0, " cr")).otherwise(_with_signs(crore, 2, " cr"))
+    return F.when(F.abs(crore) >= 100000, lakh_crore(crore)).otherwise(F.coalesce(small, F.lit(NO_FIGURE)))
 
 
 def compact(crore: Column) -> Column:
-    """An amount in crore in its shortest form: lakhs or thousands of crore to one place, else whole crore."""
-    scaled = lambda by, places: (crore * F.lit(by).cast("decimal(6,5)")).cast(f"decimal(18,{places})").cast("string")
-    return F.when(crore >= 100000, F.concat(scaled("0.00001", 1), F.lit("L cr"))).when(crore >= 1000, F.concat(scaled("0.001", 1), F.lit("K cr"))).otherwise(F.concat(crore.cast("decimal(18,0)").cast("string"), F.lit(" cr")))
+    """For the labels of an axis: no sign of currency, places from one lakh crore on and below ten crore; empty if not reported."""
+    size, text = F.abs(crore), lambda x, places: group_indian(_rounded(x, places), places)
+    return F.coalesce(
+        F.when(size >= 100000, F.concat(text(crore * F.lit("0.00001").cast("decimal(6,5)"), 2), F.lit(" lakh cr"))).when(size >= 10, F.concat(text(crore, 0), F.lit(" cr"))).otherwise(F.concat(text(crore, 2), F.lit(" cr"))),
+        F.lit(""),
+    )
+
+
+def _rounded(value: Column, places: int) -> Column:
+    return F.round(value, places).cast(f"decimal(30,{places})")
+
+
+def _with_signs(value: Column, places: int, unit: str) -> Column:
+    """The sign stands before that of the currency."""
+    number = group_indian(F.abs(_rounded(value, places)), places)
+    return F.coalesce(F.concat(F.when(value < 0, "-").otherwise(""), F.lit("₹"), number, F.lit(unit)), F.lit(NO_FIGURE))
 
 
-def percent(share: Column, places: int = 1) -> Column:
-    """A share of one in percent."""
-    return F.concat((share * 100).cast(f"decimal(18,{places})").cast("string"), F.lit("%"))
+def percent(value: Column, places: int = 1, signed: bool = False) -> Column:
+    """A percentage, 42.35 as 42.4%."""
+    plus = F.when(value >= 0, "+").otherwise("") if signed else F.lit("")
+    return F.coalesce(F.concat(plus, group_indian(_rounded(value, places), places), F.lit("%")), F.lit(NO_FIGURE))

@@ -71,31 +71,30 @@ def clean_cell(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-# What holds digits but is no figure: citations, year labels, dates, quarters, and signs of layout.
+# What holds digits but is no figure (citations, year labels, dates, quarters), and what a figure is.
 MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-PATTERNS = (
-    r"(?i)\[(?:source|tender|evidence):[^\]]*\]", r"(?i)\bFY ?[0-9]{2,4}(-[0-9]{2,4})?\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", rf"(?i)\b(?:[0-9]{{1,2}}\s+)?{MONTHS}\s+[0-9]{{4}}\b", r"\b[0-9]{4}-[0-9]{2}\b",
-    r"\b[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{2,4}\b", r"(?i)\bQ[1-4]\b", r"[*_#`]+",
+NO_FIGURES = (
+    r"\[(?:source|tender|evidence):[^\]]*\]", r"\bFY[0-9]{4}\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", rf"\b[0-9]{{1,2}}\s+{MONTHS}\s+[0-9]{{4}}\b", rf"\b{MONTHS}\s+[0-9]{{4}}\b", r"\b[0-9]{4}-[0-9]{2}\b", r"\bQ[1-4]\b",
 )
 NUMBER = r"([-+]?[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?)"
+#: Places after the point that printed figures are compared at; beyond them they must be equal.
+PLACES = 10
 
 
 def figures(prose: Column) -> Column:
-    """Numbers of a text, with their sign, as printed without grouping, after citations, year labels, dates and quarters are taken out."""
-    bare = prose
-    for pattern in PATTERNS:
-        bare = F.regexp_replace(bare, pattern, " ")
-    found = F.regexp_extract_all(bare, F.lit(NUMBER), 1)
-    return F.transform(found, lambda x: F.regexp_replace(x, ",", ""))
+    """Numbers of a text, with their sign, as printed without grouping, apart from citations, year labels, dates and quarters."""
+    bare = F.regexp_replace(prose, f"(?i){'|'.join(NO_FIGURES)}", " ")
+    found = F.transform(F.regexp_extract_all(bare, F.lit(NUMBER), 1), lambda x: F.regexp_replace(x, ",", ""))
+    return F.when(prose.rlike("[0-9]"), found).when(prose.isNotNull(), F.array().cast("array<string>"))
 
 
 def unsupported(printed: Column, allowed: Column) -> Column:
-    """Printed figures that no allowed value rounds to (half to even) at their own number of places."""
-    def places(x):
-        return F.when(x.contains("."), F.length(F.substring_index(x, ".", -1))).otherwise(0)
-
+    """Printed figures that no allowed value equals or rounds to (half to even) at their own number of places."""
     def known(x):
-        return F.exists(allowed, lambda v: F.reduce(F.sequence(F.lit(0), F.lit(6)), F.lit(False), lambda s, k: s | ((places(x) == k) & (F.abs(F.when(k == 0, F.bround(v, 0)).when(k == 1, F.bround(v, 1)).when(k == 2, F.bround(v, 2)).when(k == 3, F.bround(v, 3)).otherwise(v) - x.try_cast("double")) < 1e-9))))
+        places = F.when(x.contains("."), F.length(F.substring_index(x, ".", -1))).otherwise(0)
+        at = F.least(places, F.lit(PLACES)).cast("int") + 1
+        near = lambda a: F.abs(a - x.try_cast("double")) < 1e-9
+        return F.exists(allowed, lambda v: near(F.element_at(F.array(*[F.bround(v, k) for k in range(PLACES)], v), at)) | near(v))
 
     return F.filter(printed, lambda x: ~known(x))
 

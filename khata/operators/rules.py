@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from khata.functions.calendar import fy_end
+from khata.functions.calendar import fraction_elapsed, fy_end
+from khata.plans.views import ratio
 
 # Thresholds. Each rule fires strictly above or below them where the name says over or under.
 MARCH = {"q4_over": 0.30, "march_over": 0.15, "q4_high": 0.45, "march_high": 0.25}
@@ -48,13 +49,28 @@ def trailing_tenders(summary: DataFrame, tenders: DataFrame) -> DataFrame:
     return joined.groupBy("fy", "ministry_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tenders_90d"))
 
 
-def evaluate(summary: DataFrame, monthly: DataFrame, tenders: DataFrame) -> DataFrame:
-    """fy, entity_id, rule_id, severity and metric of every hit; a missing measure fires nothing."""
+def national_measures(summary: DataFrame) -> DataFrame:
+    """The nation's measures by year: the sums of its ministries', pace by the newest of their days."""
+    sums = summary.groupBy("fy").agg(*[F.sum(n).alias(n) for n in ("be", "re", "authority", "spent")], F.max("as_of").alias("as_of"))
+    elapsed = F.when(F.col("as_of").isNotNull(), fraction_elapsed(F.col("fy"), F.col("as_of")))
+    rows = sums.withColumn("elapsed", elapsed).withColumn("burn_ratio", F.when(F.col("elapsed") > 0, ratio(F.col("spent"), F.col("authority")) / F.col("elapsed")))
+    return rows.select("fy", F.lit("national").alias("entity_type"), F.lit("national").alias("entity_id"), "spent", "elapsed", "burn_ratio", ratio(F.col("re") - F.col("be"), F.col("be")).alias("revision"))
+
+
+def evaluate(summary: DataFrame, monthly: DataFrame, tenders: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """fy, entity_type, entity_id, rule_id, severity and metric of every hit; a missing measure fires nothing.
+
+    others: measures of schemes and of the nation, beside those of ministries; columns that they lack are missing. Money
+    released stands for money spent where it is known.
+    """
     hit = lambda fires, rule, level, metric: F.when(fires, F.struct(F.lit(rule).alias("rule_id"), level.alias("severity"), metric.cast("double").alias("metric")))
     march = march_measures(monthly)
     worst = outlier_measures(monthly).groupBy("fy", "entity_id").agg(F.max_by("z", F.struct(F.abs("z"), -F.col("month"))).alias("z"))
+    rows = summary.withColumnRenamed("ministry_id", "entity_id").select("fy", F.lit("ministry").alias("entity_type"), "entity_id", "spent", "elapsed", "burn_ratio", "revision", "capital_share", F.lit(None).cast("decimal(20,2)").alias("released"))
+    if others is not None:
+        rows = rows.unionByName(others, allowMissingColumns=True)
     rows = (
-        summary.withColumnRenamed("ministry_id", "entity_id").join(march, ["fy", "entity_id"], "left").join(worst, ["fy", "entity_id"], "left")
+        rows.join(march, ["fy", "entity_id"], "left").join(worst, ["fy", "entity_id"], "left")
         .join(trailing_tenders(summary, tenders).withColumnRenamed("ministry_id", "entity_id"), ["fy", "entity_id"], "left")
     )
     c = F.col
@@ -63,8 +79,8 @@ def evaluate(summary: DataFrame, monthly: DataFrame, tenders: DataFrame) -> Data
         hit((c("elapsed") > UNDER["elapsed_over"]) & (c("burn_ratio") < UNDER["burn_under"]), RULES[1], severity(c("burn_ratio") < UNDER["burn_high"]), c("burn_ratio")),
         hit((c("elapsed") >= OVER["elapsed_least"]) & (c("burn_ratio") > OVER["burn_over"]), RULES[2], severity(c("burn_ratio") > OVER["burn_high"]), c("burn_ratio")),
         hit(F.abs("revision") > SWING["over"], RULES[3], severity(F.abs("revision") > SWING["high"]), c("revision")),
-        hit((c("tenders_90d") == 0) & (c("spent").cast("double") >= NO_TENDER["spend_least"]) & (c("capital_share") >= NO_TENDER["capital_least"]), RULES[4], F.lit("info"), c("capital_share")),
+        hit((c("tenders_90d") == 0) & (F.coalesce("released", "spent").cast("double") >= NO_TENDER["spend_least"]) & (c("capital_share") >= NO_TENDER["capital_least"]), RULES[4], F.lit("info"), c("capital_share")),
         hit(F.abs("z") >= OUTLIER["z_least"], RULES[5], severity(F.abs("z") >= OUTLIER["z_high"]), c("z")),
     )
-    found = rows.select("fy", "entity_id", F.explode(F.array_compact(hits)).alias("h")).select("fy", "entity_id", "h.*")
+    found = rows.select("fy", "entity_type", "entity_id", F.explode(F.array_compact(hits)).alias("h")).select("fy", "entity_type", "entity_id", "h.*")
     return found.withColumn("status", F.lit("pending"))

@@ -10,6 +10,7 @@ from khata.operators import quality, rules, upsert, variance
 from khata.oracle import M, SUMMARY, elapsed, end, fy, month, quarter, ratio, start, with_parts
 from khata.plans import projection as p
 from khata.plans import views as v
+from khata.plans.once import once
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -138,10 +139,15 @@ FLAGS = (
 )
 
 
+def flags_and_summary(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The flags and the summary of ministries, over facts that are worked out once."""
+    current = once(v.current_facts(facts_of_ministries(spark, sf_dir)))
+    summary = once(v.summary(v.authority(current), v.expenditure_to_date(current)).withColumnRenamed("entity_id", "ministry_id").drop("entity_type"))
+    return rules.evaluate(summary, v.monthly_spend(current), p.tenders(spark, sf_dir)), summary
+
+
 def flags_of(spark, sf_dir) -> DataFrame:
-    facts = facts_of_ministries(spark, sf_dir)
-    current = v.current_facts(facts)
-    return rules.evaluate(v.ministry_summary(facts), v.monthly_spend(current), p.tenders(spark, sf_dir))
+    return flags_and_summary(spark, sf_dir)[0]
 
 
 @query(FLAGS + "SELECT fy, entity_id, rule_id, severity, round(metric, 6) AS metric, 'pending' AS status FROM flags")
@@ -153,8 +159,9 @@ def anomaly_flags(spark, sf_dir) -> DataFrame:
 @query(FLAGS + f", c AS (SELECT fy, entity_id, count(*) AS n, count(*) FILTER (WHERE severity = 'high') AS high FROM flags GROUP BY 1, 2) SELECT s.fy, ministry_id, coalesce(n, 0) AS flags, coalesce(high, 0) AS high FROM summary s LEFT JOIN c ON c.fy = s.fy AND c.entity_id = s.ministry_id")
 def flag_counts(spark, sf_dir) -> DataFrame:
     """Flags of every ministry and year, none counted as 0."""
-    counts = flags_of(spark, sf_dir).groupBy("fy", F.col("entity_id").alias("ministry_id")).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("h"))
-    return summary_of(spark, sf_dir).select("fy", "ministry_id").join(counts, ["fy", "ministry_id"], "left").select("fy", "ministry_id", F.coalesce("n", F.lit(0)).alias("flags"), F.coalesce("h", F.lit(0)).alias("high"))
+    flags, summary = flags_and_summary(spark, sf_dir)
+    counts = flags.groupBy("fy", F.col("entity_id").alias("ministry_id")).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("h"))
+    return summary.select("fy", "ministry_id").join(counts, ["fy", "ministry_id"], "left").select("fy", "ministry_id", F.coalesce("n", F.lit(0)).alias("flags"), F.coalesce("h", F.lit(0)).alias("high"))
 
 
 @query(with_parts("auth", "spent", "facts0", "current", "authority", "to_date", "summary", "monthly") + f"""
@@ -166,8 +173,8 @@ def flag_counts(spark, sf_dir) -> DataFrame:
     UNION ALL SELECT 'flow_without_period', 'error', fy, entity_id, CAST(NULL AS DOUBLE) FROM facts WHERE stage = 'EXPENDITURE' AND period_end IS NULL""")
 def invariants(spark, sf_dir) -> DataFrame:
     """Violations of the ledger's invariants, one row each."""
-    facts = facts_of_ministries(spark, sf_dir)
-    return quality.invariants(facts, v.current_facts(facts), summary_of(spark, sf_dir), p.ministries(spark, sf_dir), spark.createDataFrame([("budget",), ("accounts",)], "source_id string"))
+    facts = once(facts_of_ministries(spark, sf_dir))
+    return quality.invariants(facts, v.current_facts(facts), v.ministry_summary(facts), p.ministries(spark, sf_dir), spark.createDataFrame([("budget",), ("accounts",)], "source_id string"))
 
 
 @query(with_parts("run") + """, n AS (

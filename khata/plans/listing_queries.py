@@ -242,13 +242,20 @@ def aliases_of_organisations(spark, sf_dir) -> DataFrame:
     return resolve.by_alias(p.tenders(spark, sf_dir).select(F.col("org_raw").alias("name")).distinct(), aliases).withColumnRenamed("name", "org_raw")
 
 
-@query(f"""SELECT o_orderkey, CAST(CAST(CAST(o_totalprice AS {M}) / 100000 AS DECIMAL(18,2)) AS VARCHAR) || ' lakh crore' AS lakh_crore,
-        CASE WHEN o_totalprice >= 100000 THEN CAST(CAST(CAST(o_totalprice AS {M}) / 100000 AS DECIMAL(18,1)) AS VARCHAR) || 'L cr' WHEN o_totalprice >= 1000 THEN CAST(CAST(CAST(o_totalprice AS {M}) / 1000 AS DECIMAL(18,1)) AS VARCHAR) || 'K cr'
-             ELSE CAST(CAST(CAST(o_totalprice AS {M}) AS DECIMAL(18,0)) AS VARCHAR) || ' cr' END AS compact FROM orders""".replace(f"CAST(o_totalprice AS {M}) / 100000", f"CAST(o_totalprice AS {M}) * 0.00001").replace(f"CAST(o_totalprice AS {M}) / 1000", f"CAST(o_totalprice AS {M}) * 0.001"))
+def grouped(w: str) -> str:
+    """Whole numbers below a crore in Indian groups."""
+    return f"CASE WHEN {w} >= 100000 THEN ({w} // 100000) || ',' || printf('%02d,%03d', {w} // 1000 % 100, {w} % 1000) WHEN {w} >= 1000 THEN ({w} // 1000) || ',' || printf('%03d', {w} % 1000) ELSE CAST({w} AS VARCHAR) END"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END * CAST(o_totalprice AS {M}) AS v, o_orderkey % 7 = 0 AS gone FROM orders),
+    b AS (SELECT *, abs(v) AS x, CAST(round(abs(v)) AS BIGINT) AS w, CAST(floor(abs(v)) AS BIGINT) AS f, CAST(round(abs(v) * 100) AS BIGINT) % 100 AS paise, CASE WHEN v < 0 THEN '-' ELSE '' END AS sign, CAST(round(abs(v) / 1000) AS BIGINT) AS l FROM a)
+    SELECT o_orderkey, CASE WHEN gone THEN 'Not reported' ELSE sign || '₹' || (l // 100) || printf('.%02d lakh cr', l % 100) END AS lakh_crore,
+        CASE WHEN gone THEN '' WHEN x >= 100000 THEN sign || (l // 100) || printf('.%02d lakh cr', l % 100) ELSE sign || {grouped('w')} || ' cr' END AS compact,
+        CASE WHEN gone THEN 'Not reported' WHEN x >= 100000 THEN sign || '₹' || (l // 100) || printf('.%02d lakh cr', l % 100) WHEN paise = 0 THEN sign || '₹' || {grouped('f')} || ' cr' ELSE sign || '₹' || {grouped('f')} || printf('.%02d cr', paise) END AS auto FROM b""")
 def amounts_in_words(spark, sf_dir) -> DataFrame:
-    """Amounts in crore as lakh crore and in their shortest form."""
-    value = F.col("o_totalprice").cast("decimal(20,2)")
-    return p.table(spark, sf_dir, "orders").select("o_orderkey", money.lakh_crore(value).alias("lakh_crore"), money.compact(value).alias("compact"))
+    """Amounts in crore, some below zero and some not reported, as lakh crore, for an axis, and in the unit that reads best."""
+    value = F.when(F.col("o_orderkey") % 7 != 0, F.when(F.col("o_orderkey") % 5 == 0, -1).otherwise(1) * F.col("o_totalprice").cast("decimal(20,2)"))
+    return p.table(spark, sf_dir, "orders").select("o_orderkey", money.lakh_crore(value).alias("lakh_crore"), money.compact(value).alias("compact"), money.auto(value).alias("auto"))
 
 
 @query(r"""SELECT event_id, array_to_string(regexp_extract_all(props, '[:\[,]\s*(-?[0-9]+(?:\.[0-9]+)?)', 1), ' ') AS figures FROM events""")

@@ -106,3 +106,38 @@ def pipeline_runs(spark, sf_dir) -> DataFrame:
         F.col("event_id").alias("run_id"), F.concat(F.lit("src-"), (F.col("user_id") % 16).cast("string")).alias("source_id"), F.col("ts").alias("started_at"), status.alias("status"),
         F.get_json_object("props", "$.k").cast("int").alias("n_rows"), F.col("value").alias("total"),
     )
+
+
+def run_metrics(spark, sf_dir) -> DataFrame:
+    """Runs with what they measured: the events by user, in three datasets a source.
+
+    Rows that could not be read belong to clicks; signups have a column more, and views their columns in another order.
+    """
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    status = F.when(kind == "error", "failed").when(kind == "purchase", "drift_alert").otherwise("ok")
+    columns = F.when(kind == "signup", F.array(*map(F.lit, ("ministry", "amount", "revised")))).when(kind == "view", F.array(*map(F.lit, ("amount", "ministry")))).otherwise(F.array(*map(F.lit, ("ministry", "amount"))))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("run_id"), F.concat(F.lit("src-"), (F.col("user_id") % 16).cast("string")).alias("source_id"), F.concat(F.lit("set-"), (F.col("user_id") % 3).cast("string")).alias("dataset"),
+        F.col("ts").alias("started_at"), status.alias("status"), k.alias("n_rows"), F.col("value").cast("double").alias("total"), F.when(kind == "click", k % 10).otherwise(0).alias("n_errors"), columns.alias("columns"),
+    )
+
+
+def review_log(spark, sf_dir) -> DataFrame:
+    """Decisions on flags: purchases approve and errors reject a flag, told by event, user and payload; all else decides nothing."""
+    from khata.operators.rules import RULES
+
+    decision = F.when(F.col("event_type") == "purchase", "approved").when(F.col("event_type") == "error", "rejected").otherwise("opened")
+    return table(spark, sf_dir, "events").select(
+        F.get(F.array(*map(F.lit, RULES)), (F.col("event_id") % len(RULES)).cast("int")).alias("rule_id"), F.lit("ministry").alias("entity_type"), F.concat(F.lit("min-"), (F.col("user_id") % 25).cast("string")).alias("entity_id"),
+        F.concat(F.lit("FY"), (1993 + F.get_json_object("props", "$.k").cast("int") % 20).cast("string")).alias("fy"), decision.alias("decision"), F.col("ts").alias("decided_at"), F.col("user_id").cast("string").alias("reviewer"),
+    )
+
+
+def evidence_items(spark, sf_dir) -> DataFrame:
+    """evidence_id, entity_type, entity_id, kind, title, published, summary: all orders; urgent and high ones have a summary."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    summary = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.concat("c_name", F.lit(": "), "o_orderstatus"))
+    return orders.join(customers, orders.o_custkey == customers.c_custkey).select(
+        F.col("o_orderkey").cast("long").alias("evidence_id"), F.lit("ministry").alias("entity_type"), F.concat(F.lit("min-"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.lit("order").alias("kind"),
+        F.col("c_name").alias("title"), F.to_date("o_orderdate").alias("published"), summary.alias("summary"),
+    )

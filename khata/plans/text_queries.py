@@ -71,12 +71,13 @@ def search_entities(spark, sf_dir) -> DataFrame:
     return search.find(nations.union(goods), ["small", "gear"])
 
 
-BARE = "text"
-for _pattern in text.PATTERNS:
-    BARE = f"regexp_replace({BARE}, '{_pattern}', ' ', 'g')"
+DATES = "January|February|March|April|May|June|July|August|September|October|November|December"
+BARE = r"regexp_replace(regexp_replace(text, '(?i)\[(?:source|tender|evidence):[^\]]*\]', ' ', 'g'), '(?i)\bFY[0-9]{4}\b', ' ', 'g')"
+BARE = rf"regexp_replace({BARE}, '(?i)\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b|\b[0-9]{{1,2}}\s+(?:{DATES})\s+[0-9]{{4}}\b|\b(?:{DATES})\s+[0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}\b', ' ', 'g')"
+BARE = rf"regexp_replace({BARE}, '(?i)\bQ[1-4]\b', ' ', 'g')"
 
 
-@query(rf"""SELECT doc_id, len(regexp_extract_all({BARE}, '{text.NUMBER}')) AS n_figures FROM documents""")
+@query(rf"""SELECT doc_id, len(regexp_extract_all({BARE}, '[-+]?[0-9]{{1,3}}(?:,[0-9]{{2,3}})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?')) AS n_figures FROM documents""")
 def figures_in_prose(spark, sf_dir) -> DataFrame:
     """How many figures every document states, apart from dates, years and citations."""
     return p.table(spark, sf_dir, "documents").select("doc_id", F.size(text.figures(F.col("text"))).cast("long").alias("n_figures"))

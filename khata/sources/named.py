@@ -37,6 +37,12 @@ PERSONAL = (
 TOTALS = ("total", "grand total", "total expenditure", "total receipts", "gross total", "net total", "total of ministry")
 
 
+# Labels of money transferred and of counts of persons, longest first, and an amount as it stands in text.
+TRANSFERRED = ("total funds transferred", "funds transferred", "total amount released", "amount disbursed", "amount transferred", "total benefit released")
+COUNTED = ("total beneficiaries", "beneficiaries covered", "registered beneficiaries", "total farmers", "farmers benefited")
+AMOUNT = r"(?:₹|rs\.?|inr)?\s*[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:lakh\s+crore|thousand\s+crore|crore|cr\b\.?|lakh)?"
+
+
 def is_total(label: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.lower(label), "[^a-z ]", ""))
     return bare.isin(*TOTALS) | bare.startswith("total ")
@@ -121,11 +127,33 @@ def marketplace(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return first.where(money).withColumn("p", parse_crore(F.col("raw"))).select("page_id", "metric", F.col("p.value").alias("amount"), F.col("p.reason").alias("reason")), counts
 
 
-def farmer_transfers(pages: DataFrame) -> DataFrame:
-    """Amounts after their labels; pages with tables about persons are not read at all."""
-    public = page_text(pages).where(~_holds(F.lower("html"), PERSONAL))
-    raw = F.regexp_extract("prose", r"(?i)(?:total )?amount (?:transferred|disbursed)[^0-9₹R]*((?:₹|Rs\.?)? *[0-9][0-9,.]* *(?:lakh crore|crore|lakh)?)", 1)
-    return public.select("page_id", F.when(raw != "", parse_crore(raw)).alias("p")).where("p is not null").select("page_id", F.col("p.value").alias("amount"), F.col("p.reason").alias("reason"))
+def farmer_transfers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(money, counts) of a page on transfers to persons: page_id, stage or label, amount or n, and reason where an amount can't be read.
+
+    Tables whose first row names a mark of persons are not read at all, nor are rows that do; then come boxes of figures (up to
+    160 characters) and the text beside the tables. Only the listed labels give an amount, the one after the label; of each
+    stage the first stands, and of each label of a count.
+    """
+    about = page_text(pages).select("page_id", unit_of(F.col("prose")).alias("unit"))
+    rows = web.table_rows(pages)
+    text = F.lower(F.array_join("cells", " "))
+    personal = rows.where((F.col("row_no") == 0) & _holds(text, PERSONAL)).select("page_id", "table_no")
+    records = rows.where((F.col("row_no") > 0) & (F.size("cells") >= 2) & ~_holds(text, PERSONAL)).join(personal, ["page_id", "table_no"], "left_anti")
+    in_tables = records.select("page_id", F.lit(0).alias("kind"), F.col("table_no").alias("x"), F.col("row_no").alias("y"), clean_cell(F.col("cells")[0]).alias("label"), clean_cell(F.col("cells")[1]).alias("raw"))
+    outside = pages.select("page_id", F.regexp_replace("html", "(?is)<table.*?</table>", " ").alias("html"))
+    bare = lambda c: clean_cell(F.regexp_replace(c, "<[^>]*>", " "))
+    boxes = outside.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<(\w+)[^>]*\bclass\s*=\s*["'][^"']*(?:stat|tile|card|count)[^>]*>(.*?)</\1>"""), F.lit(2))).alias("x", "html"))
+    boxes = boxes.select("page_id", F.lit(1).alias("kind"), "x", bare(F.col("html")).alias("text")).where(F.char_length("text") <= 160)
+    spoken = boxes.union(outside.select("page_id", F.lit(2).alias("kind"), F.lit(0).alias("x"), bare(F.col("html")).alias("text")))
+    named_in = spoken.select("page_id", "kind", "x", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?i)((?:{'|'.join((*TRANSFERRED, *COUNTED))})[^0-9]{{0,40}}{AMOUNT})"), F.lit(1))).alias("y", "said"))
+    said = named_in.select("page_id", "kind", "x", "y", F.regexp_extract("said", f"(?i)({'|'.join((*TRANSFERRED, *COUNTED))})", 1).alias("label"), F.regexp_extract("said", f"(?i)({AMOUNT})$", 1).alias("raw"))
+    every = in_tables.union(said)
+    order = F.struct("kind", "x", "y")
+    money = every.where(_holds(F.lower("label"), TRANSFERRED)).groupBy("page_id").agg(F.min_by("raw", order).alias("raw")).join(about, "page_id")
+    parsed = money.withColumn("p", parse_crore(F.col("raw"), F.col("unit")))
+    counts = every.where(_holds(F.lower("label"), COUNTED) & ~_holds(F.lower("label"), TRANSFERRED)).withColumn("label", F.lower("label"))
+    counts = counts.groupBy("page_id", "label").agg(F.min_by("raw", order).alias("raw")).select("page_id", "label", longest_count(F.col("raw")).alias("n"))
+    return parsed.select("page_id", F.lit("RELEASE").alias("stage"), F.col("p.value").alias("amount"), F.col("p.reason").alias("reason")), counts
 
 
 def press_releases(pages: DataFrame) -> DataFrame:

@@ -72,9 +72,21 @@ def test_aliases(spark):
     assert got == {"roads dept": ("r1", "alias"), "Water!": ("w", "review"), "Air": (None, "unknown"), None: (None, "unknown")}
 
 
-def test_formats_of_amounts(spark):
-    d = F.lit("123456.789").cast("decimal(20,3)").cast("decimal(20,2)")
-    assert tuple(one(spark, a=money.lakh_crore(d), b=money.compact(d), c=money.compact(F.lit("2500").cast("decimal(20,2)")), d=money.percent(F.lit(0.1234)))) == ("1.23 lakh crore", "1.2L cr", "2.5K cr", "12.3%")
+@pytest.mark.parametrize(
+    "value, lakh, auto, compact",
+    [
+        ("4832000", "₹48.32 lakh cr", "₹48.32 lakh cr", "48.32 lakh cr"), ("99999", "₹1.00 lakh cr", "₹99,999 cr", "99,999 cr"), ("100000", "₹1.00 lakh cr", "₹1.00 lakh cr", "1.00 lakh cr"), ("12345", "₹0.12 lakh cr", "₹12,345 cr", "12,345 cr"),
+        ("250000", "₹2.50 lakh cr", "₹2.50 lakh cr", "2.50 lakh cr"), ("-5000", "-₹0.05 lakh cr", "-₹5,000 cr", "-5,000 cr"), ("9.5", "₹0.00 lakh cr", "₹9.50 cr", "9.50 cr"), ("123456789", "₹1,234.57 lakh cr", "₹1,234.57 lakh cr", "1,234.57 lakh cr"),
+        (None, "Not reported", "Not reported", ""), ("-150000", "-₹1.50 lakh cr", "-₹1.50 lakh cr", "-1.50 lakh cr"), ("0", "₹0.00 lakh cr", "₹0 cr", "0.00 cr"),
+    ],
+)
+def test_formats_of_amounts(spark, value, lakh, auto, compact):
+    d = F.lit(value).cast("decimal(20,2)")
+    assert tuple(one(spark, a=money.lakh_crore(d), b=money.auto(d), c=money.compact(d))) == (lakh, auto, compact)
+
+
+def test_percentages_and_units(spark):
+    assert tuple(one(spark, a=money.percent(F.lit(42.35)), b=money.percent(F.lit(None).cast("double")), c=money.percent(F.lit(-3.2), signed=True), d=money.percent(F.lit(3.2), signed=True))) == ("42.4%", "Not reported", "-3.2%", "+3.2%")
     assert one(spark, a=money.unit_of(F.lit("Rupees in lakh crore"))).a == "lakh crore" and one(spark, a=money.unit_of(F.lit("scrubs"))).a is None
 
 
@@ -124,6 +136,9 @@ def test_names(spark):
     assert one(spark, a=text.figures(F.lit("In FY2026 (2025-04-01) spend was 1,23,456.5 and 12% [3]"))).a == ["123456.5", "12", "3"]
     assert one(spark, a=text.figures(F.lit("On 15 August 2025, in fy2026 and q1, it fell -4.5 [source:412] to 3000 [Evidence:7]"))).a == ["-4.5", "3000"]
     assert one(spark, a=text.unsupported(F.array(F.lit("12.5"), F.lit("13"), F.lit("7")), F.array(F.lit(12.46), F.lit(12.5001)))).a == ["7"]
+    assert one(spark, a=text.figures(F.lit("spent FY 25 crore by 12/11/2025, FY2026, March 2025, 2025-26"))).a == ["25", "12", "11", "2025"]
+    assert one(spark, a=text.figures(F.lit("no digits"))).a == [] and one(spark, a=text.figures(F.lit(None).cast("string"))).a is None
+    assert one(spark, a=text.unsupported(F.array(F.lit("1.2345"), F.lit("1.234499995"), F.lit("1.2346")), F.array(F.lit(1.23449999)))).a == ["1.234499995", "1.2346"]
     assert one(spark, a=text.banned_words(F.lit("A Scammer and a discam"))).a == ["scam"]
 
 

@@ -34,7 +34,19 @@ def test_accounts_without_a_period_are_errors(spark):
 
 @pytest.mark.parametrize("mark", named.PERSONAL)
 def test_tables_about_persons_are_refused(spark, mark):
-    assert named.farmer_transfers(pages(spark, f"<p>Amount transferred: Rs 3 crore</p><table><tr><th>{mark.title()}</th></tr></table>")).count() == 0
+    table = "<table>" + row("Total", mark.title()) + row("Funds transferred", "Rs 3 crore") + "</table>"
+    beside = "<table>" + row("Item", "Figure") + row(f"Funds transferred by {mark}", "9 crore") + row("Amount disbursed", "Rs 5 crore") + "</table>"
+    got = named.farmer_transfers(pages(spark, table, table + beside))[0].collect()
+    assert [(r.page_id, float(r.amount)) for r in got] == [(1, 5.0)]
+
+
+def test_transfers_beside_menus_and_in_boxes(spark):
+    menu = '<div class="mobile-menu">Menu</div><p>Total funds transferred: Rs. 700 crore</p>'
+    box = '<div class="stat-box"><span>Total beneficiaries</span> 9,12,345</div><div class="card">Amount Disbursed <b>₹ 2 lakh crore</b></div>'
+    bad = "<table>" + row("Item", "Figure") + row("Total amount released", "about 5%") + "</table>"
+    money, counts = named.farmer_transfers(pages(spark, menu, box, bad, "<p>Total funds: 5 crore</p>"))
+    assert [(r.page_id, r.amount and float(r.amount), r.reason is None) for r in money.orderBy("page_id").collect()] == [(0, 700.0, True), (1, 200000.0, True), (2, None, False)]
+    assert [(r.page_id, r.label, r.n) for r in counts.collect()] == [(1, "total beneficiaries", 912345)]
 
 
 def test_scheme_releases(spark):
@@ -61,7 +73,7 @@ def test_employment_and_market(spark):
 def test_press_and_persons(spark):
     page = "<h3>Ministry A</h3><a href='x?PRID=1'>One</a><a href='x?PRID=2'>Two</a><h3>Ministry B</h3><a href='x?PRID=3'>Three</a><a href='x?PRID=1'>One again</a>"
     assert {(r.release_id, r.ministry, r.title) for r in named.press_releases(pages(spark, page)).collect()} == {("1", "Ministry A", "One"), ("2", "Ministry A", "Two"), ("3", "Ministry B", "Three")}
-    got = named.farmer_transfers(pages(spark, "<p>Total amount transferred: ₹ 3 lakh crore</p>", "<p>Amount transferred: ₹ 3 crore</p><table><tr><td>Aadhaar</td></tr></table>")).collect()
+    got = named.farmer_transfers(pages(spark, "<p>Total amount transferred: ₹ 3 lakh crore</p>", "<table><tr><td>Aadhaar</td></tr><tr><td>Amount transferred</td><td>₹ 3 crore</td></tr></table>"))[0].collect()
     assert [(r.page_id, float(r.amount)) for r in got] == [(0, 300000.0)]
 
 
