@@ -95,7 +95,8 @@ PARTS = {
     "tender": f"""tender AS (
         SELECT o_orderkey, c_name AS org_raw, 'min-' || c_nationkey AS ministry_id, CAST(o_totalprice AS {M}) AS value,
                CASE o_orderstatus WHEN 'F' THEN 'awarded' WHEN 'O' THEN 'open' ELSE 'cancelled' END AS status, CAST(o_orderdate AS DATE) AS published
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')""",
+        FROM orders JOIN customer ON o_custkey = c_custkey)""",
+    "central": """central AS (SELECT o_orderkey, 'min-' || c_nationkey AS ministry_id, CAST(o_orderdate AS DATE) AS published FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT')""",
     "run": """run AS (
         SELECT event_id AS run_id, 'src-' || (user_id % 16) AS source_id, ts AS started_at, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'drift_alert' ELSE 'ok' END AS status,
                CAST(json_extract_string(props, '$.k') AS INTEGER) AS n_rows, value AS total FROM events)""",

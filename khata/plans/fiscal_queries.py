@@ -113,7 +113,7 @@ def z(x: str) -> str:
 
 
 FLAGS = (
-    with_parts("auth", "spent", "facts0", "current", "authority", "to_date", "summary", "monthly", "tender")
+    with_parts("auth", "spent", "facts0", "current", "authority", "to_date", "summary", "monthly", "central")
     + f""", march AS (
         SELECT fy, entity_id, {z('sum(amount) FILTER (WHERE month >= 10)')} / {z('sum(amount)')} AS q4, {z('sum(amount) FILTER (WHERE month = 12)')} / {z('sum(amount)')} AS march
         FROM monthly GROUP BY 1, 2 HAVING count(amount) = 12 AND sum(amount) > 0),
@@ -124,7 +124,7 @@ FLAGS = (
     worst AS (SELECT fy, entity_id, z FROM zs QUALIFY row_number() OVER (PARTITION BY fy, entity_id ORDER BY abs(z) DESC, month) = 1),
     trail AS (
         SELECT s.fy, s.ministry_id, count(t.o_orderkey) AS n FROM summary s
-        LEFT JOIN tender t ON t.ministry_id = s.ministry_id AND t.published > CAST(coalesce(s.as_of, {end('s.fy')}) - 90 AS DATE) AND t.published <= coalesce(s.as_of, {end('s.fy')}) GROUP BY 1, 2),
+        LEFT JOIN central t ON t.ministry_id = s.ministry_id AND t.published > CAST(coalesce(s.as_of, {end('s.fy')}) - 90 AS DATE) AND t.published <= coalesce(s.as_of, {end('s.fy')}) GROUP BY 1, 2),
     m AS (
         SELECT s.*, q4, march, w.z, t.n FROM summary s LEFT JOIN march a ON a.fy = s.fy AND a.entity_id = s.ministry_id LEFT JOIN worst w ON w.fy = s.fy AND w.entity_id = s.ministry_id
         LEFT JOIN trail t ON t.fy = s.fy AND t.ministry_id = s.ministry_id),
@@ -143,7 +143,7 @@ def flags_and_summary(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The flags and the summary of ministries, over facts that are worked out once."""
     current = once(v.current_facts(facts_of_ministries(spark, sf_dir)))
     summary = once(v.summary(v.authority(current), v.expenditure_to_date(current)).withColumnRenamed("entity_id", "ministry_id").drop("entity_type"))
-    return rules.evaluate(summary, v.monthly_spend(current), p.tenders(spark, sf_dir)), summary
+    return rules.evaluate(summary, v.monthly_spend(current), p.central_tenders(spark, sf_dir)), summary
 
 
 def flags_of(spark, sf_dir) -> DataFrame:

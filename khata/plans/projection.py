@@ -90,15 +90,20 @@ def fiscal_facts(spark, sf_dir) -> DataFrame:
 
 
 def tenders(spark, sf_dir) -> DataFrame:
-    """tender_id, org, ministry_id, value, status, published: urgent orders."""
+    """tender_id, org, ministry_id, value, status, published: all orders."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     status = F.when(F.col("o_orderstatus") == "F", "awarded").when(F.col("o_orderstatus") == "O", "open").otherwise("cancelled")
     return (
-        orders.where("o_orderpriority = '1-URGENT'").join(customers, orders.o_custkey == customers.c_custkey)
-        .select("o_orderkey", F.col("c_name").alias("org_raw"), F.concat(F.lit("min-"), F.col("c_nationkey").cast("string")).alias("ministry_id"), F.col("o_totalprice").cast(MONEY).alias("value"), status.alias("status"), F.to_date("o_orderdate").alias("published"))
+        orders.join(customers, orders.o_custkey == customers.c_custkey)
+        .select("o_orderkey", "o_orderpriority", F.col("c_name").alias("org_raw"), F.concat(F.lit("min-"), F.col("c_nationkey").cast("string")).alias("ministry_id"), F.col("o_totalprice").cast(MONEY).alias("value"), status.alias("status"), F.to_date("o_orderdate").alias("published"))
     )
 
 
+def central_tenders(spark, sf_dir) -> DataFrame:
+    """The tenders that a central portal carries, which is not all of them: the urgent ones. Read by the rule spend_no_tender alone."""
+    return tenders(spark, sf_dir).where("o_orderpriority = '1-URGENT'")
+
+
 def pipeline_runs(spark, sf_dir) -> DataFrame:
     """run_id, source_id, started_at, status, rows: the events, by user."""
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "drift_alert").otherwise("ok")

@@ -88,7 +88,7 @@ def flags_of_all_levels(spark, sf_dir) -> DataFrame:
     at = lambda s: F.max(F.when(F.col("stage") == s, F.col("amount")))
     schemes = p.scheme_facts(spark, sf_dir).groupBy("fy", "entity_type", "entity_id").agg(at("UTILIZATION").alias("spent"), at("RELEASE").alias("released"))
     others = rules.national_measures(summary).unionByName(schemes, allowMissingColumns=True)
-    return rules.evaluate(summary, v.monthly_spend(current), p.tenders(spark, sf_dir), others)
+    return rules.evaluate(summary, v.monthly_spend(current), p.central_tenders(spark, sf_dir), others)
 
 
 @query(EVERY_FLAG + "SELECT * FROM every")
