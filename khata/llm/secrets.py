@@ -27,12 +27,13 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "guess")
 
-# Names that make a credential context, the separators after them, and a value.
-CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pwd|passphrase|passcode|password|passwd|pass|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer)["']?(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)["']?([^\x00-\x20"'`<>\#,;()\[\]{}\x7f-\U0010ffff]{6,})""",
-    re.I | re.A,
-)
-CONTEXT_HINTS = ("pwd", "pass", "secret", "token", "key", "credential", "bearer")
+# Names that make a credential context, the separators after them, names that may stand between (a scheme, or a
+# name again), and a value.
+NAMES = r"pwd|passphrase|passcode|password|passwd|pass|secret|token|api[_-]?key|auth[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|authorization|bearer"
+SEPARATOR = r"(?:\x20*(?::=|=>|[:=])\x20*|\x20+is\x20+)"
+VALUE = r"""[^\x00-\x20"'`<>\#,;()\[\]{}\x7f-\U0010ffff]{6,}"""
+CONTEXT = re.compile(rf"""(?<![A-Za-z])(?:{NAMES})["']?{SEPARATOR}["']?(?:(?:{NAMES}|basic|digest)["']?(?:{SEPARATOR}|\x20+)["']?)*({VALUE})""", re.I | re.A)
+CONTEXT_HINTS = ("pwd", "pass", "secret", "token", "key", "credential", "authorization", "bearer")
 # Words that guessers try first, most likely first; a word's rank is its place.
 WORDS = (
     "password passwd pass secret admin root user test guest login welcome letmein master dragon monkey shadow sunshine princess "
@@ -69,8 +70,8 @@ PLACE = {c: (y, x) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
 LEET = str.maketrans("4@310$57!", "aaeiosstl")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 LETTER, DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
-#: log10 of the guesses from which a value is taken for a secret.
-GUESSES = 10.0
+#: log10 of the guesses from which a value is taken for a secret; characters of a unit that may repeat, at most.
+GUESSES, UNIT = 10.0, 64
 
 
 def _class(c: str) -> int:
@@ -80,7 +81,8 @@ def _class(c: str) -> int:
 def guess_cost(value: str, least: float = GUESSES, words: Words | None = None) -> float:
     """log10 of the guesses of the cheapest segmentation of value, or inf once that can't be below least; 0 for the empty value.
 
-    With k parts the guesses are the product of the parts' guesses times k factorial, which bounds k. One
+    With k parts the guesses are the product of the parts' guesses times k factorial, which bounds k. A repeat costs what
+    its unit does, by the unit's own cheapest segmentation, times how often it stands there. One
     pass keeps the costs at an end, those of spans that end later, and the repeats that are still open.
     """
     n = len(value)
@@ -98,6 +100,8 @@ def guess_cost(value: str, least: float = GUESSES, words: Words | None = None) -
     brute = [inf] * len(orders)  # the last part is a brute-force span
     later: dict[int, list[float]] = {}  # costs at later ends
     runs: dict[tuple[int, int], list[list[tuple[float, int]]]] = {}  # open repeats by size and place modulo size; by parts: costs of units and starts
+    prices: dict[str, float] = {}  # of units
+    ends: dict[int, int] = {}  # where the repetition of a size that was met last ends
 
     def to(end: int, more: float) -> None:
         own = later.get(end)
@@ -113,7 +117,7 @@ def guess_cost(value: str, least: float = GUESSES, words: Words | None = None) -
             rate = math.log10(_class(value[e - 1]))
             brute = [inf] + [c if (c := min(brute[k], cost[k - 1]) + rate) < room[k] else inf for k in parts]
             cost = brute if (own := later.pop(e, None)) is None else [min(x, y) for x, y in zip(brute, own)]
-            for size in range(1, 9) if runs else ():
+            for size in sorted({s for s, at in runs if at == e % s}) if runs else ():
                 if (open_runs := runs.get((size, e % size))) is None:
                     continue
                 if value[e - size : e] != value[e - 2 * size : e - size]:  # ended; one that begins here goes on
@@ -154,10 +158,22 @@ def guess_cost(value: str, least: float = GUESSES, words: Words | None = None) -
                 to(j, math.log10(rank) + math.log10(2) * changes)
         if m := DATE.match(value, e):  # some day of a century, or a year
             to(m.end(), math.log10(365 * 100 if len(m[0]) > 4 else 100))
-        for size in range(1, min(8, (n - e) // 2) + 1):  # repeats of a unit that is none itself
+        inside = 0  # up to here the value repeats a shorter unit, which units of a square inside are made of
+        for size in range(1, min(UNIT, (n - e) // 2) + 1):  # repeats of a unit that is none itself
+            if e + 2 * size <= inside:
+                continue
             unit = value[e : e + size]
-            if value.startswith(unit, e + size) and not any(size % x == 0 and unit == unit[:x] * (size // x) for x in range(1, size // 2 + 1)):
-                rate = size * math.log10(_class(value[e]))
+            if not value.startswith(unit, e + size) or (unit + unit).find(unit, 1) != size:
+                continue
+            if e + 2 * size > ends.get(size, 0):
+                end = e + 2 * size
+                while end < n and value[end] == value[end - size]:
+                    end += 1
+                ends[size] = end
+            inside = max(inside, ends[size])
+            if (rate := prices.get(unit)) is None:
+                rate = prices[unit] = guess_cost(unit, least, words)
+            if rate < least:
                 own_run = runs.setdefault((size, e % size), [[] for _ in orders])
                 for k in parts:
                     if (c := cost[k - 1] + rate) < room[k]:

@@ -336,6 +336,68 @@ def test_secrets_of_letters_or_digits_alone(spark):
     assert not any("guess" in spans[10 + k] for k in range(4)) and "guess" not in spans[30]
 
 
+def cheapest(value, memo):
+    """log10 of guesses by every segmentation there is."""
+    if value in memo:
+        return memo[value]
+
+    def one(part):  # the cheapest price of a part as a whole
+        low = part.lower()
+        plain = low.translate(secrets.LEET)
+        prices = [sum(math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in part)]
+        for w in (low, plain):
+            if w in secrets.GUESSERS.rank and len(w) > 1:
+                prices.append(math.log10(secrets.GUESSERS.rank[w]) + math.log10(2) * (sum(c.isupper() for c in part) + sum(a != b for a, b in zip(low, plain))))
+                break
+        if re.fullmatch(secrets.DATE, part):
+            prices.append(math.log10(36500 if len(part) > 4 else 100))
+        for size in range(1, len(part) // 2 + 1):
+            if len(part) % size == 0 and part == part[:size] * (len(part) // size):
+                prices.append(cheapest(part[:size], memo) + math.log10(len(part) // size))
+        for step in (1, -1):
+            rows = all(a in secrets.PLACE and b in secrets.PLACE and secrets.PLACE[a][0] == secrets.PLACE[b][0] and secrets.PLACE[b][1] - secrets.PLACE[a][1] == step for a, b in zip(low, low[1:]))
+            codes = part.isalnum() and all(ord(b) - ord(a) == step for a, b in zip(low, low[1:]))
+            if len(part) >= 3 and (rows or codes):
+                prices.append(math.log10(len(secrets.PLACE) * 2 * len(part)))
+        return min(prices)
+
+    best = math.inf
+    for cuts in range(2 ** (len(value) - 1)):
+        parts, at = [], 0
+        for k in range(1, len(value) + 1):
+            if k == len(value) or cuts >> (k - 1) & 1:
+                parts.append(value[at:k])
+                at = k
+        best = min(best, sum(map(one, parts)) + math.log10(math.factorial(len(parts))))
+    memo[value] = best
+    return best
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    r, memo = random.Random(12), {}
+    pieces = ["pass", "root", "1990", "ab", "x", "7", "qwe", "321", "Zq", "$", "zz", "a1", "9-"]
+    for _ in range(150):
+        value = "".join(r.choice(pieces) for _ in range(4))[: r.randrange(1, 9)]
+        value = r.choice([value, value[: len(value) // 2] * 2, value[:2] * 3])[:8] or "x"
+        want = cheapest(value, memo)
+        got = secrets.guess_cost(value, 99.0)
+        assert got == pytest.approx(want), value
+
+
+def test_units_of_any_price_repeat():
+    cost = secrets.guess_cost
+    assert cost("sunshine" * 15) == pytest.approx(cost("sunshine") + math.log10(15)) and cost("583920174" * 2) < secrets.GUESSES
+    assert cost("1xKqZvTz" * 2) == cost("xKqZvTz1" * 2) == math.inf
+    assert cost("password2024" * 3, 99.0) == pytest.approx(cost("password2024", 99.0) + math.log10(3))
+
+
+@pytest.mark.parametrize("text", ["token: Bearer {}", "Authorization: Bearer {}", "authorization = Basic {}", "password: token: {}", 'secret: bearer: "{}"', "api_key is token {}", "pwd => passphrase := {}"])
+def test_a_name_in_place_of_a_value_opens_the_next(text):
+    value = "kLmQwZxRt7YvBnPs"
+    at = text.index("{}")
+    assert secrets.guess_spans(text.format(value)) == [(at, 3, at + len(value))]
+
+
 def test_guess_cost_of_long_values(spark):
     assert secrets.guess_cost("a" * 100_000) == pytest.approx(math.log10(26) + 5) and secrets.guess_cost("ab1" * 1000) < secrets.GUESSES
     blob = "x7Kq9vTz2Lm4" + "aB3$" * 250_000
