@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it has been measured and holds at most so many bytes; beyond
@@ -65,15 +65,24 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs written with a number of its own for every row, and the name of that column.
+def numbered(docs: DataFrame, stored: bool = False) -> tuple[DataFrame, str]:
+    """docs with a number of its own for every row, and the name of that column.
 
-    Doc ids may be null or stand on several rows, so what is decided for a row is told by this number.
+    Doc ids may be null or stand on several rows, so what is decided for a row is told by this number. docs are written with
+    their numbers, so that these stay. stored says that docs is a table as read from Parquet files: then a row's file and
+    its place there are its number, and nothing is written again.
     """
     name = "__row"
     while name in docs.columns:
         name += "_"
-    return keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+    file, place = f"{name}file", f"{name}place"
+    if not stored:
+        return keep(docs.withColumn(name, F.monotonically_increasing_id())), name
+    rows = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    files = rows.select(F.col(file).alias("__file")).distinct().withColumn("__number", F.row_number().over(Window.orderBy("__file")))  # a row a file
+    files = small(keep(files))
+    number = (F.col("__number").cast("long") * F.lit(1 << 40) + F.col(place)).alias(name)
+    return rows.join(files, F.col(file) == F.col("__file")).select(*[F.col(f"`{c}`") for c in docs.columns], number), name
 
 
 def without_rows(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def exact_dedup(docs: DataFrame, fan_in: int = 8, number: str | None = None) ->
     return runs.join(winners, same).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *more)
 
 
-def unique_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, of each group of equal texts; ids may be null or clash."""
-    rows, number = numbered(docs)
+def unique_documents(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """One row of docs, with all its columns, of each group of equal texts; ids may be null or clash. stored: see numbered()."""
+    rows, number = numbered(docs, stored)
     return without_rows(rows, number, exact_dedup(rows, number=number).where("not kept").select(F.col(number).alias("gone")))
 
 

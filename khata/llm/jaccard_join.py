@@ -285,9 +285,9 @@ def _told(docs: DataFrame, number: str | None = None) -> DataFrame:
     return of_row.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), *stays)
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, of each component: that of the smallest id; ids may be null or clash."""
-    rows, number = numbered(docs)
+def one_of_each(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """One row of docs, with all its columns, of each component: that of the smallest id; ids may be null or clash. stored: see numbered()."""
+    rows, number = numbered(docs, stored)
     return without_rows(rows, number, _told(rows, number).where("not stays").select(F.col(number).alias("gone")))
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from khata.llm import exact_dedup, jaccard_join, language_id, language_model, line_dedup, nearest, packing, piece_codec, secrets, token_files, tokens
-from khata.llm.common import components, scratch
+from khata.llm.common import components, keep, scratch
 
 WORDS = "the of and to in that is was for on are with his they der die und das von zu mit sich des auf le la les et des en un une que el los las por con para".split()
 SPACE = r"[\x20\x09-\x0D]"
@@ -447,12 +447,14 @@ def test_exact_dedup(docs, nothing):
 CLASH = [(3, "B b"), (5, "A a"), (5, "B b"), (None, "A  a"), (None, "C"), (None, "C"), (7, "C"), (7, "C"), (8, None), (8, ""), (9, prose(60, 31)), (9, prose(60, 32)), (None, near(prose(60, 31), 1, 1)), (9, near(prose(60, 32), 2, 1)), (9, prose(60, 33))]
 
 
-def test_rows_whose_ids_clash(spark):
+@pytest.mark.parametrize("stored", [False, True])
+def test_rows_whose_ids_clash(spark, stored):
     docs = spark.createDataFrame(CLASH, "doc_id long, text string").withColumn("__row", F.lit("x"))
-    left = exact_dedup.unique_documents(docs)
+    docs = keep(docs.repartition(3)) if stored else docs
+    left = exact_dedup.unique_documents(docs, stored)
     assert left.columns == docs.columns
     assert sorted(bare(r.text) for r in left.collect()) == sorted({bare(t) for _, t in CLASH})
-    for operator in (jaccard_join.one_of_each(docs), jaccard_join.one_of_each(left)):
+    for operator in (jaccard_join.one_of_each(docs, stored), jaccard_join.one_of_each(left)):
         rows = operator.collect()
         sets = [shingle_set(r.text) for r in rows]
         assert operator.columns == docs.columns
