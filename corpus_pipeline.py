@@ -19,13 +19,13 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_equality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return exact_dedup.unique_documents(docs)
+    """One document of each group of equal texts. A stage's docs are a table of Parquet files, so their rows need no numbers."""
+    return exact_dedup.unique_documents(docs, stored=True)
 
 
 def by_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each component of near copies."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, stored=True)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
