@@ -9,7 +9,9 @@ from khata.functions.calendar import fy_of
 from khata.oracle import fy, with_parts
 from khata.plans import projection as p
 from khata.plans.fiscal_queries import query_into, r6
-from khata.sources import intake, workbook
+from khata.operators import quality, search
+from khata.plans.text_queries import grams
+from khata.sources import catalogue, intake, named, workbook
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,3 +99,114 @@ def demand_sheets(spark, sf_dir) -> DataFrame:
 def demand_sheet_errors(spark, sf_dir) -> DataFrame:
     """Sheets that can't be read, and why."""
     return workbook.demand_sheets(sheets(spark, sf_dir), ["nk", "fy"])[1]
+
+
+def answers_of_a_catalogue(spark, sf_dir) -> DataFrame:
+    """Answers of ten goods each; ids stand under other names, every fifth record comes from the public."""
+    k = F.col("p_partkey")
+    record = F.to_json(F.struct(
+        F.when(k % 3 == 0, F.concat(F.lit("r-"), k)).alias("index_name"), F.when(k % 3 == 1, F.concat(F.lit("r-"), k)).alias("resource_id"), F.when(k % 3 == 2, F.concat(F.lit(" r-"), k)).alias("id"),
+        F.when(k % 7 != 0, F.col("p_name")).alias("title"), F.array("p_type", F.lit(""), "p_brand").alias("org_type"), F.when(k % 5 == 0, catalogue.COMMUNITY).otherwise("office").alias("source"),
+    ))
+    goods = p.table(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("page")).agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), record.alias("r")))).alias("rs"), F.count("*").alias("n"))  # ten rows a group
+    under = F.when(F.col("page") % 2 == 0, '{"records": [').otherwise('{"records": [], "field": [{"id": "title"}, {"name": "source"}], "data": [')
+    return goods.select("page", F.concat(under, F.array_join("rs.r", ","), F.lit('], "total": "'), "n", F.lit('", "title": "page"}')).alias("answer"))
+
+
+@query("""SELECT 'r-' || p_partkey AS resource_id, p_name AS title, p_type || ', ' || p_brand AS organisation FROM part WHERE p_partkey % 7 != 0 AND p_partkey % 5 != 0 AND contains(lower(p_name), 'gear')""")
+def catalogue_search(spark, sf_dir) -> DataFrame:
+    """Official entries of a catalogue whose titles hold a word."""
+    found = catalogue.search(catalogue.entries(answers_of_a_catalogue(spark, sf_dir)), "GEAR")
+    return found.select("resource_id", "title", "organisation")
+
+
+@query("""WITH f AS (SELECT p_partkey // 10 AS page, count(*) AS n, min(p_partkey) AS k FROM part GROUP BY 1), r AS (SELECT f.page, n, k, p_name, p_type, p_brand FROM f JOIN part ON p_partkey = k WHERE f.page % 2 = 0),
+    u AS (SELECT page, n, 'id' AS name, CASE WHEN k % 3 = 2 THEN ' r-' || k END AS v FROM r WHERE k % 3 = 2 UNION ALL SELECT page, n, 'index_name', 'r-' || k FROM r WHERE k % 3 = 0 UNION ALL SELECT page, n, 'resource_id', 'r-' || k FROM r WHERE k % 3 = 1
+          UNION ALL SELECT page, n, 'title', p_name FROM r WHERE k % 7 != 0 UNION ALL SELECT page, n, 'org_type', '["' || p_type || '","","' || p_brand || '"]' FROM r
+          UNION ALL SELECT page, n, 'source', CASE WHEN k % 5 = 0 THEN 'visualize.data.gov.in' ELSE 'office' END FROM r)
+    SELECT page, n AS record_count, CAST(row_number() OVER (PARTITION BY page ORDER BY name) - 1 AS INTEGER) AS place, name, v AS sample FROM u
+    UNION ALL SELECT page, n, x.place, x.name, '(empty in the first record)' FROM f, (VALUES (0, 'title'), (1, 'source')) x(place, name) WHERE page % 2 = 1""")
+def resource_shapes(spark, sf_dir) -> DataFrame:
+    """The fields of every resource, declared or those of its first record, each with a sample."""
+    return catalogue.shape(answers_of_a_catalogue(spark, sf_dir), "page").select("page", "record_count", "place", "name", "sample")
+
+
+def mission_pages(spark, sf_dir) -> DataFrame:
+    """A page of funds and connections for every nation, made of its orders."""
+    orders, customers = p.table(spark, sf_dir, "orders"), p.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    price = F.col("o_totalprice").cast(p.MONEY)
+    at = lambda s: F.format_number(F.sum(F.when(F.col("o_orderstatus") == s, price)), 2)
+    sums = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").cast("long").alias("page_id")).agg(at("F").alias("f"), at("O").alias("o"), F.count("*").alias("n"))
+    row = lambda label, value: F.concat(F.lit(f"<tr><td>{label}</td><td>"), value, F.lit("</td></tr>"))
+    html = F.concat(
+        F.lit("<p>Figures of 2024-25, Rs. in crore</p><table><tr><td>Other</td></tr></table><table><tr><th>Fund head</th><th>Amount (Rs. in lakh)</th></tr>"), row("Central Release", "f"), row("State Share Release", "o"),
+        row("Total Expenditure", F.coalesce("o", F.lit("-"))), row("Percentage of Total Expenditure", F.lit("7")), row("Central Fund Released, arrears", F.lit("12%")),
+        F.lit('</table><div class="stat-box">Tap connections <b>'), F.format_number("n", 0), F.lit("</b></div><div class='card'>Villages 12</div>"),
+    )
+    return sums.select("page_id", F.lit("https://x.org").alias("url"), html.alias("html"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS page_id, sum(CAST(o_totalprice AS DECIMAL(20,2))) FILTER (WHERE o_orderstatus = 'F') AS f, sum(CAST(o_totalprice AS DECIMAL(20,2))) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+    SELECT page_id, 'RELEASE' AS stage, 'FY2025' AS fy, CAST(CAST(f * 0.01 AS DECIMAL(20,2)) AS DOUBLE) AS amount, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS reason FROM s WHERE f IS NOT NULL
+    UNION ALL SELECT page_id, 'UTILIZATION', 'FY2025', CAST(CAST(o * 0.01 AS DECIMAL(20,2)) AS DOUBLE), NULL, NULL FROM s WHERE o IS NOT NULL
+    UNION ALL SELECT page_id, NULL, NULL, NULL, n, NULL FROM s WHERE n >= 1 UNION ALL SELECT page_id, 'RELEASE', 'FY2025', NULL, NULL, 'percentage' FROM s""")
+def water_mission(spark, sf_dir) -> DataFrame:
+    """Funds by stage, connections apart from money, and what could not be read, of every page."""
+    funds, coverage, errors = named.water_mission(mission_pages(spark, sf_dir))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = funds.select("page_id", "stage", "fy", F.col("amount").cast("double").alias("amount"), none("long").alias("n"), none("string").alias("reason"))
+    rows = rows.union(coverage.select("page_id", none("string"), none("string"), none("double"), "n", none("string")))
+    return rows.union(errors.select("page_id", "stage", "fy", none("double"), none("long"), "reason"))
+
+
+def answer_lists(spark, sf_dir) -> DataFrame:
+    """A list of answers for every customer, a row for each of its orders; numbers repeat, and every fifth link is no PDF."""
+    k = F.col("o_orderkey").cast("string")
+    ending = F.when(F.col("o_orderkey") % 5 == 0, ".html").otherwise(".pdf?x=1")
+    row = F.concat(
+        F.lit("<tr><td>Question No. "), (F.col("o_orderkey") % 7).cast("string"), F.lit("</td><td>Ministry of Ships &amp; Ports</td><td><a class='x' href='/annex/"), k, ending, F.lit("'>Answer "), k, F.lit("</a></td><td>"),
+        F.date_format(F.to_date("o_orderdate"), "dd/MMM/yyyy"), F.lit("</td></tr>"),
+    )
+    lists = p.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("long").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("rs"))  # a customer's orders
+    return lists.select("page_id", F.lit("https://x.org").alias("url"), F.concat(F.lit("<table>"), F.array_join("rs.r", ""), F.lit("</table>")).alias("html"))
+
+
+@query("""SELECT o_custkey AS page_id, CAST(o_orderkey % 7 AS VARCHAR) AS question_number, 'Answer ' || o_orderkey AS title, 'https://sansad.in/annex/' || o_orderkey || '.pdf?x=1' AS url, 'Ministry of Ships & Ports Answer' AS ministry, CAST(o_orderdate AS DATE) AS answered_on
+    FROM orders WHERE o_orderkey % 5 != 0 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderkey) = 1""")
+def parliament_answers(spark, sf_dir) -> DataFrame:
+    """The linked answers of every list, each question once."""
+    return named.parliament_answers(answer_lists(spark, sf_dir))[0]
+
+
+@query("""SELECT o_custkey AS page_id, 'no answers in the list' AS reason FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderkey % 5 != 0) = 0""")
+def lists_without_answers(spark, sf_dir) -> DataFrame:
+    """Lists in which there is no answer."""
+    return named.parliament_answers(answer_lists(spark, sf_dir))[1]
+
+
+@query(with_parts("run") + """, listed AS (SELECT DISTINCT 'src-' || (c_custkey % 20) AS source_id FROM customer), n AS (SELECT source_id, max(started_at) FILTER (WHERE status = 'ok') AS last_ok, count(*) AS runs FROM run GROUP BY 1)
+    SELECT l.source_id, last_ok, coalesce(runs, 0) AS runs, last_ok IS NULL OR date_diff('second', last_ok, TIMESTAMP '2024-02-01') > 2 * 24 * 3600 AS is_stale FROM listed l LEFT JOIN n ON n.source_id = l.source_id""")
+def catalogue_beside_freshness(spark, sf_dir) -> DataFrame:
+    """Every listed source once, with its last good run; one that never ran is stale."""
+    listed = p.table(spark, sf_dir, "customer").select(F.concat(F.lit("src-"), (F.col("c_custkey") % 20).cast("string")).alias("source_id")).distinct()
+    runs = p.pipeline_runs(spark, sf_dir)
+    fresh = quality.freshness(runs, F.lit("2024-02-01").cast("timestamp"), 24).join(runs.groupBy("source_id").agg(F.count("*").alias("runs")), "source_id")
+    return listed.join(fresh, "source_id", "left").select("source_id", "last_ok", F.coalesce("runs", F.lit(0)).alias("runs"), F.coalesce("is_stale", F.lit(True)).alias("is_stale"))
+
+
+TYPED = '"small ring" or gear -hot economy or "brand 2"'
+
+
+@query(f"""WITH i AS (SELECT 'min-' || n_nationkey AS entity_id, 'ministry' AS kind, n_name AS title, '' AS aliases, r_name AS extra FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'part-' || p_partkey, 'part', p_name, p_brand, p_type FROM part),
+    w AS (SELECT *, ' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ' AS a, ' ' || trim(regexp_replace(lower(aliases), '[^a-z0-9]+', ' ', 'g')) || ' ' AS b, ' ' || trim(regexp_replace(lower(extra), '[^a-z0-9]+', ' ', 'g')) || ' ' AS c,
+          {grams('title')} AS t, {grams("'" + TYPED + "'")} AS q FROM i),
+    s AS (SELECT *, CASE WHEN a LIKE '% small ring %' THEN 1.0 WHEN b LIKE '% small ring %' THEN 0.4 WHEN c LIKE '% small ring %' THEN 0.2 ELSE 0 END AS x, CASE WHEN a LIKE '% gear %' THEN 1.0 WHEN b LIKE '% gear %' THEN 0.4 WHEN c LIKE '% gear %' THEN 0.2 ELSE 0 END AS y,
+          CASE WHEN a LIKE '% economy %' THEN 1.0 WHEN b LIKE '% economy %' THEN 0.4 WHEN c LIKE '% economy %' THEN 0.2 ELSE 0 END AS e, a || b || c LIKE '% hot %' AS hot,
+          CASE WHEN a LIKE '% brand 2 %' THEN 1.0 WHEN b LIKE '% brand 2 %' THEN 0.4 WHEN c LIKE '% brand 2 %' THEN 0.2 ELSE 0 END AS z, CAST(len(list_intersect(t, q)) AS DOUBLE) / len(list_distinct(list_concat(t, q))) AS alike FROM w),
+    r AS (SELECT *, greatest(x, CASE WHEN y > 0 AND e > 0 AND NOT hot THEN (y + e) / 2 ELSE 0 END, z) AS rank FROM s)
+    SELECT entity_id, kind, title, round(2 * CAST(rank AS DOUBLE) + alike, 6) AS score FROM r WHERE rank > 0 OR alike >= 0.3 ORDER BY round(2 * CAST(rank AS DOUBLE) + alike, 9) DESC, entity_id LIMIT 40""")
+def search_as_typed(spark, sf_dir) -> DataFrame:
+    """The forty best hits of a text with phrases, alternatives and a word shut out."""
+    nations = p.ministries(spark, sf_dir).select(F.col("ministry_id").alias("entity_id"), F.lit("ministry").alias("kind"), F.col("name").alias("title"), F.lit("").alias("aliases"), F.col("sector").alias("extra"))
+    goods = p.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("part").alias("kind"), F.col("p_name").alias("title"), F.col("p_brand").alias("aliases"), F.col("p_type").alias("extra"))
+    return search.web(nations.union(goods), TYPED, 40).select("entity_id", "kind", "title", *r6("score"))

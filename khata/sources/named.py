@@ -33,6 +33,19 @@ PERSONAL = (
 )
 
 
+# A water mission's labels of money by stage, and of counts of connections.
+WATER = {
+    "central release": "RELEASE", "central fund released": "RELEASE", "central share released": "RELEASE", "total expenditure": "UTILIZATION", "expenditure incurred": "UTILIZATION", "total exp.": "UTILIZATION",
+}
+COVERAGE = ("tap connections", "tap water connections", "household connections", "har ghar jal", "functional household")
+# How a question's number, a ministry, a day and a year are printed in lists of answers, and what names a column of money spent.
+QUESTION = r"(?i)(?:question|q\.?)\s*(?:no\.?)?\s*[:\-]?\s*([0-9]{1,5})"
+OFFICE = r"(?i)((?:ministry|department) of [A-Za-z ,&]+)"
+ANSWERED = r"([0-9]{1,2}[ /-][A-Za-z]{3,9}[ /-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
+YEAR_PAIR = r"(20[0-9]{2})\s*[-/]\s*([0-9]{2,4})"
+SPENT = "utilis|utiliz|expenditure|spent"
+
+
 # Labels of rows that total others.
 TOTALS = ("total", "grand total", "total expenditure", "total receipts", "gross total", "net total", "total of ministry")
 
@@ -135,15 +148,14 @@ def farmer_transfers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     stage the first stands, and of each label of a count.
     """
     about = page_text(pages).select("page_id", unit_of(F.col("prose")).alias("unit"))
-    rows = web.table_rows(pages)
+    rows = _within_tables(pages)
     text = F.lower(F.array_join("cells", " "))
-    personal = rows.where((F.col("row_no") == 0) & _holds(text, PERSONAL)).select("page_id", "table_no")
-    records = rows.where((F.col("row_no") > 0) & (F.size("cells") >= 2) & ~_holds(text, PERSONAL)).join(personal, ["page_id", "table_no"], "left_anti")
+    personal = rows.where((F.col("at") == 0) & _holds(text, PERSONAL)).select("page_id", "table_no")
+    records = rows.where((F.col("at") > 0) & (F.size("cells") >= 2) & ~_holds(text, PERSONAL)).join(personal, ["page_id", "table_no"], "left_anti")
     in_tables = records.select("page_id", F.lit(0).alias("kind"), F.col("table_no").alias("x"), F.col("row_no").alias("y"), clean_cell(F.col("cells")[0]).alias("label"), clean_cell(F.col("cells")[1]).alias("raw"))
     outside = pages.select("page_id", F.regexp_replace("html", "(?is)<table.*?</table>", " ").alias("html"))
     bare = lambda c: clean_cell(F.regexp_replace(c, "<[^>]*>", " "))
-    boxes = outside.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<(\w+)[^>]*\bclass\s*=\s*["'][^"']*(?:stat|tile|card|count)[^>]*>(.*?)</\1>"""), F.lit(2))).alias("x", "html"))
-    boxes = boxes.select("page_id", F.lit(1).alias("kind"), "x", bare(F.col("html")).alias("text")).where(F.char_length("text") <= 160)
+    boxes = boxes_of(outside).select("page_id", F.lit(1).alias("kind"), "x", "text")
     spoken = boxes.union(outside.select("page_id", F.lit(2).alias("kind"), F.lit(0).alias("x"), bare(F.col("html")).alias("text")))
     named_in = spoken.select("page_id", "kind", "x", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?i)((?:{'|'.join((*TRANSFERRED, *COUNTED))})[^0-9]{{0,40}}{AMOUNT})"), F.lit(1))).alias("y", "said"))
     said = named_in.select("page_id", "kind", "x", "y", F.regexp_extract("said", f"(?i)({'|'.join((*TRANSFERRED, *COUNTED))})", 1).alias("label"), F.regexp_extract("said", f"(?i)({AMOUNT})$", 1).alias("raw"))
@@ -156,6 +168,86 @@ def farmer_transfers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.select("page_id", F.lit("RELEASE").alias("stage"), F.col("p.value").alias("amount"), F.col("p.reason").alias("reason")), counts
 
 
+def _within_tables(pages: DataFrame) -> DataFrame:
+    """The rows of all tables, with at: their place in their own table, from 0."""
+    rows = web.table_rows(pages)
+    heads = rows.groupBy("page_id", "table_no").agg(F.min("row_no").alias("__first"))
+    return rows.join(heads, ["page_id", "table_no"]).withColumn("at", F.col("row_no") - F.col("__first")).drop("__first")
+
+
+def boxes_of(pages: DataFrame) -> DataFrame:
+    """page_id, x and text of the boxes of figures on a page, of 160 characters at most."""
+    boxes = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<(\w+)[^>]*\bclass\s*=\s*["'][^"']*(?:stat|tile|card|count)[^>]*>(.*?)</\1>"""), F.lit(2))).alias("x", "html"))
+    return boxes.select("page_id", "x", web.plain(F.col("html")).alias("text")).where((F.char_length("text") <= 160) & (F.col("text") != ""))
+
+
+def water_mission(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(funds, coverage, errors): money by stage from the first table on funds, and counts of connections, never money.
+
+    funds: page_id, label, stage, fy, amount; the unit stands in the amount's column, else in the page. Percentages and balances
+    are no stage. coverage: page_id, label and n, the longest number of each box that names connections.
+    """
+    about = page_text(pages).select("page_id", unit_of(F.col("prose")).alias("unit"), _year_in(F.col("prose")).alias("fy"))
+    rows = _within_tables(pages)
+    heads = rows.where((F.col("at") == 0) & F.lower(F.array_join("cells", " ")).contains("fund") & F.lower(F.array_join("cells", " ")).contains("amount"))
+    first = heads.groupBy("page_id").agg(F.min(F.struct("table_no", F.col("cells").alias("header"))).alias("h")).select(F.col("page_id").alias("__page"), "h.table_no", "h.header")
+    place = F.array_position(F.transform("header", lambda c: F.lower(c).contains("amount")), True).cast("int") - 1
+    body = rows.withColumnRenamed("table_no", "__table").join(first, (F.col("page_id") == F.col("__page")) & (F.col("__table") == F.col("table_no"))).where("at > 0").join(about, "page_id")
+    label = clean_cell(F.get("cells", F.lit(0)))
+    low = F.lower(label)
+    stage = F.coalesce(*[F.when(low.contains(k), F.lit(v)) for k, v in WATER.items()])
+    read = body.select("page_id", label.alias("label"), F.when(~_holds(low, NO_STAGE), stage).alias("stage"), "fy", clean_cell(F.get("cells", place)).alias("raw"), F.coalesce(unit_of(F.get("header", place)), "unit").alias("unit"))
+    parsed = read.where("stage is not null and raw is not null").withColumn("p", parse_crore(F.col("raw"), F.col("unit")))
+    funds, errors = _split(parsed, "page_id", "label", "stage", "fy")
+    coverage = boxes_of(pages).where(_holds(F.lower("text"), COVERAGE)).select("page_id", F.col("text").alias("label"), longest_count(F.col("text")).alias("n")).where("n is not null")
+    return funds, coverage, errors
+
+
+def _year_in(text: Column) -> Column:
+    """The first pair of years of a text as a fiscal year; NULL if it is none."""
+    return cal.from_label(F.concat(F.regexp_extract(text, YEAR_PAIR, 1), F.lit("-"), F.right(F.regexp_extract(text, YEAR_PAIR, 2), F.lit(2))))
+
+
+def parliament_answers(pages: DataFrame, base: str = "https://sansad.in") -> tuple[DataFrame, DataFrame]:
+    """(answers, errors): the linked answers of each list, and lists without any.
+
+    answers: page_id, question_number, title, url, ministry, answered_on. A link to a PDF with a title of five characters counts;
+    what stands beside it between the tags of rows, items and blocks tells its question, ministry and day; without a number
+    there or in the title, the file's name is one. Of a question that is listed again the first link stands.
+    """
+    parts = pages.select("page_id", F.posexplode(F.split("html", r"(?i)</?(?:tr|li|div)\b[^>]*>")).alias("x", "part"))
+    anchors = parts.select("page_id", "x", web.plain(F.col("part")).alias("context"), F.posexplode(F.regexp_extract_all("part", F.lit(r"""(?is)(<a\s[^>]*href\s*=\s*["'][^"']+["'][^>]*>.*?</a>)"""), F.lit(1))).alias("y", "anchor"))
+    href = F.trim(F.regexp_extract("anchor", r"""(?is)href\s*=\s*["']([^"']+)["']""", 1))
+    links = anchors.select("page_id", "x", "y", "context", href.alias("href"), web.plain(F.col("anchor")).alias("title")).where(F.lower(F.substring_index("href", "?", 1)).endswith(".pdf") & (F.char_length("title") >= 5))
+    number = lambda c: F.nullif(F.regexp_extract(c, QUESTION, 1), F.lit(""))
+    stem = F.substring_index(F.substring_index("href", "/", -1), ".", 1)
+    url = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base + "/"), F.regexp_replace("href", "^/+", "")))
+    day = cal.parse_day(F.regexp_replace(F.regexp_extract("context", ANSWERED, 1), "/", "-"))
+    rows = links.select("page_id", "x", "y", F.coalesce(number("context"), number("title"), stem).alias("question_number"), "title", url.alias("url"), F.nullif(clean_cell(F.regexp_extract("context", OFFICE, 1)), F.lit("")).alias("ministry"), day.alias("answered_on"))
+    first = rows.groupBy("page_id", "question_number").agg(F.min(F.struct("x", "y", "title", "url", "ministry", "answered_on")).alias("r"))
+    answers = first.select("page_id", "question_number", "r.title", "r.url", "r.ministry", "r.answered_on")
+    empty = pages.join(answers.select("page_id"), "page_id", "left_anti").select("page_id", F.lit("no answers in the list").alias("reason"))
+    return answers, empty
+
+
+def utilisation(cells: DataFrame, keys: list[str], default_fy: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors) of an answer's tables cells(keys, row_no, cells): what each scheme used, from the first column on money spent.
+
+    The header names the year, or default_fy is it; a table without a year is an error, for its figures have no place. The unit stands
+    in the column's heading, else anywhere in the header. Rows of totals and figures not reported are left out.
+    """
+    header = tabular.header_row(cells, keys)
+    at = F.array_position(F.transform("header", lambda c: F.lower(c).rlike(SPENT)), True).cast("int") - 1
+    year = F.coalesce(_year_in(F.array_join("header", " | ")), F.lit(default_fy))
+    told = header.select(*keys, "header", "header_no", at.alias("at"), year.alias("fy")).where("at >= 0")
+    undated = told.where("fy is null").select(*keys, F.lit(None).cast("string").alias("scheme"), F.lit(None).cast("string").alias("raw"), F.lit("no fiscal year").alias("reason"))
+    body = cells.join(told.where("fy is not null"), keys).where("row_no > header_no")
+    read = body.select(*keys, clean_cell(F.get("cells", F.lit(0))).alias("scheme"), "fy", clean_cell(F.get("cells", F.col("at"))).alias("raw"), F.coalesce(unit_of(F.get("header", F.col("at"))), unit_of(F.array_join("header", " "))).alias("unit"))
+    parsed = read.where((F.char_length("scheme") >= 2) & ~is_total(F.col("scheme"))).withColumn("p", parse_crore(F.col("raw"), F.col("unit")))
+    rows, errors = _split(parsed, *keys, "scheme", "fy")
+    return rows, errors.select(*keys, "scheme", "raw", "reason").union(undated)
+
+
 def press_releases(pages: DataFrame) -> DataFrame:
     """release_id, ministry and title of every link once, the ministry's heading carried down to it."""
     parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>|<a\s[^>]*PRID=[0-9]+[^>]*>.*?</a>)"), 1)
@@ -192,6 +284,7 @@ def union_budget(demands: DataFrame, excluded: list[str]) -> DataFrame:
 SOURCES: dict[str, Callable] = {
     "monthly_accounts": monthly_accounts, "scheme_releases": scheme_releases, "tenders": tenders, "employment": employment, "marketplace": marketplace,
     "farmer_transfers": farmer_transfers, "press_releases": press_releases, "state_budgets": state_budgets, "union_budget": union_budget,
+    "water_mission": water_mission, "parliament_answers": parliament_answers,
 }
 
 

@@ -75,6 +75,18 @@ def table_with(rows: DataFrame, words: list[str], key: str = "page_id") -> DataF
     return rows.join(first, (F.col(key) == F.col("__key")) & (F.col("table_no") == F.col("h.table_no")) & (F.col("row_no") > F.col("h.row_no"))).drop("__key", "h")
 
 
+# The commonest character entities, the ampersand's last.
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def plain(html: Column) -> Column:
+    """The text of a piece of HTML, without tags, its commonest entities as characters and its spaces single."""
+    text = F.regexp_replace(html, "<[^>]*>", " ")
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def links(html: Column) -> Column:
     """Addresses that a page links to, in order."""
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']+)["']"""), 1)
