@@ -1,19 +1,28 @@
-"""LM scoring (8) with a sharded Elias-Fano n-gram trie.
+"""LM scoring (8) with a sharded Elias-Fano n-gram trie of order three.
 
-The model interpolates bigrams with an add-one unigram by absolute discounting:
+The model interpolates trigrams with bigrams, and these with an add-one unigram, by absolute discounting:
 
-    p(w | v) = max(c(v, w) - d, 0) / c(v) + d * t(v) / c(v) * (c(w) + 1) / (N + V + 1)
+    p(w | h) = max(c(h, w) - d, 0) / c(h) + d * t(h) / c(h) * p(w | h without its first word)
+    p(w) = (c(w) + 1) / (N + V + 1)
 
-where t(v) is the number of different successors of v. Texts are cut into batches whose tokens are
-numbered from 0 and kept. A batch sends each shard of the vocabulary its words of that shard, their
-successors and its training counts, each different bigram once; the shard adds the counts up, builds a
-trie of its contexts and successors, and answers every batch by looking up what it asked for:
-counts of words, and 8-bit codes of the two factors above. Nothing grows on the driver, and a frequent
-word costs a shard one list per batch.
+where h is a context of two words or one, c(h) the number of tokens that follow it in training and t(h) that of different
+ones. A context without followers gives the shorter one's probability; the first token of a text has one word before it, its start.
 
-A trie has two levels, both Elias-Fano coded in anonymous memory maps and searched as they are: sorted
-64-bit word hashes, and per context its successors' 32-bit fingerprints, which the context's number makes
-one monotone sequence, so that pointers and successors are found by a successor search relative to the context.
+Texts are cut into batches whose tokens are numbered from 0 and kept. Contexts are dealt to shards by their
+hash, so that those which begin with one frequent word lie in many shards. A batch sends each shard that holds some of
+its contexts these, their successors and its training counts, each different n-gram once; the shard adds the counts up,
+builds a trie of its contexts and successors, and answers every batch by looking up what it asked for: counts of
+words, and 8-bit codes of the two factors above. Nothing grows on the driver, and a frequent context costs a shard one
+list per batch.
+
+A trie has two levels, both Elias-Fano coded in memory maps and searched as they are: sorted 64-bit hashes of contexts
+of either length, and per context its successors' 32-bit fingerprints, which the context's number makes one monotone
+sequence, so that pointers and successors are found by a successor search relative to the context. The maps are
+anonymous: a file on the machine would be lost with it, and no later task reads them.
+
+Fingerprints err so: of t different successors of a context, an unseen word is taken for one with a chance of t / 2 ** 32,
+and seen ones merge in t * t / 2 ** 33 pairs (for a context of 100,000 successors 1 word in 43,000, and about one pair). Two
+contexts of n in all share a hash in n * n / 2 ** 65 pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import documents, keep, remainder, table
 
 DISCOUNT = 0.75
-#: Characters of the texts of one batch.
-BATCH_CHARS = 20_000_000
+#: Characters of the texts of one batch; tokens of the corpus for each shard.
+BATCH_CHARS, SHARD_TOKENS = 8_000_000, 2_000_000
 #: Steps of the 8-bit codes in a factor of two.
 STEPS = 8.0
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # stand for the start and the end of a text
@@ -129,10 +138,10 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts (sorted word hashes), their successors, and quantised factors."""
+    """Contexts (sorted hashes of words and of word pairs), their successors, and quantised factors."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, successors: np.ndarray, pairs: np.ndarray):
-        """words and their counts; for each pair: the context's place in words, the fingerprint, the count. All sorted."""
+        """Contexts of one word or two, and the words' counts; for each n-gram: the context's place, the fingerprint, the count. All sorted."""
         self.words = EliasFano(words)
         self.counts = counts
         self.pairs = EliasFano(contexts.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64))
@@ -142,7 +151,7 @@ class Trie:
         self.backoffs = np.where(followed > 0, quantise(DISCOUNT * kinds / np.maximum(followed, 1)), 0).astype(np.uint8)
 
     def look_up(self, words: np.ndarray, owners: np.ndarray, successors: np.ndarray):
-        """Counts and back-off codes of words, and share codes of successors of words[owners]."""
+        """Counts and back-off codes of contexts, and share codes of successors of words[owners]."""
         place, known = self.words.successor(words)
         at = np.minimum(place, max(self.words.n - 1, 0))
         counts = np.where(known, self.counts[at], 0) if self.words.n else np.zeros(len(words), np.int64)
@@ -169,6 +178,14 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
+def of_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of contexts of two words by theirs."""
+    with np.errstate(over="ignore"):
+        mixed = (first ^ first >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + second
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        return mixed ^ mixed >> np.uint64(29)
+
+
 def batch_pairs(vocabulary: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, trained: np.ndarray):
     """Of a batch: the number of each token and of the one before it, and whether its text is trained on.
 
@@ -190,8 +207,9 @@ def tokenise(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId() << 24 | seq], "int64")]
             + [pa.array([zstandard.compress(json.dumps(ids).encode())], "binary")]
-            + [pa.array([shrink(x)], "binary") for x in (np.array(sizes, "<i4"), np.array(trained, "?"), hashes.astype("<u8"), np.concatenate(tokens).astype("<i4"))],
-            names=["batch", "ids", "sizes", "trained", "hashes", "tokens"],
+            + [pa.array([shrink(x)], "binary") for x in (np.array(sizes, "<i4"), np.array(trained, "?"), hashes.astype("<u8"), np.concatenate(tokens).astype("<i4"))]
+            + [pa.array([sum(sizes)], "int64")],
+            names=["batch", "ids", "sizes", "trained", "hashes", "tokens", "n"],
         )
 
     def run(batches):
@@ -211,34 +229,44 @@ def tokenise(docs: DataFrame) -> DataFrame:
         if held[0]:
             yield pack(seq, *held, index)
 
-    return docs.mapInArrow(run, "batch long, ids binary, sizes binary, trained binary, hashes binary, tokens binary")
+    return docs.mapInArrow(run, "batch long, ids binary, sizes binary, trained binary, hashes binary, tokens binary, n long")
 
 
 def own_lists(row: dict):
-    """A batch's words by hash, their training counts, and its different bigrams by (hash, fingerprint)."""
+    """A batch's contexts by hash, their training counts as words, and its different n-grams by (context, fingerprint).
+
+    Returned are the words' hashes, the tokens, the texts' sizes; the contexts (sorted hashes; a word's place is
+    rank[word]), rank and the counts; of each n-gram the context's place, the word and the training count; the n-gram of every token
+    after one word, which tokens are the first of a text, and the n-gram of all others after two words.
+    """
     hashes, tokens, sizes, trained = grow(row["hashes"], "<u8"), grow(row["tokens"], "<i4"), grow(row["sizes"], "<i4"), grow(row["trained"], "?")
     before, train = batch_pairs(hashes, sizes, tokens, trained)
-    order = np.argsort(hashes, kind="stable")
+    n = len(hashes)
+    later = np.ones(len(tokens), bool)
+    later[np.cumsum(sizes) - sizes] = False
+    ends = np.flatnonzero(later) - 1  # where the contexts of two words end
+    two, two_of = np.unique(before[ends].astype(np.int64) * n + tokens[ends], return_inverse=True)
+    contexts = np.concatenate([hashes, of_two(hashes[two // n], hashes[two % n])])
+    order = np.argsort(contexts, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    counts = np.bincount(tokens[train], minlength=len(hashes))[order]
+    counts = np.concatenate([np.bincount(tokens[train], minlength=n), np.zeros(len(two), np.int64)])[order]
     by_print = np.argsort(fingerprints(hashes), kind="stable")
-    print_rank = np.empty(len(order), np.int64)
-    print_rank[by_print] = np.arange(len(order))
-    keys = rank[before] * len(order) + print_rank[tokens]
-    pairs, inverse = np.unique(keys, return_inverse=True)
-    pair_counts = np.bincount(inverse, weights=train, minlength=len(pairs)).astype(np.int64)
-    return hashes, tokens, sizes, order, counts, pairs // len(order), by_print[pairs % len(order)], pair_counts, inverse
+    print_rank = np.empty(n, np.int64)
+    print_rank[by_print] = np.arange(n)
+    keys = np.concatenate([rank[before], rank[n + two_of]]) * n + print_rank[np.concatenate([tokens, tokens[later]])]
+    grams, inverse = np.unique(keys, return_inverse=True)
+    gram_counts = np.bincount(inverse, weights=np.concatenate([train, train[later]]), minlength=len(grams)).astype(np.int64)
+    return hashes, tokens, sizes, contexts[order], rank, counts, grams // n, by_print[grams % n], gram_counts, inverse[: len(tokens)], later, inverse[len(tokens) :]
 
 
 def asked(batches: DataFrame, shards: int) -> DataFrame:
-    """What each batch asks of each shard: (shard, batch, words, counts, lengths, successors, pair_counts)."""
+    """What each batch asks of each shard that holds contexts of it: (shard, batch, words, counts, lengths, successors, pair_counts)."""
 
     def run(parts):
         for part in parts:
             for row in part.to_pylist():
-                hashes, _, _, order, counts, owner, follower, pair_counts, _ = own_lists(row)
-                words = hashes[order]
+                hashes, _, _, words, _, counts, owner, follower, pair_counts, *_ = own_lists(row)
                 shard = (words % np.uint64(shards)).astype(np.int64)
                 prints = fingerprints(hashes)[follower]
                 lengths = np.bincount(owner, minlength=len(words))
@@ -246,12 +274,13 @@ def asked(batches: DataFrame, shards: int) -> DataFrame:
                 by_word, by_pair = np.argsort(shard, kind="stable"), np.argsort(of_pair, kind="stable")
                 word_cuts, pair_cuts = np.searchsorted(shard[by_word], np.arange(shards + 1)), np.searchsorted(of_pair[by_pair], np.arange(shards + 1))
                 cols = [[] for _ in range(5)]
-                for s in range(shards):
+                there = np.flatnonzero(np.diff(word_cuts))
+                for s in there:
                     w, p = by_word[word_cuts[s] : word_cuts[s + 1]], by_pair[pair_cuts[s] : pair_cuts[s + 1]]
                     for col, x in zip(cols, (words[w].astype("<u8"), counts[w].astype("<u4"), lengths[w].astype("<u4"), prints[p].astype("<u4"), pair_counts[p].astype("<u4"))):
                         col.append(shrink(x))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards), "int32"), pa.array(np.full(shards, row["batch"]), "int64")] + [pa.array(c, "binary") for c in cols],
+                    [pa.array(there, "int32"), pa.array(np.full(len(there), row["batch"]), "int64")] + [pa.array(c, "binary") for c in cols],
                     names=["shard", "batch", "words", "counts", "lengths", "successors", "pair_counts"],
                 )
 
@@ -277,7 +306,7 @@ def answer(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(order) else np.zeros(0, np.int64)
     pair_counts = np.add.reduceat(sorted_counts, first) if len(first) else np.zeros(0, np.int64)
     pairs = sorted_keys[first]
-    # Only what was trained on is in the trie: words that were counted, and contexts (the start has no count).
+    # Only what was trained on is in the trie: words that were counted, and contexts (starts and pairs have no count).
     contexts = (pairs >> np.uint64(32)).astype(np.int64)
     there = counts > 0
     there[contexts] = True
@@ -299,33 +328,34 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """doc_id, trained, n_tokens, n_known, train_tokens, base_score and score of docs(doc_id, text, trained).
+    """doc_id, trained, n_tokens, n_known, train_tokens, base_score and score of docs(doc_id, text, trained), whose other columns are not read.
 
     Words are runs of characters other than [\\x20\\x09-\\x0D], A-Z lower-cased, and one end per text; a null or
     empty text is its end alone. With nothing trained on, every count is 0 and scores come from the unseen
-    share alone. Repeated rows are each counted and scored.
+    share alone. Repeated rows are each counted and scored; a null in trained counts as false. There is a shard for
+    every SHARD_TOKENS tokens unless shards says how many.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = documents(docs, F.coalesce(F.col("trained"), F.lit(False)).alias("trained"))
     batches = keep(tokenise(docs))
+    shards = shards or max(1, -(-(batches.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
     answers = keep(asked(batches, shards).groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, backoffs binary, shares binary, total long, kinds long"))
     sums = answers.agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        hashes, tokens, sizes, order, _, owner, _, _, inverse = own_lists(row)
-        words = hashes[order]
-        by_word = np.argsort((words % np.uint64(shards)).astype(np.int64), kind="stable")
-        by_pair = np.argsort((words % np.uint64(shards)).astype(np.int64)[owner], kind="stable")
+        hashes, tokens, sizes, words, rank, _, owner, _, _, after_one, later, after_two = own_lists(row)
+        shard = (words % np.uint64(shards)).astype(np.int64)
+        by_word, by_pair = np.argsort(shard, kind="stable"), np.argsort(shard[owner], kind="stable")
         got = right.sort_by("shard").to_pylist()
         put = lambda name, kind, places: _scatter([grow(r[name], kind) for r in got], places)
         counts, backoffs, shares = put("counts", "<i8", by_word), put("backoffs", "u1", by_word), put("shares", "u1", by_pair)
-        by_number = np.empty(len(order), np.int64)
-        by_number[order] = counts
+        by_number = counts[rank[: len(hashes)]]
         chance = (by_number + 1) / (total + kinds + 1)
         known = (by_number > 0)[tokens]
-        p = factors(0.0)[shares][inverse] + factors(1.0)[backoffs][owner][inverse] * chance[tokens]
+        share, backoff = factors(0.0)[shares], factors(1.0)[backoffs][owner]
+        p = share[after_one] + backoff[after_one] * chance[tokens]
+        p[later] = share[after_two] + backoff[after_two] * p[later]
         starts = np.cumsum(sizes) - sizes
         return pa.table(
             {

@@ -462,7 +462,9 @@ def test_rows_whose_ids_clash(spark, stored):
         assert all(any(s == o or s and 100 * len(s & o) >= 80 * len(s | o) for o in sets) for s in (shingle_set(t) for _, t in CLASH))
 
 
-def test_language_model(docs, nothing):
+@pytest.mark.parametrize("shards, chars", [(None, 8_000_000), (3, 500), (50, 2_000)])
+def test_language_model(docs, nothing, monkeypatch, shards, chars):
+    monkeypatch.setattr(language_model, "BATCH_CHARS", chars)
     trained = docs.where("doc_id is not null").withColumn("trained", F.col("doc_id") % 3 != 0).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "trained")
     texts = [(i, t) for i, t in TEXTS if i is not None]
     tokens = [[*words_of(t), None] for _, t in texts]
@@ -472,13 +474,21 @@ def test_language_model(docs, nothing):
     for (a, _), n in pairs.items():
         followed[a] += n
         different[a] += 1
+    threes = collections.Counter(p for (i, _), t in zip(texts, tokens) if i % 3 for p in zip(["<s>", *t], t, t[1:]))
+    followed_two, different_two = collections.Counter(), collections.Counter()
+    for (a, b, _), n in threes.items():
+        followed_two[a, b] += n
+        different_two[a, b] += 1
+    mixed = trained.select(F.lit("x").alias("batch"), "trained", "text", F.lit(1).alias("n"), "doc_id")  # columns in any order, with others between
     got = collections.defaultdict(list)
-    for r in language_model.score(trained, shards=3).collect():
+    for r in language_model.score(mixed, shards=shards).collect():
         got[r.doc_id].append(r)
     for (i, _), t in zip(texts, tokens):
         base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in t)
         unigram = lambda w: (counts[w] + 1) / (total + kinds + 1)
-        full = sum(math.log10(max(pairs[a, w] - 0.75, 0) / followed[a] + 0.75 * different[a] / followed[a] * unigram(w) if followed[a] else unigram(w)) for a, w in zip(["<s>", *t], t))
+        bigram = lambda a, w: max(pairs[a, w] - 0.75, 0) / followed[a] + 0.75 * different[a] / followed[a] * unigram(w) if followed[a] else unigram(w)
+        trigram = lambda a, b, w: max(threes[a, b, w] - 0.75, 0) / followed_two[a, b] + 0.75 * different_two[a, b] / followed_two[a, b] * bigram(b, w) if followed_two[a, b] else bigram(b, w)
+        full = math.log10(bigram("<s>", t[0])) + sum(math.log10(trigram(*x)) for x in zip(["<s>", *t], t, t[1:]))
         r = got[i][0]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.trained) == (len(t), sum(counts[w] > 0 for w in t), total, i % 3 != 0)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(full, rel=0.02, abs=0.05)
