@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, documents, keep, small, table
 
 EDITS = 1
-#: Shorter lines are only compared for equality: an edit would be a large part of them.
-LEAST = 20
+#: Shorter lines are only compared for equality: an edit would be over a tenth of them.
+LEAST = 10
 #: Lines that share a key, beyond which the group is keyed more finely; parts that a window is cut into then.
 HOT, WINDOWS = 64, 32
 

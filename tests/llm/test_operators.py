@@ -134,14 +134,14 @@ def edited(line, r):
 def test_line_dedup(spark, nothing, monkeypatch, edits, hot, windows):
     monkeypatch.setattr(line_dedup, "WINDOWS", windows)
     r = random.Random(3)
-    base = ["".join(r.choice("abcdefg ") for _ in range(r.randrange(18, 36))) for _ in range(20)]
+    base = ["".join(r.choice("abcdefg ") for _ in range(r.randrange(7, 36))) for _ in range(25)]
     rows = [(d * 7 % 40, "\n".join(edited(r.choice(base), r) for _ in range(5))) for d in range(40)] + [(100, None), (101, ""), (102, "\n\n x"), (None, base[0])]
     lines = sorted(((d is not None, d), k, re.sub(SPACE + "+", " ", x).strip(" ").lower()) for d, t in rows for k, x in enumerate((t or "").split("\n")))
     first = {}
     for d, k, x in lines:
         first.setdefault(x, (d, k))
     order = sorted((at, x) for x, at in first.items() if x)
-    close = {x for n, (_, x) in enumerate(order) if len(x) >= 20 and any(len(y) >= 20 and lev(x, y) <= edits for _, y in order[:n])}
+    close = {x for n, (_, x) in enumerate(order) if len(x) >= 10 and any(len(y) >= 10 and lev(x, y) <= edits for _, y in order[:n])}
     want = {}
     for d, k, x in lines:
         own = want.setdefault(d[1], [0, 0, 0, []])
@@ -440,6 +440,8 @@ def test_exact_dedup(docs, nothing):
     key = lambda r: tuple((x is not None, x) for x in r)
     assert by_id(exact_dedup.exact_dedup(docs, fan_in=2)) == sorted(want, key=key) == by_id(exact_dedup.exact_dedup(docs))
     assert exact_dedup.exact_dedup(nothing).count() == 0
+    plan = exact_dedup.exact_dedup(docs.repartition(20))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("SortAggregate") >= 4  # runs are sorted and merged in two rounds
     left = exact_dedup.unique_documents(docs)
     assert left.columns == docs.columns and 2 not in {r.doc_id for r in left.collect()}
 
