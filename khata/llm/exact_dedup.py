@@ -1,8 +1,10 @@
 """Exact dedup (7): a tree-merge of digest runs.
 
-Each input partition is a run of digests. In round r the runs of fan_in ** r neighbouring partitions
-meet, digest range by digest range, and equal digests merge to the row to retain and a count. Before
-each exchange a run is combined where it lies, so of a group of copies one row per run travels.
+Each input partition is a run of digests, sorted by them. In round r the runs of fan_in ** r neighbouring
+partitions meet, a part of the digests in each task, and are merged in order: equal digests, which stand
+together then, become one row with what is to retain and a count. Before each exchange a run is combined where it
+lies, so of a group of copies one row per run travels. Spark sorts and merges here on both sides of an exchange: the
+least of a struct is not kept in a hash table, but by sorted aggregation.
 """
 
 from __future__ import annotations
