@@ -8,21 +8,19 @@ The model interpolates trigrams with bigrams, and these with an add-one unigram,
 where h is a context of two words or one, c(h) the number of tokens that follow it in training and t(h) that of different
 ones. A context without followers gives the shorter one's probability; the first token of a text has one word before it, its start.
 
-Texts are cut into batches whose tokens are numbered from 0 and kept. Contexts are dealt to shards by their
-hash, so that those which begin with one frequent word lie in many shards. A batch sends each shard that holds some of
-its contexts these, their successors and its training counts, each different n-gram once; the shard adds the counts up,
-builds a trie of its contexts and successors, and answers every batch by looking up what it asked for: counts of
-words, and 8-bit codes of the two factors above. Nothing grows on the driver, and a frequent context costs a shard one
-list per batch.
-
-A trie has two levels, both Elias-Fano coded in memory maps and searched as they are: sorted 64-bit hashes of contexts
-of either length, and per context its successors' 32-bit fingerprints, which the context's number makes one monotone
+Texts are cut into batches whose tokens are numbered from 0 and kept. Words are dealt to shards by their hash. A batch
+sends each shard that holds some of its words these, their successors, what follows these in turn, and its training
+counts, each different n-gram once; the shard adds the counts up, builds a trie of them, and answers every batch by
+looking up what it asked for: counts of words, and 8-bit codes of the two factors above. Nothing grows on the driver,
+and a frequent word costs a shard one list per batch.
+
+A trie has three levels, all Elias-Fano coded in memory maps and searched as they are: sorted 64-bit hashes of words, and
+twice 32-bit fingerprints of successors, which the place of their context in the level above makes one monotone
 sequence, so that pointers and successors are found by a successor search relative to the context. The maps are
 anonymous: a file on the machine would be lost with it, and no later task reads them.
 
 Fingerprints err so: of t different successors of a context, an unseen word is taken for one with a chance of t / 2 ** 32,
-and seen ones merge in t * t / 2 ** 33 pairs (for a context of 100,000 successors 1 word in 43,000, and about one pair). Two
-contexts of n in all share a hash in n * n / 2 ** 65 pairs.
+and seen ones merge in t * t / 2 ** 33 pairs (for a context of 100,000 successors 1 word in 43,000, and about one pair).
 """
 
 from __future__ import annotations
@@ -137,31 +135,44 @@ class EliasFano:
         return first, hit
 
 
-class Trie:
-    """Contexts (sorted hashes of words and of word pairs), their successors, and quantised factors."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, successors: np.ndarray, pairs: np.ndarray):
-        """Contexts of one word or two, and the words' counts; for each n-gram: the context's place, the fingerprint, the count. All sorted."""
-        self.words = EliasFano(words)
-        self.counts = counts
-        self.pairs = EliasFano(contexts.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64))
-        followed = np.bincount(contexts, weights=pairs, minlength=len(words))
-        kinds = np.bincount(contexts, minlength=len(words))
-        self.shares = quantise(np.maximum(pairs - DISCOUNT, 0) / np.maximum(followed[contexts], 1))
+class Level:
+    """Successors by the place of their context (sorted), and quantised factors of both."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int):
+        """keys: the context's place and the fingerprint, sorted; counts of them; how many contexts there are."""
+        own = (keys >> np.uint64(32)).astype(np.int64)
+        self.keys = EliasFano(keys)
+        followed, kinds = np.bincount(own, weights=counts, minlength=contexts), np.bincount(own, minlength=contexts)
+        self.shares = quantise(np.maximum(counts - DISCOUNT, 0) / np.maximum(followed[own], 1))
         self.backoffs = np.where(followed > 0, quantise(DISCOUNT * kinds / np.maximum(followed, 1)), 0).astype(np.uint8)
 
-    def look_up(self, words: np.ndarray, owners: np.ndarray, successors: np.ndarray):
-        """Counts and back-off codes of contexts, and share codes of successors of words[owners]."""
-        place, known = self.words.successor(words)
-        at = np.minimum(place, max(self.words.n - 1, 0))
-        counts = np.where(known, self.counts[at], 0) if self.words.n else np.zeros(len(words), np.int64)
-        backoffs = np.where(known, self.backoffs[at], 0).astype(np.uint8) if self.words.n else np.zeros(len(words), np.uint8)
-        shares = np.zeros(len(owners), np.uint8)
-        if self.pairs.n:
+    def look_up(self, known: np.ndarray, place: np.ndarray, owners: np.ndarray, successors: np.ndarray):
+        """Back-off codes of contexts; share codes of the successors of contexts[owners], and where these are in the level."""
+        backoffs, shares = np.zeros(len(place), np.uint8), np.zeros(len(owners), np.uint8)
+        found, hit = np.zeros(len(owners), np.int64), np.zeros(len(owners), bool)
+        backoffs[known] = self.backoffs[place[known]]
+        if self.keys.n:
             asked = np.flatnonzero(known[owners])
-            found, hit = self.pairs.successor(place[owners[asked]].astype(np.uint64) << np.uint64(32) | successors[asked].astype(np.uint64))
-            shares[asked[hit]] = self.shares[found[hit]]
-        return counts, backoffs, shares
+            found[asked], hit[asked] = self.keys.successor(place[owners[asked]].astype(np.uint64) << np.uint64(32) | successors[asked].astype(np.uint64))
+            shares[hit] = self.shares[found[hit]]
+        return backoffs, shares, hit, found
+
+
+class Trie:
+    """Words (sorted hashes) with counts, their successors, and the successors of these."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, triples: np.ndarray, triple_counts: np.ndarray):
+        self.words, self.counts = EliasFano(words), counts
+        self.pairs, self.triples = Level(pairs, pair_counts, len(words)), Level(triples, triple_counts, len(pairs))
+
+    def look_up(self, words: np.ndarray, owners: np.ndarray, successors: np.ndarray, pair_owners: np.ndarray, thirds: np.ndarray):
+        """Counts and back-off codes of words, share and back-off codes of the pairs words[owners], successors, share codes of what follows pairs[pair_owners]."""
+        place, known = self.words.successor(words)
+        counts = np.zeros(len(words), np.int64)
+        counts[known] = self.counts[place[known]]
+        backoffs, shares, hit, found = self.pairs.look_up(known, place, owners, successors)
+        pair_backoffs, pair_shares, _, _ = self.triples.look_up(hit, found, pair_owners, thirds)
+        return counts, backoffs, shares, pair_backoffs, pair_shares
 
 
 def quantise(x: np.ndarray) -> np.ndarray:
@@ -178,14 +189,6 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def of_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Hashes of contexts of two words by theirs."""
-    with np.errstate(over="ignore"):
-        mixed = (first ^ first >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + second
-        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-        return mixed ^ mixed >> np.uint64(29)
-
-
 def batch_pairs(vocabulary: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, trained: np.ndarray):
     """Of a batch: the number of each token and of the one before it, and whether its text is trained on.
 
@@ -232,96 +235,105 @@ def tokenise(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "batch long, ids binary, sizes binary, trained binary, hashes binary, tokens binary, n long")
 
 
-def own_lists(row: dict):
-    """A batch's contexts by hash, their training counts as words, and its different n-grams by (context, fingerprint).
+class Lists:
+    """A batch's words by hash, their training counts, and its different bigrams and trigrams."""
 
-    Returned are the words' hashes, the tokens, the texts' sizes; the contexts (sorted hashes; a word's place is
-    rank[word]), rank and the counts; of each n-gram the context's place, the word and the training count; the n-gram of every token
-    after one word, which tokens are the first of a text, and the n-gram of all others after two words.
-    """
-    hashes, tokens, sizes, trained = grow(row["hashes"], "<u8"), grow(row["tokens"], "<i4"), grow(row["sizes"], "<i4"), grow(row["trained"], "?")
-    before, train = batch_pairs(hashes, sizes, tokens, trained)
-    n = len(hashes)
-    later = np.ones(len(tokens), bool)
-    later[np.cumsum(sizes) - sizes] = False
-    ends = np.flatnonzero(later) - 1  # where the contexts of two words end
-    two, two_of = np.unique(before[ends].astype(np.int64) * n + tokens[ends], return_inverse=True)
-    contexts = np.concatenate([hashes, of_two(hashes[two // n], hashes[two % n])])
-    order = np.argsort(contexts, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    counts = np.concatenate([np.bincount(tokens[train], minlength=n), np.zeros(len(two), np.int64)])[order]
-    by_print = np.argsort(fingerprints(hashes), kind="stable")
-    print_rank = np.empty(n, np.int64)
-    print_rank[by_print] = np.arange(n)
-    keys = np.concatenate([rank[before], rank[n + two_of]]) * n + print_rank[np.concatenate([tokens, tokens[later]])]
-    grams, inverse = np.unique(keys, return_inverse=True)
-    gram_counts = np.bincount(inverse, weights=np.concatenate([train, train[later]]), minlength=len(grams)).astype(np.int64)
-    return hashes, tokens, sizes, contexts[order], rank, counts, grams // n, by_print[grams % n], gram_counts, inverse[: len(tokens)], later, inverse[len(tokens) :]
+    def __init__(self, row: dict):
+        hashes, self.tokens, self.sizes, trained = grow(row["hashes"], "<u8"), grow(row["tokens"], "<i4"), grow(row["sizes"], "<i4"), grow(row["trained"], "?")
+        before, train = batch_pairs(hashes, self.sizes, self.tokens, trained)
+        n, order = len(hashes), np.argsort(hashes, kind="stable")
+        self.rank = np.empty(n, np.int64)
+        self.rank[order] = np.arange(n)
+        self.words = hashes[order]
+        self.counts = np.bincount(self.tokens[train], minlength=n)[order]
+        by_print = np.argsort(fingerprints(hashes), kind="stable")
+        print_rank = np.empty(n, np.int64)
+        print_rank[by_print] = np.arange(n)
+        prints = fingerprints(hashes)[by_print]
+
+        def different(contexts, followers, weights):
+            """Of n-grams by context and fingerprint: the context, the fingerprint, the training count; and which each token is."""
+            grams, inverse = np.unique(contexts * n + print_rank[followers], return_inverse=True)
+            return grams // n, prints[grams % n], np.bincount(inverse, weights=weights, minlength=len(grams)).astype(np.int64), inverse
+
+        self.owner, self.second, self.pair_counts, self.pair = different(self.rank[before], self.tokens, train)
+        later = np.ones(len(self.tokens), bool)
+        later[np.cumsum(self.sizes) - self.sizes] = False
+        self.later = np.flatnonzero(later)  # tokens after two words
+        self.pair_owner, self.third, self.triple_counts, self.triple = different(self.pair[self.later - 1], self.tokens[self.later], train[self.later])
+
+    def by_shard(self, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of words, bigrams and trigrams: their order by shard, and where each shard begins in it."""
+        shard = (self.words % np.uint64(shards)).astype(np.int64)
+        kinds = (shard, shard[self.owner], shard[self.owner][self.pair_owner])
+        orders = [np.argsort(x, kind="stable") for x in kinds]
+        return [(o, np.searchsorted(x[o], np.arange(shards + 1))) for x, o in zip(kinds, orders)]
+
+
+#: What a batch asks of a shard, and what it is answered.
+ASKED = {"words": "<u8", "counts": "<u4", "lengths": "<u4", "successors": "<u4", "pair_counts": "<u4", "pair_lengths": "<u4", "thirds": "<u4", "triple_counts": "<u4"}
+ANSWERED = {"counts": "<i8", "backoffs": "u1", "shares": "u1", "pair_backoffs": "u1", "pair_shares": "u1"}
 
 
 def asked(batches: DataFrame, shards: int) -> DataFrame:
-    """What each batch asks of each shard that holds contexts of it: (shard, batch, words, counts, lengths, successors, pair_counts)."""
+    """What each batch asks of each shard that holds words of it: (shard, batch) and the columns of ASKED."""
 
     def run(parts):
         for part in parts:
             for row in part.to_pylist():
-                hashes, _, _, words, _, counts, owner, follower, pair_counts, *_ = own_lists(row)
-                shard = (words % np.uint64(shards)).astype(np.int64)
-                prints = fingerprints(hashes)[follower]
-                lengths = np.bincount(owner, minlength=len(words))
-                of_pair = shard[owner]
-                by_word, by_pair = np.argsort(shard, kind="stable"), np.argsort(of_pair, kind="stable")
-                word_cuts, pair_cuts = np.searchsorted(shard[by_word], np.arange(shards + 1)), np.searchsorted(of_pair[by_pair], np.arange(shards + 1))
-                cols = [[] for _ in range(5)]
-                there = np.flatnonzero(np.diff(word_cuts))
+                own = Lists(row)
+                (words, word_at), (pairs, pair_at), (triples, triple_at) = own.by_shard(shards)
+                lengths, pair_lengths = np.bincount(own.owner, minlength=len(own.words)), np.bincount(own.pair_owner, minlength=len(own.owner))
+                there, rows = np.flatnonzero(np.diff(word_at)), []
                 for s in there:
-                    w, p = by_word[word_cuts[s] : word_cuts[s + 1]], by_pair[pair_cuts[s] : pair_cuts[s + 1]]
-                    for col, x in zip(cols, (words[w].astype("<u8"), counts[w].astype("<u4"), lengths[w].astype("<u4"), prints[p].astype("<u4"), pair_counts[p].astype("<u4"))):
-                        col.append(shrink(x))
+                    w, p, t = words[word_at[s] : word_at[s + 1]], pairs[pair_at[s] : pair_at[s + 1]], triples[triple_at[s] : triple_at[s + 1]]
+                    lists = (own.words[w], own.counts[w], lengths[w], own.second[p], own.pair_counts[p], pair_lengths[p], own.third[t], own.triple_counts[t])
+                    rows.append([shrink(x.astype(kind)) for x, kind in zip(lists, ASKED.values())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(there, "int32"), pa.array(np.full(len(there), row["batch"]), "int64")] + [pa.array(c, "binary") for c in cols],
-                    names=["shard", "batch", "words", "counts", "lengths", "successors", "pair_counts"],
+                    [pa.array(there, "int32"), pa.array(np.full(len(there), row["batch"]), "int64"), *(pa.array(list(c), "binary") for c in zip(*rows))], names=["shard", "batch", *ASKED]
                 )
 
-    return batches.mapInArrow(run, "shard int, batch long, words binary, counts binary, lengths binary, successors binary, pair_counts binary")
+    return batches.mapInArrow(run, ", ".join(["shard int, batch long", *(f"{c} binary" for c in ASKED)]))
+
+
+def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys that have counts, sorted, and the sums of these."""
+    seen = np.flatnonzero(counts)
+    seen = seen[np.argsort(keys[seen], kind="stable")]
+    keys, counts = keys[seen], counts[seen]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else np.zeros(0, np.int64)
 
 
 def answer(table: pa.Table) -> pa.Table:
     """One shard: build its trie from all batches, then answer each."""
     rows = table.sort_by("batch").to_pylist()
-    lists = [tuple(grow(r[c], k) for c, k in (("words", "<u8"), ("counts", "<u4"), ("lengths", "<u4"), ("successors", "<u4"), ("pair_counts", "<u4"))) for r in rows]
-    words, place = np.unique(np.concatenate([x[0] for x in lists]), return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate([x[1] for x in lists]), minlength=len(words)).astype(np.int64)
-    cuts = np.cumsum([0] + [len(x[0]) for x in lists])
-    own = [place[a:b] for a, b in zip(cuts, cuts[1:])]
-    owner = np.concatenate([np.repeat(o, x[2]) for o, x in zip(own, lists)]).astype(np.uint64)
-    keys = owner << np.uint64(32) | np.concatenate([x[3] for x in lists]).astype(np.uint64)
-    del owner
-    train = np.concatenate([x[4] for x in lists]).astype(np.int64)
-    seen = np.flatnonzero(train)
-    order = seen[np.argsort(keys[seen], kind="stable")]
-    sorted_keys, sorted_counts = keys[order], train[order]
-    del keys, train
-    first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(order) else np.zeros(0, np.int64)
-    pair_counts = np.add.reduceat(sorted_counts, first) if len(first) else np.zeros(0, np.int64)
-    pairs = sorted_keys[first]
-    # Only what was trained on is in the trie: words that were counted, and contexts (starts and pairs have no count).
+    lists = [[grow(r[c], kind) for c, kind in ASKED.items()] for r in rows]
+    every = lambda k: np.concatenate([x[k] for x in lists])
+    place_of = lambda places, lengths: np.repeat(places, lengths).astype(np.uint64) << np.uint64(32)
+    words, place = np.unique(every(0), return_inverse=True)
+    counts = np.bincount(place, weights=every(1), minlength=len(words)).astype(np.int64)
+    asked_pairs = place_of(place, every(2)) | every(3).astype(np.uint64)
+    pairs, pair_counts = added(asked_pairs, every(4).astype(np.int64))
+    # A trigram that was trained on follows a bigram that was.
+    triples, triple_counts = added(place_of(np.searchsorted(pairs, asked_pairs), every(5)) | every(6).astype(np.uint64), every(7).astype(np.int64))
+    del asked_pairs
+    # Only what was trained on is in the trie: words that were counted, and contexts (the start has no count).
     contexts = (pairs >> np.uint64(32)).astype(np.int64)
     there = counts > 0
     there[contexts] = True
-    renumber = np.cumsum(there) - 1
-    trie = Trie(words[there], counts[there], renumber[contexts], (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), pair_counts)
+    renumbered = (np.cumsum(there) - 1)[contexts].astype(np.uint64) << np.uint64(32)
+    trie = Trie(words[there], counts[there], renumbered | (pairs & np.uint64(0xFFFFFFFF)), pair_counts, triples, triple_counts)
     total, kinds = int(counts.sum()), int((counts > 0).sum())
-    cols: list[list] = [[], [], []]
+    told = []
     for x in lists:
-        for col, y in zip(cols, trie.look_up(x[0], np.repeat(np.arange(len(x[0])), x[2]), x[3])):
-            col.append(shrink(y.astype("<i8") if y.dtype.itemsize > 1 else y))
+        found = trie.look_up(x[0], np.repeat(np.arange(len(x[0])), x[2]), x[3], np.repeat(np.arange(len(x[3])), x[5]), x[6])
+        told.append([shrink(y.astype(kind)) for y, kind in zip(found, ANSWERED.values())])
     n = len(rows)
     return pa.table(
         {
             "batch": pa.array([r["batch"] for r in rows], "int64"), "shard": pa.array([r["shard"] for r in rows], "int32"),
-            "counts": pa.array(cols[0], "binary"), "backoffs": pa.array(cols[1], "binary"), "shares": pa.array(cols[2], "binary"),
+            **{c: pa.array(list(x), "binary") for c, x in zip(ANSWERED, zip(*told))},
             "total": pa.array([total] + [0] * (n - 1), "int64"), "kinds": pa.array([kinds] + [0] * (n - 1), "int64"),
         }
     )
@@ -338,24 +350,22 @@ def score(docs: DataFrame, shards: int | None = None) -> DataFrame:
     docs = documents(docs, F.coalesce(F.col("trained"), F.lit(False)).alias("trained"))
     batches = keep(tokenise(docs))
     shards = shards or max(1, -(-(batches.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
-    answers = keep(asked(batches, shards).groupBy("shard").applyInArrow(answer, "batch long, shard int, counts binary, backoffs binary, shares binary, total long, kinds long"))
+    answers = keep(asked(batches, shards).groupBy("shard").applyInArrow(answer, ", ".join(["batch long, shard int", *(f"{c} binary" for c in ANSWERED), "total long, kinds long"])))
     sums = answers.agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        hashes, tokens, sizes, words, rank, _, owner, _, _, after_one, later, after_two = own_lists(row)
-        shard = (words % np.uint64(shards)).astype(np.int64)
-        by_word, by_pair = np.argsort(shard, kind="stable"), np.argsort(shard[owner], kind="stable")
+        own = Lists(row)
+        sizes, tokens = own.sizes, own.tokens
+        words, pairs, triples = (order for order, _ in own.by_shard(shards))
         got = right.sort_by("shard").to_pylist()
-        put = lambda name, kind, places: _scatter([grow(r[name], kind) for r in got], places)
-        counts, backoffs, shares = put("counts", "<i8", by_word), put("backoffs", "u1", by_word), put("shares", "u1", by_pair)
-        by_number = counts[rank[: len(hashes)]]
+        put = lambda name, places: _scatter([grow(r[name], ANSWERED[name]) for r in got], places)
+        by_number = put("counts", words)[own.rank]
         chance = (by_number + 1) / (total + kinds + 1)
         known = (by_number > 0)[tokens]
-        share, backoff = factors(0.0)[shares], factors(1.0)[backoffs][owner]
-        p = share[after_one] + backoff[after_one] * chance[tokens]
-        p[later] = share[after_two] + backoff[after_two] * p[later]
+        p = factors(0.0)[put("shares", pairs)][own.pair] + factors(1.0)[put("backoffs", words)][own.owner][own.pair] * chance[tokens]
+        p[own.later] = factors(0.0)[put("pair_shares", triples)][own.triple] + factors(1.0)[put("pair_backoffs", pairs)][own.pair[own.later - 1]] * p[own.later]
         starts = np.cumsum(sizes) - sizes
         return pa.table(
             {
