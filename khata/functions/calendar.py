@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 # Month names of period labels, by their number.
 MONTHS = dict(zip("january february march april may june july august september october november december".split(), range(1, 13)))
+# Ages in words, by language: never, under an hour, hours, a day, days, a month, months.
+AGES = {
+    "en": ("Not yet fetched", "Within the hour", "{}h ago", "Yesterday", "{} days ago", "Last month", "{} months ago"),
+    "hi": ("अभी तक प्राप्त नहीं हुआ", "एक घंटे के भीतर", "{} घंटे पहले", "कल", "{} दिन पहले", "पिछले माह", "{} माह पहले"),
+}
+
+
+def let(value: Column, body) -> Column:
+    """body(value), in which value is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def fy_of(day: Column) -> Column:
@@ -84,6 +94,34 @@ def long_label(fy: Column) -> Column:
     return F.concat((fy_end_year(fy) - 1).cast("string"), F.lit("-"), F.lpad((fy_end_year(fy) % 100).cast("string"), 2, "0"))
 
 
+def short_label(fy: Column) -> Column:
+    """FY26 for FY2026."""
+    return F.concat(F.lit("FY"), F.lpad((fy_end_year(fy) % 100).cast("string"), 2, "0"))
+
+
+def span_label(fy: Column) -> Column:
+    """FY2026 (Apr 2025 to Mar 2026) for FY2026."""
+    end = fy_end_year(fy)
+    return F.concat(F.lit("FY"), end.cast("string"), F.lit(" (Apr "), (end - 1).cast("string"), F.lit(" to Mar "), end.cast("string"), F.lit(")"))
+
+
+def month_label(day: Column) -> Column:
+    """Apr 2025 for a day of that month."""
+    return F.date_format(day, "MMM yyyy")
+
+
+def age_label(hours: Column, language: str = "en") -> Column:
+    """How long ago something was: by hours under a day, then by days, from thirty on by months of thirty; NULL was never."""
+    never, hour, some_hours, day, some_days, month, some_months = AGES[language]
+    days = F.floor(hours / 24)
+    months = F.floor(days / 30)
+    say = lambda text, n: F.replace(F.lit(text), F.lit("{}"), n.cast("string"))
+    return (
+        F.when(hours.isNull(), never).when(hours < 1, hour).when(hours < 24, say(some_hours, F.floor(hours))).when(days == 1, day)
+        .when(days < 30, say(some_days, days)).when(months == 1, month).otherwise(say(some_months, months))
+    )
+
+
 def from_label(label: Column) -> Column:
     """FY2026 for 2025-26, 2025-2026 or 1999-00; NULL unless the years follow each other."""
     first = F.regexp_extract(label, r"^\s*((?:19|20)[0-9]{2})\s*[-/–]\s*([0-9]{2}|[0-9]{4})\s*$", 1)
@@ -94,21 +132,33 @@ def from_label(label: Column) -> Column:
 
 
 def period_of(label: Column) -> Column:
-    """struct(start, end, cumulative) of "April 2025" or "April to December 2025"; NULL where it can't be read.
+    """struct(start, end, cumulative) of "April 2025", "April to December 2025", "April 2025 to January 2026" or "April-March 2025-26"; NULL where it can't be read.
 
-    The year belongs to the last month; a range is cumulative and may not leave the fiscal year.
+    The last year belongs to the last month; a pair of years names the fiscal year in which the last month lies. The first
+    month's own year goes before the one that follows from the last. A range is cumulative and may not leave the fiscal year.
     """
-    low = F.lower(F.trim(label))
-    names = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
-    pattern = rf"^(?:(?:for|upto|up to)\s+)?({names})\.?(?:\s*(?:-|–|to|till)\s*({names})\.?)?[\s,]+((?:19|20)[0-9]{{2}})$"
-    first, second, year = (F.regexp_extract(low, pattern, k) for k in (1, 2, 3))
+    low = F.lower(F.trim(F.regexp_replace(F.translate(label, "–—", "--"), r"\s+", " ")))
+    names = "|".join(f"{m}|{m[:3]}" for m in MONTHS) + "|sept"
+    to = r"(?:\s*-{1,2}\s*|\s+(?:to|through|till|upto|up to)\s+)"
+    pattern = rf"^(?:(?:for|upto|up to)\s+)?({names})\.?(?:(?:[\s,]+((?:19|20)[0-9]{{2}}))?{to}({names})\.?)?[\s,]+((?:19|20)[0-9]{{2}})(?:\s*[-/]\s*([0-9]{{4}}|[0-9]{{2}}))?$"
     number = F.create_map(*[F.lit(x) for m, k in MONTHS.items() for x in (m[:3], k)])
-    a = F.try_element_at(number, F.substring(first, 1, 3))
-    b = F.when(second != "", F.try_element_at(number, F.substring(second, 1, 3))).otherwise(a)
-    last_year = F.when(year != "", year.cast("int"))
-    end = F.last_day(F.make_date(last_year, b, F.lit(1)))
-    start = F.make_date(last_year - (a > b).cast("int"), a, F.lit(1))
-    return F.when(start.isNotNull() & (fy_of(start) == fy_of(end)), F.struct(start.alias("start"), end.alias("end"), (second != "").alias("cumulative")))
+
+    def place(parts: Column) -> Column:
+        # first month, its own year, last month, year, second year of a pair; what does not match has one part.
+        month = lambda k: F.try_element_at(number, F.substring(F.get(parts, F.lit(k)), 1, 3))
+        year = lambda k: F.get(parts, F.lit(k)).try_cast("int")
+        return let(F.struct(month(0).alias("a"), year(1).alias("own"), F.coalesce(month(2), month(0)).alias("b"), year(3).alias("year"), year(4).alias("pair"), month(2).isNotNull().alias("range")), years)
+
+    def years(x: Column) -> Column:
+        follows = (x["pair"] == x["year"] + 1) | (x["pair"] == (x["year"] + 1) % 100)
+        last = F.when(x["pair"].isNull(), x["year"]).when(follows, x["year"] + (x["b"] <= 3).cast("int"))
+        return let(F.struct(x.alias("x"), last.alias("last"), F.coalesce(x["own"], last - (x["a"] > x["b"]).cast("int")).alias("first")), days)
+
+    def days(y: Column) -> Column:
+        ends = F.struct(F.make_date(y["first"], y["x"]["a"], F.lit(1)).alias("start"), F.last_day(F.make_date(y["last"], y["x"]["b"], F.lit(1))).alias("end"), y["x"]["range"].alias("cumulative"))
+        return let(ends, lambda p: F.when((p["start"] <= p["end"]) & (fy_of(p["start"]) == fy_of(p["end"])), p))
+
+    return let(F.split(F.regexp_replace(low, pattern, r"$1|$2|$3|$4|$5"), "[|]"), place)
 
 
 def parse_day(text: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from khata.functions.calendar import let
+
 # What stands for a figure that is not reported.
 NOT_REPORTED = ("", "-", "--", "---", "–", "—", ".", "..", "...", "*", "**", "na", "n.a.", "n.a", "n/a", "nr", "nil", "none", "not reported", "not available", "not applicable", "no data", "neg", "negligible")
 # Units by name, longest first, and how many crore one is.
@@ -15,15 +17,14 @@ UNITS = {
     "thousand crores": "1000", "thousand crore": "1000", "crores": "1", "crore": "1", "cr.": "1", "cr": "1", "lakhs": "0.01", "lakh": "0.01", "lacs": "0.01", "lac": "0.01", "trillions": "100000", "trillion": "100000",
     "billions": "100", "billion": "100", "bn": "100", "millions": "0.1", "million": "0.1", "mn": "0.1", "thousands": "0.0001", "thousand": "0.0001", "rupees": "0.0000001", "rupee": "0.0000001",
 }
+# What a page without a unit is said to state, and the least confidence that needs no human.
+UNSTATED, SURE = "unstated", 0.85
+#: Digits of Devanagari, and characters of full width with those that they stand for.
+FOLDED = ("०१२३४५६७८९\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F))), "0123456789 " + "".join(map(chr, range(0x21, 0x7F))))
 VALUE, MISSING, ERROR = "value", "not_reported", "error"
 NO_FIGURE = "Not reported"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), in which value is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unit_of(text: Column) -> Column:
     """The unit that a heading or cell names, the longest first; NULL if none."""
     names = F.array(*map(F.lit, UNITS))
@@ -66,7 +67,26 @@ def parse_crore(cell: Column, hint: Column | None = None) -> Column:
         status = F.when(missing, MISSING).when(reason.isNotNull(), ERROR).otherwise(VALUE)
         return F.struct(status.alias("status"), F.when(~missing & reason.isNull(), value.cast("decimal(20,2)")).alias("value"), reason.alias("reason"))
 
-    return let(F.trim(F.lower(F.regexp_replace(F.translate(cell, "०१२३४५६७८९", "0123456789"), "[\u00a0\\s]+", " "))), read)
+    return let(F.trim(F.lower(F.regexp_replace(F.translate(cell, *FOLDED), "[\u00a0\\s]+", " "))), read)
+
+
+def unit_hint(header: Column, *captions: Column) -> Column:
+    """The unit of a table's figures: of the first of its header's cells that names one, else of the first caption that does; NULL if none."""
+    return F.coalesce(F.get(F.filter(F.transform(header, unit_of), lambda u: u.isNotNull()), F.lit(0)), *map(unit_of, captions))
+
+
+def reviewed(cell: Column, unit: Column, confidence: Column) -> Column:
+    """struct(amount, reason, needs_review) of a figure read off a page, with the unit that stands there ("unstated" if none does).
+
+    Without a unit the amount is never guessed. A figure that can't be used, or was read with less than sure confidence, is
+    for a human; so is one whose confidence is missing.
+    """
+    def judge(p: Column) -> Column:
+        reason = F.when(unit.isNull() | (unit == UNSTATED), "no unit stated").when(p["status"] == MISSING, "no figure").otherwise(p["reason"])
+        amount = F.when(reason.isNull(), p["value"])
+        return F.struct(amount.alias("amount"), reason.alias("reason"), (amount.isNull() | F.coalesce(confidence < SURE, F.lit(True))).alias("needs_review"))
+
+    return let(parse_crore(cell, unit), judge)
 
 
 def group_indian(value: Column, places: int = 2) -> Column:

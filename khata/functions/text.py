@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Accents folded, abbreviations spelled out, spellings made alike, and words without weight in names.
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -77,6 +80,8 @@ NO_FIGURES = (
     r"\[(?:source|tender|evidence):[^\]]*\]", r"\bFY[0-9]{4}\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", rf"\b[0-9]{{1,2}}\s+{MONTHS}\s+[0-9]{{4}}\b", rf"\b{MONTHS}\s+[0-9]{{4}}\b", r"\b[0-9]{4}-[0-9]{2}\b", r"\bQ[1-4]\b",
 )
 NUMBER = r"([-+]?[0-9]{1,3}(?:,[0-9]{2,3})+(?:\.[0-9]+)?|[-+]?[0-9]+(?:\.[0-9]+)?)"
+# What stands for a secret, and the length under which a value is none.
+REDACTED, SECRET_LEAST = "[redacted]", 6
 #: Places after the point that printed figures are compared at; beyond them they must be equal.
 PLACES = 10
 
@@ -99,6 +104,28 @@ def unsupported(printed: Column, allowed: Column) -> Column:
     return F.filter(printed, lambda x: ~known(x))
 
 
+def redact(value: Column, kind: DataType, secrets: list[str]) -> Column:
+    """value with every secret in its strings masked, however deep in structs, arrays and maps' values these stand; keys stay.
+
+    Secrets under six characters are left alone, for they would mask plain words.
+    """
+    hidden = [s for s in secrets if len(s) >= SECRET_LEAST]
+    if isinstance(kind, StringType):
+        return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(REDACTED)), hidden, value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda v: redact(v, kind.elementType, secrets))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: redact(v, kind.valueType, secrets))
+    if isinstance(kind, StructType):
+        return F.when(value.isNotNull(), F.struct(*[redact(value[f.name], f.dataType, secrets).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def redact_rows(rows: DataFrame, secrets: list[str]) -> DataFrame:
+    """rows with every secret in any column masked."""
+    return rows.select(*[redact(F.col(f"`{f.name}`"), f.dataType, secrets).alias(f.name) for f in rows.schema.fields])
+
+
 def banned_words(prose: Column) -> Column:
     """Stems that the text uses at the beginning of a word, in their order."""
     found = F.array_compact(F.array(*[F.when(prose.rlike(rf"(?i)\b{w}"), F.lit(w)) for w in BANNED]))

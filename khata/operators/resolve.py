@@ -10,6 +10,8 @@ from khata.operators.upsert import merge
 
 # Least similarity of a candidate, of a sure one, its lead, candidates kept, least confidence.
 CANDIDATE, DOMINANT, MARGIN, TOP, ACCEPT = 0.35, 0.92, 0.08, 8, 0.90
+# Least Jaccard of words of what is suggested to a reviewer, and how many are.
+SUGGESTED, SUGGESTIONS = 0.34, 5
 
 
 def candidates(names: DataFrame, entities: DataFrame, least: float = CANDIDATE, top: int | None = TOP) -> DataFrame:
@@ -48,14 +50,41 @@ def resolve(names: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("name", F.coalesce("exact_id", "best_id").alias("entity_id"), confidence.alias("confidence"), method.alias("method"))
 
 
+def _by_words(names: DataFrame, entities: DataFrame, least: float) -> DataFrame:
+    """(name, entity_id, entity_name, same, score) of pairs whose normal forms are equal or whose words' Jaccard is this at least.
+
+    Blocked by word: of its words a name meets others by the rarest alone that it must share (prefix filtering), so that a
+    word of very many names joins nothing unless a name has no rarer one.
+    """
+    a = names.select("name").where("name is not null").distinct().select("name", normalise_name(F.col("name")).alias("norm"), token_set(F.col("name")).alias("ta"))
+    b = entities.select("entity_id", F.col("name").alias("entity_name"), normalise_name(F.col("name")).alias("norm_b"), token_set(F.col("name")).alias("tb"))
+    counts = b.select(F.explode("tb").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarest(rows, keys, words):
+        each = rows.select(*keys, F.size(words).alias("s"), F.explode(words).alias("w")).join(counts, "w", "left")
+        ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")))
+        grouped = each.groupBy(*keys).agg(ranked.alias("ranked"), F.first("s").alias("s"))
+        return grouped.select(*keys, F.explode(F.slice("ranked", F.lit(1), (F.col("s") - F.ceil(F.col("s") * least - 1e-9) + 1).cast("int"))).alias("r")).select(*keys, "r.w")
+
+    pairs = rarest(a, ["name"], "ta").join(rarest(b, ["entity_id", "entity_name"], "tb"), "w").select("name", "entity_id", "entity_name")
+    equal = a.where("norm != ''").join(b, F.col("norm") == F.col("norm_b")).select("name", "entity_id", "entity_name")
+    scored = pairs.union(equal).distinct().join(a, "name").join(b, ["entity_id", "entity_name"])
+    score, same = jaccard(F.col("ta"), F.col("tb")), F.col("norm") == F.col("norm_b")
+    return scored.select("name", "entity_id", "entity_name", same.alias("same"), score.alias("score")).where(F.col("same") | (F.col("score") >= least))
+
+
 def match_tokens(names: DataFrame, entities: DataFrame, least: float = 0.6) -> DataFrame:
     """name, entity_id, match: high where normal forms are equal, medium from this Jaccard of words, else none."""
-    a = names.select("name").distinct().select("name", normalise_name(F.col("name")).alias("norm"), token_set(F.col("name")).alias("ta"))
-    b = entities.select("entity_id", normalise_name(F.col("name")).alias("norm_b"), token_set(F.col("name")).alias("tb"))
-    words = a.select("name", F.explode("ta").alias("w")).join(b.select("entity_id", F.explode("tb").alias("w")), "w").select("name", "entity_id").distinct()
-    scored = words.join(a, "name").join(b, "entity_id").withColumn("score", F.when(F.col("norm") == F.col("norm_b"), 2.0).otherwise(jaccard(F.col("ta"), F.col("tb")))).where(F.col("score") >= least)
+    scored = _by_words(names, entities, least).withColumn("score", F.when(F.col("same"), 2.0).otherwise(F.col("score")))
     best = scored.groupBy("name").agg(F.min_by("entity_id", F.struct(-F.col("score"), "entity_id")).alias("entity_id"), F.max("score").alias("score"))
-    return a.select("name").join(best, "name", "left").select("name", "entity_id", F.when(F.col("score") == 2, "high").when(F.col("score").isNotNull(), "medium").otherwise("none").alias("match"))
+    return names.select("name").distinct().join(best, "name", "left").select("name", "entity_id", F.when(F.col("score") == 2, "high").when(F.col("score").isNotNull(), "medium").otherwise("none").alias("match"))
+
+
+def best_matches(names: DataFrame, entities: DataFrame, least: float = SUGGESTED, limit: int = SUGGESTIONS) -> DataFrame:
+    """(name, entity_id, entity_name, score, place): for each name the entities whose words are most like its own, ties by their names."""
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "entity_name", "entity_id"))
+    found = _by_words(names, entities, least).where(F.col("score") >= least)
+    return found.withColumn("place", place).where(F.col("place") <= limit).select("name", "entity_id", "entity_name", "score", "place")
 
 
 def by_alias(names: DataFrame, aliases: DataFrame, least: float = ACCEPT) -> DataFrame:

@@ -24,12 +24,42 @@ def burn_band(burn: Column) -> Column:
     return F.when(burn < 0.5, BURN_BANDS[0][1]).when(burn < 0.85, BURN_BANDS[1][1]).when(burn <= 1.15, BURN_BANDS[2][1]).when(burn <= 1.3, BURN_BANDS[3][1]).when(burn.isNotNull(), BURN_BANDS[4][1])
 
 
+# Names of the bands, and what is said of a pace.
+BURN_LABELS = {"far_behind": "Far behind pace", "behind": "Behind pace", "on_pace": "On pace", "ahead": "Ahead of pace", "far_ahead": "Far ahead of pace"}
+UNKNOWN_BAND, UNKNOWN_PACE = "Not reported", "Spending pace cannot be computed from the reported figures."
+IN_LINE, APART = "Spending is broadly in line with the share of the year elapsed.", "Spending is running about {}% {} the share of the year elapsed."
+
+
+def burn_label(burn: Column) -> Column:
+    """The band's name; a ratio that isn't known has one too."""
+    band = burn_band(burn)
+    return reduce(lambda c, kv: c.when(band == kv[0], kv[1]), BURN_LABELS.items(), F.when(band.isNull(), UNKNOWN_BAND))
+
+
+def burn_sentence(burn: Column) -> Column:
+    """The ratio in words: in line up to 15 whole per cent from one, else so many below or above."""
+    apart = F.floor(F.abs(burn - 1) * 100 + 0.5)
+    said = F.replace(F.replace(F.lit(APART), F.lit("{}%"), F.concat(apart.cast("string"), F.lit("%"))), F.lit("{}"), F.when(burn < 1, "below").otherwise("above"))
+    return F.when(burn.isNull(), UNKNOWN_PACE).when(apart <= 15, IN_LINE).otherwise(said)
+
+
+def _usable(summary: DataFrame) -> DataFrame:
+    """summary with par, and usable: authority and spend are known, some authority is there and some of the year is gone."""
+    rows = summary.withColumn("par", par_fraction(F.col("fy"), F.col("as_of")))
+    good = (F.col("authority") > 0) & F.col("spent").isNotNull() & (F.col("par") > 0)
+    return rows.withColumn("usable", F.coalesce(good, F.lit(False)))
+
+
+def skipped(summary: DataFrame) -> DataFrame:
+    """fy, n_usable and n_skipped: rows that pareto() ranks, and those that it leaves out."""
+    return _usable(summary).groupBy("fy").agg(F.count_if("usable").alias("n_usable"), F.count_if(~F.col("usable")).alias("n_skipped"))
+
+
 def pareto(summary: DataFrame) -> DataFrame:
-    """Rows with known authority and spend: absorption, par, pace, gap in crore, weight, running share of all shortfall."""
-    usable = summary.where("authority > 0 and spent is not null and as_of is not null")
-    rows = usable.select("fy", "ministry_id", "authority", ratio(F.col("spent"), F.col("authority")).alias("absorption"), par_fraction(F.col("fy"), F.col("as_of")).alias("par"))
+    """Rows with known authority and spend, a part of whose year is gone: absorption, par, pace, gap in crore, weight, running share of all shortfall."""
+    rows = _usable(summary).where("usable").select("fy", "ministry_id", "authority", ratio(F.col("spent"), F.col("authority")).alias("absorption"), "par")
     money = F.col("authority").cast("double")
-    rows = rows.withColumn("gap", (F.col("absorption") - F.col("par")) * money).withColumn("pace", F.when(F.col("par") > 0, F.col("absorption") / F.col("par")))
+    rows = rows.withColumn("gap", (F.col("absorption") - F.col("par")) * money).withColumn("pace", F.col("absorption") / F.col("par"))
     year, order = Window.partitionBy("fy"), Window.partitionBy("fy").orderBy("gap", "ministry_id")
     short = -F.least(F.col("gap"), F.lit(0.0))
     total = F.sum(short).over(year)

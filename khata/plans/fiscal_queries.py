@@ -218,7 +218,7 @@ def calendar_of_orders(spark, sf_dir) -> DataFrame:
 
 @query(SUMMARY + f""", g AS (SELECT *, {elapsed('fy', 'as_of')} AS e FROM summary WHERE authority > 0 AND spent IS NOT NULL AND as_of IS NOT NULL),
     h AS (SELECT fy, ministry_id, share AS absorption, par, (share - par) * CAST(authority AS DOUBLE) AS gap, CASE WHEN par > 0 THEN share / par END AS pace, authority
-          FROM (SELECT *, greatest(0.0, least(1.0, CAST(date_diff('day', {start('fy')}, as_of) AS DOUBLE) / date_diff('day', {start('fy')}, {end('fy')}))) AS par FROM g)),
+          FROM (SELECT *, greatest(0.0, least(1.0, CAST(date_diff('day', {start('fy')}, as_of) AS DOUBLE) / date_diff('day', {start('fy')}, {end('fy')}))) AS par FROM g) WHERE par > 0),
     t AS (SELECT *, -sum(least(gap, 0)) OVER (PARTITION BY fy ORDER BY gap, ministry_id ROWS UNBOUNDED PRECEDING) AS running, -sum(least(gap, 0)) OVER (PARTITION BY fy) AS short_total,
           CAST(authority AS DOUBLE) / sum(CAST(authority AS DOUBLE)) OVER (PARTITION BY fy) AS weight, row_number() OVER (PARTITION BY fy ORDER BY gap, ministry_id) AS place FROM h)
     SELECT fy, ministry_id, CAST(place AS INTEGER) AS place, round(absorption, 6) AS absorption, round(par, 6) AS par, round(pace, 6) AS pace, round(gap, 2) AS gap, round(weight, 6) AS weight, round(CASE WHEN short_total > 0 THEN running / short_total END, 6) AS pareto,
@@ -229,6 +229,24 @@ def variance_pareto(spark, sf_dir) -> DataFrame:
     return rows.select("fy", "ministry_id", "place", *r6("absorption", "par", "pace"), F.round("gap", 2).alias("gap"), *r6("weight", "pareto"), "position")
 
 
+@query(SUMMARY + f""" SELECT fy, count(*) FILTER (WHERE u) AS n_usable, count(*) FILTER (WHERE NOT u) AS n_skipped
+    FROM (SELECT fy, coalesce(authority > 0 AND spent IS NOT NULL AND as_of > {start('fy')}, FALSE) AS u FROM summary) GROUP BY fy""")
+def variance_skipped(spark, sf_dir) -> DataFrame:
+    """How many ministries of a year can be set against even spending, and how many can't."""
+    return variance.skipped(summary_of(spark, sf_dir))
+
+
+@query(SUMMARY + """, b AS (SELECT fy, ministry_id, burn_ratio AS r, floor(abs(burn_ratio - 1) * 100 + 0.5) AS apart FROM summary)
+    SELECT fy, ministry_id, CASE WHEN r IS NULL THEN 'Not reported' WHEN r < 0.5 THEN 'Far behind pace' WHEN r < 0.85 THEN 'Behind pace' WHEN r <= 1.15 THEN 'On pace' WHEN r <= 1.3 THEN 'Ahead of pace' ELSE 'Far ahead of pace' END AS label,
+           CASE WHEN r IS NULL THEN 'Spending pace cannot be computed from the reported figures.' WHEN apart <= 15 THEN 'Spending is broadly in line with the share of the year elapsed.'
+                ELSE 'Spending is running about ' || CAST(apart AS BIGINT) || '% ' || CASE WHEN r < 1 THEN 'below' ELSE 'above' END || ' the share of the year elapsed.' END AS sentence FROM b""")
+def pace_in_words(spark, sf_dir) -> DataFrame:
+    """Each ministry's pace as a label and as a sentence."""
+    burn = F.col("burn_ratio")
+    return summary_of(spark, sf_dir).select("fy", "ministry_id", variance.burn_label(burn).alias("label"), variance.burn_sentence(burn).alias("sentence"))
+
+
+
 @query(SUMMARY + f""", ranked AS (
         SELECT *, row_number() OVER (PARTITION BY fy ORDER BY burn_ratio ASC NULLS LAST, ministry_id) AS slow, row_number() OVER (PARTITION BY fy ORDER BY burn_ratio DESC NULLS LAST, ministry_id) AS fast,
                row_number() OVER (PARTITION BY fy ORDER BY abs(revision) DESC NULLS LAST, ministry_id) AS moved FROM summary)
@@ -295,10 +313,22 @@ def alert_windows(spark, sf_dir) -> DataFrame:
     SELECT run_id, source_id, last_value(ok_id IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY started_at, run_id) AS baseline_run,
            row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS newest FROM h""")
 def carried_baseline(spark, sf_dir) -> DataFrame:
-    """For every run the last good run of its source, carried down, and its place from the newest."""
-    w = Window.partitionBy("source_id").orderBy("started_at", "run_id")
-    newest = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("run_id"))).cast("long")
-    return p.pipeline_runs(spark, sf_dir).select("run_id", "source_id", F.last(F.when(F.col("status") == "ok", F.col("run_id")), ignorenulls=True).over(w).alias("baseline_run"), newest.alias("newest"))
+    """For every run the last good run of its source, carried down, and its place from the newest.
+
+    Each day of a source is ordered by itself; what a day takes over from earlier ones, and how many runs follow it, comes
+    from a row a source and day.
+    """
+    runs = p.pipeline_runs(spark, sf_dir).select("run_id", "source_id", "started_at", F.to_date("started_at").alias("day"), F.when(F.col("status") == "ok", F.col("run_id")).alias("good"))
+    place = F.struct("started_at", "run_id")
+    days = runs.groupBy("source_id", "day").agg(F.max_by("good", F.when(F.col("good").isNotNull(), place)).alias("last_good"), F.count("*").alias("n"))
+    order = Window.partitionBy("source_id").orderBy("day")
+    before = F.last("last_good", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.coalesce(F.sum("n").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    days = days.select("source_id", "day", before.alias("before"), after.alias("after"))
+    w = Window.partitionBy("source_id", "day").orderBy("started_at", "run_id")
+    back = Window.partitionBy("source_id", "day").orderBy(F.desc("started_at"), F.desc("run_id"))
+    within = runs.select("run_id", "source_id", "day", F.last("good", ignorenulls=True).over(w).alias("own"), F.row_number().over(back).alias("place"))
+    return within.join(days, ["source_id", "day"]).select("run_id", "source_id", F.coalesce("own", "before").alias("baseline_run"), (F.col("place") + F.col("after")).cast("long").alias("newest"))
 
 
 @query(with_parts("run") + """, c AS (SELECT source_id, status, count(*) AS n FROM run GROUP BY 1, 2)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from khata.functions import text
 from khata.functions.calendar import fy_of
 from khata.oracle import fy, with_parts
 from khata.plans import projection as p
 from khata.plans.fiscal_queries import query_into, r6
 from khata.operators import quality, search
 from khata.plans.text_queries import grams
-from khata.sources import catalogue, intake, named, workbook
+from khata.sources import catalogue, intake, named, tabular, workbook
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -210,3 +211,59 @@ def search_as_typed(spark, sf_dir) -> DataFrame:
     nations = p.ministries(spark, sf_dir).select(F.col("ministry_id").alias("entity_id"), F.lit("ministry").alias("kind"), F.col("name").alias("title"), F.lit("").alias("aliases"), F.col("sector").alias("extra"))
     goods = p.table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("entity_id"), F.lit("part").alias("kind"), F.col("p_name").alias("title"), F.col("p_brand").alias("aliases"), F.col("p_type").alias("extra"))
     return search.web(nations.union(goods), TYPED, 40).select("entity_id", "kind", "title", *r6("score"))
+
+
+def release_lists(spark, sf_dir) -> DataFrame:
+    """A list of releases for every customer, a link for each of its orders under one heading."""
+    k = F.col("o_orderkey").cast("string")
+    item = F.concat(
+        F.lit("<li>"), F.date_format(F.to_date("o_orderdate"), "dd MMM yyyy"), F.lit(" <a href='/PressReleasePage.aspx?PRID="), k, F.lit("'>Rs. "), F.col("o_totalprice").cast(p.MONEY).cast("string"),
+        F.lit(" crore for ships &amp; ports, number "), k, F.lit("</a></li>"),
+    )
+    lists = p.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    about = p.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    html = F.concat(F.lit("<h3>Min. of "), "c_mktsegment", F.lit("</h3><ul>"), "items", F.lit("</ul>"))
+    return lists.join(about, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("page_id"), F.lit("https://x.org").alias("url"), html.alias("html"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS release_id, 'Min. of ' || c_mktsegment AS ministry, 'ministry of ' || lower(c_mktsegment) AS ministry_normalised, 'https://pib.gov.in/PressReleasePage.aspx?PRID=' || o_orderkey AS url,
+        CAST(o_orderdate AS DATE) AS published_on, 'Rs. ' || CAST(CAST(o_totalprice AS DECIMAL(20,2)) AS VARCHAR) || ' crore' AS mentions FROM orders JOIN customer ON o_custkey = c_custkey""")
+def press_releases(spark, sf_dir) -> DataFrame:
+    """Every release with its heading, day and the amounts that its title mentions."""
+    return named.press_releases(release_lists(spark, sf_dir)).select("release_id", "ministry", "ministry_normalised", "url", "published_on", F.array_join("amount_mentions", "; ").alias("mentions"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(20,2)) AS v FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+    SELECT segment, CAST(c_custkey AS VARCHAR) AS k, 'FY2025' AS fy, 'BE' AS stage, CAST(v AS DOUBLE) AS amount, NULL AS reason FROM c
+    UNION ALL SELECT segment, CAST(c_custkey AS VARCHAR), 'FY2026', 'RE', CASE WHEN c_custkey % 5 <> 0 THEN CAST(v * 2 AS DOUBLE) END, CASE WHEN c_custkey % 5 = 0 THEN 'missing column: re' END FROM c""")
+def wide_records(spark, sf_dir) -> DataFrame:
+    """Records with a column a stage, of which a fifth lacks one: figures of the chosen rows, and what is missing."""
+    v = F.col("c_acctbal").cast(p.MONEY)
+    record = F.map_concat(
+        F.create_map(F.lit("segment"), F.initcap("c_mktsegment"), F.lit("k"), F.col("c_custkey").cast("string"), F.lit("be"), v.cast("string")),
+        F.when(F.col("c_custkey") % 5 != 0, F.create_map(F.lit("re"), (v * 2).cast(p.MONEY).cast("string"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    records = p.table(spark, sf_dir, "customer").select(record.alias("record"))
+    long = tabular.wide_to_long(records, {"be": ("FY2025", "BE"), "re": ("FY2026", "RE")}, ["segment", "k"], keep_rows=("building", "machinery", "household"), drop_rows=("household",))
+    facts, errors = tabular.long_amounts(long, "crore")
+    rows = facts.select("segment", "k", "fy", "stage", F.col("amount").cast("double").alias("amount"), F.lit(None).cast("string").alias("reason"))
+    return rows.union(errors.select("segment", "k", "fy", "stage", F.lit(None).cast("double"), "reason")).withColumn("segment", F.upper("segment"))
+
+
+@query("""WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'F') AS k FROM orders GROUP BY 1),
+    s AS (SELECT o_custkey, round(least(1.0, sqrt((2 * n + k) / (3.0 * n)) * (0.3 + 0.7 * (n / CAST(n + k AS DOUBLE)))) * CASE WHEN n < 3 THEN 0.6 ELSE 1.0 END, 4) AS score FROM g)
+    SELECT o_custkey, score, CASE WHEN score >= 0.60 THEN 'trusted' WHEN score >= 0.25 THEN 'assist' ELSE 'unusable' END AS verdict FROM s""")
+def grid_verdicts(spark, sf_dir) -> DataFrame:
+    """Every customer's orders as a grid of cells: how sure it is that this is a table, and what becomes of it."""
+    cells = F.array(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", " ").otherwise(F.col("o_orderstatus")), F.col("o_totalprice").cast(p.MONEY).cast("string"))
+    scored = tabular.grid_score(p.table(spark, sf_dir, "orders").select("o_custkey", cells.alias("cells")), ["o_custkey"])
+    return scored.select("o_custkey", "score", tabular.grid_verdict(F.col("score")).alias("verdict"))
+
+
+@query("""SELECT c_custkey, replace(c_name, 'Customer#', '[redacted]') AS name, replace(c_mktsegment, 'BUILDING', '[redacted]') AS segment, replace(c_name, 'Customer#', '[redacted]') AS told, c_acctbal AS balance FROM customer""")
+def redacted_records(spark, sf_dir) -> DataFrame:
+    """Nested records of the log with the values of known secrets masked wherever they stand."""
+    event = F.struct(F.array(F.struct(F.col("c_mktsegment").alias("segment"))).alias("list"), F.create_map(F.lit("told"), F.col("c_name")).alias("map"), F.col("c_acctbal").alias("balance"))
+    rows = p.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), event.alias("event"))
+    masked = text.redact_rows(rows, ["Customer#", "BUILDING", "0000"])
+    return masked.select("c_custkey", "name", F.col("event.list")[0]["segment"].alias("segment"), F.col("event.map")["told"].alias("told"), F.col("event.balance").alias("balance"))

@@ -59,6 +59,17 @@ def match_names(spark, sf_dir) -> DataFrame:
     return resolve.match_tokens(turned, part_names(spark, sf_dir))
 
 
+@query("""WITH n AS (SELECT DISTINCT lower(array_to_string(list_reverse(string_split(p_name, ' ')), ' ')) AS name FROM part), e AS (SELECT 'part-' || min(p_partkey) AS entity_id, p_name FROM part GROUP BY p_name),
+    t AS (SELECT name, list_distinct(string_split(name, ' ')) AS a FROM n), u AS (SELECT entity_id, p_name, list_distinct(string_split(lower(p_name), ' ')) AS b FROM e),
+    s AS (SELECT name, entity_id, p_name, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) AS score FROM t JOIN u ON TRUE)
+    SELECT name, entity_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, p_name, entity_id) AS INTEGER) AS place FROM s WHERE score >= 0.34
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, p_name, entity_id) <= 5""")
+def suggested_names(spark, sf_dir) -> DataFrame:
+    """Part names with their words turned round, and the five names whose words are most like theirs."""
+    turned = p.table(spark, sf_dir, "part").select(F.lower(F.array_join(F.reverse(F.split("p_name", " ")), " ")).alias("name")).distinct()
+    return resolve.best_matches(turned, part_names(spark, sf_dir)).select("name", "entity_id", F.round("score", 6).alias("score"), "place")
+
+
 @query("""WITH i AS (SELECT 'min-' || n_nationkey AS entity_id, 'ministry' AS kind, n_name AS title, r_name AS extra FROM nation JOIN region ON n_regionkey = r_regionkey
         UNION ALL SELECT 'part-' || p_partkey, 'part', p_name, p_type || ' ' || p_brand FROM part),
     w AS (SELECT *, regexp_split_to_array(lower(title), '[^a-z0-9]+') AS a, regexp_split_to_array(lower(extra), '[^a-z0-9]+') AS b FROM i)
@@ -129,6 +140,18 @@ def amounts_as_printed(spark, sf_dir) -> DataFrame:
     return rows.select("o_orderkey", "p.status", "p.reason", F.col("p.value").cast("double").alias("value"))
 
 
+@query("""WITH v AS (SELECT o_orderkey, o_orderkey % 5 AS k, CAST(o_totalprice AS DECIMAL(24,6)) AS v, (o_orderkey % 20) / 20.0 AS confidence FROM orders),
+    r AS (SELECT o_orderkey, confidence, CASE k WHEN 0 THEN CAST(v AS DECIMAL(20,2)) WHEN 1 THEN CAST(round(v * 0.01, 2) AS DECIMAL(20,2)) END AS amount, CASE k WHEN 2 THEN 'no unit stated' WHEN 3 THEN 'no figure' WHEN 4 THEN 'percentage' END AS reason FROM v)
+    SELECT o_orderkey, CAST(amount AS DOUBLE) AS amount, reason, amount IS NULL OR confidence < 0.85 AS needs_review FROM r""")
+def extractions_for_review(spark, sf_dir) -> DataFrame:
+    """Order totals as figures that were read off a page, with the unit that it states and a confidence: their amounts, and which of them a human must see."""
+    k, v = F.col("o_orderkey") % 5, F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    cell = F.when(k == 3, "n.a.").when(k == 4, F.concat(v, F.lit("%"))).otherwise(v)
+    unit = F.when(k == 1, "lakh").when(k == 2, "unstated").otherwise("crore")
+    read = money.reviewed(cell, unit, (F.col("o_orderkey") % 20) / 20)
+    return p.table(spark, sf_dir, "orders").select("o_orderkey", read.alias("r")).select("o_orderkey", F.col("r.amount").cast("double").alias("amount"), "r.reason", "r.needs_review")
+
+
 W = "CAST(floor(abs(v)) AS BIGINT)"
 
 
@@ -148,6 +171,31 @@ def periods_as_printed(spark, sf_dir) -> DataFrame:
     return rows.select("o_orderkey", cal.fy_of(F.col("p.end")).alias("fy"), F.col("p.start").alias("first"), F.col("p.end").alias("last"), F.col("p.cumulative").alias("cumulative"))
 
 
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {fy('o_orderdate')} AS fy FROM orders)
+    SELECT o_orderkey, CAST(date_trunc('month', CASE WHEN o_orderkey % 2 = 0 THEN make_date(CAST(substr(fy, 3) AS INTEGER) - 1, 4, 1) ELSE d END) AS DATE) AS first, last_day(d) AS last, o_orderkey % 2 = 0 AS cumulative,
+        'FY' || substr(fy, 5) AS short, fy || ' (Apr ' || (CAST(substr(fy, 3) AS INTEGER) - 1) || ' to Mar ' || substr(fy, 3) || ')' AS span, strftime(d, '%b %Y') AS month FROM o""")
+def periods_of_years(spark, sf_dir) -> DataFrame:
+    """Months and spans of months that name a pair of years, read back, and the labels of an order's year and month."""
+    day = F.to_date("o_orderdate")
+    year = cal.fy_of(day)
+    label = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "April – ").otherwise(""), F.date_format(day, "MMMM"), F.lit(" "), cal.long_label(year))
+    rows = p.table(spark, sf_dir, "orders").select("o_orderkey", cal.period_of(label).alias("p"), cal.short_label(year).alias("short"), cal.span_label(year).alias("span"), cal.month_label(day).alias("month"))
+    return rows.select("o_orderkey", F.col("p.start").alias("first"), F.col("p.end").alias("last"), "p.cumulative", "short", "span", "month")
+
+
+@query(with_parts("run") + """, n AS (SELECT source_id, max(started_at) AS newest FROM run GROUP BY 1),
+    h AS (SELECT run_id, CASE WHEN status = 'ok' THEN (epoch_us(newest) - epoch_us(started_at)) / 3600000000.0 END AS h FROM run JOIN n USING (source_id)),
+    d AS (SELECT run_id, h, CAST(floor(h / 24) AS BIGINT) AS d FROM h)
+    SELECT run_id, CASE WHEN h IS NULL THEN 'Not yet fetched' WHEN h < 1 THEN 'Within the hour' WHEN h < 24 THEN CAST(floor(h) AS BIGINT) || 'h ago' WHEN d = 1 THEN 'Yesterday' WHEN d < 30 THEN d || ' days ago' WHEN d // 30 = 1 THEN 'Last month' ELSE (d // 30) || ' months ago' END AS age FROM d""")
+def ages_in_words(spark, sf_dir) -> DataFrame:
+    """How long before the newest run of its source each good run was; of others nothing was fetched."""
+    runs = p.pipeline_runs(spark, sf_dir)
+    newest = runs.groupBy("source_id").agg(F.max("started_at").alias("newest"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    hours = F.when(F.col("status") == "ok", (micros("newest") - micros("started_at")) / F.lit(3600000000.0))
+    return runs.join(newest, "source_id").select("run_id", cal.age_label(hours).alias("age"))
+
+
 @query(
     "SELECT o_orderkey, o_orderkey || chr(44) || CASE WHEN o_orderkey % 3 = 0 THEN chr(39) || chr(61) || o_orderpriority "
     "WHEN o_orderkey % 3 = 1 THEN chr(34) || o_orderpriority || chr(44) || chr(32) || chr(34) || chr(34) || 'x' || chr(34) || chr(34) || chr(34) ELSE 'Not reported' END AS line FROM orders"

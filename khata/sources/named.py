@@ -42,6 +42,8 @@ COVERAGE = ("tap connections", "tap water connections", "household connections",
 QUESTION = r"(?i)(?:question|q\.?)\s*(?:no\.?)?\s*[:\-]?\s*([0-9]{1,5})"
 OFFICE = r"(?i)((?:ministry|department) of [A-Za-z ,&]+)"
 ANSWERED = r"([0-9]{1,2}[ /-][A-Za-z]{3,9}[ /-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})"
+NEAR_DAY = r"[0-9]{1,2}[ /-][A-Za-z]{3,9}[ /-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2}"
+MENTION = r"(?i)(?:₹|Rs\.?|INR)\s*[0-9,]+(?:\.[0-9]+)?\s*(?:lakh\s+crore|thousand\s+crore|crore|lakh|cr)\b"
 YEAR_PAIR = r"(20[0-9]{2})\s*[-/]\s*([0-9]{2,4})"
 SPENT = "utilis|utiliz|expenditure|spent"
 
@@ -248,15 +250,25 @@ def utilisation(cells: DataFrame, keys: list[str], default_fy: str | None = None
     return rows, errors.select(*keys, "scheme", "raw", "reason").union(undated)
 
 
-def press_releases(pages: DataFrame) -> DataFrame:
-    """release_id, ministry and title of every link once, the ministry's heading carried down to it."""
-    parts = F.regexp_extract_all("html", F.lit(r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>|<a\s[^>]*PRID=[0-9]+[^>]*>.*?</a>)"), 1)
-    items = pages.select("page_id", F.posexplode(parts).alias("pos", "part"))
-    bare = clean_cell(F.regexp_replace("part", "<[^>]*>", " "))
-    heading = F.when(F.col("part").rlike("(?i)^<h[1-6]"), bare)
-    carried = tabular.carry_down(items.withColumn("ministry", heading), "ministry", ["page_id"], "pos")
-    links = carried.where(~F.col("part").rlike("(?i)^<h[1-6]")).select("page_id", "pos", "ministry", bare.alias("title"), F.regexp_extract("part", "PRID=([0-9]+)", 1).alias("release_id"))
-    return links.groupBy("release_id").agg(F.min_by("ministry", F.struct("page_id", "pos")).alias("ministry"), F.min_by("title", F.struct("page_id", "pos")).alias("title"))
+def press_releases(pages: DataFrame, base: str = "https://pib.gov.in", listed_on: Column | None = None) -> DataFrame:
+    """release_id, ministry, ministry_normalised, title, url, published_on and amount_mentions of every link once.
+
+    The ministry is the heading above the link, carried down. A release is of the day of the list, if that is known, else of the
+    day beside its link, in the same row, item or block. amount_mentions are the amounts in its title, as printed.
+    """
+    token = r"(?is)(<h[1-6][^>]*>.*?</h[1-6]>|<a\s[^>]*PRID=[0-9]+[^>]*>.*?</a>)"
+    blocks = pages.select("page_id", F.posexplode(F.split("html", r"(?i)</?(?:tr|li|div)\b[^>]*>")).alias("x", "block"))
+    items = blocks.select("page_id", "x", web.plain(F.col("block")).alias("context"), F.posexplode(F.regexp_extract_all("block", F.lit(token), 1)).alias("y", "part")).withColumn("pos", F.struct("x", "y"))
+    bare = web.plain(F.col("part"))
+    is_heading = F.col("part").rlike("(?i)^<h[1-6]")
+    heading = F.when(is_heading & (F.char_length(bare) < 160) & (bare != ""), bare)
+    carried = tabular.carry_down(items.withColumn("ministry", heading), "ministry", ["page_id"], "pos").where(~is_heading)
+    href = F.trim(F.regexp_extract("part", r"""(?is)href\s*=\s*["']?([^"'\s>]+)""", 1))
+    url = F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base + "/"), F.regexp_replace(href, "^/+", "")))
+    near = cal.parse_day(F.regexp_replace(F.regexp_extract("context", NEAR_DAY, 0), "/", "-"))
+    links = carried.select("page_id", "pos", "ministry", bare.alias("title"), url.alias("url"), F.coalesce(listed_on, near).alias("published_on") if listed_on is not None else near.alias("published_on"), F.regexp_extract("part", "(?i)PRID=([0-9]+)", 1).alias("release_id"))
+    first = links.groupBy("release_id").agg(F.min_by(F.struct("ministry", "title", "url", "published_on"), F.struct("page_id", "pos")).alias("r"))
+    return first.select("release_id", "r.ministry", normalise_name(F.col("r.ministry")).alias("ministry_normalised"), "r.title", "r.url", "r.published_on", F.regexp_extract_all("r.title", F.lit(MENTION), F.lit(0)).alias("amount_mentions"))
 
 
 def state_budgets(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

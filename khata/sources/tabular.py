@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from khata.functions.money import parse_crore, unit_of
-from khata.functions.text import clean_cell
+from khata.functions.text import clean_cell, normalise_name
+
+# Least scores of a grid that is trusted, and of one that can be used at all.
+TRUSTED, USABLE = 0.60, 0.25
 
 
 def read_csv(spark: SparkSession, path: str, aliases: dict[str, list[str]]) -> DataFrame:
@@ -30,10 +33,30 @@ def read_json_records(spark: SparkSession, path: str, field: str = "records", sc
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"{field} {schema}")[field]).alias("record"))
 
 
-def wide_to_long(rows: DataFrame, columns: dict[str, tuple[str, str]], keys: list[str]) -> DataFrame:
-    """(keys, fy, stage, raw) of records in wide layout; a declared column that no record has is an error."""
+def wide_to_long(rows: DataFrame, columns: dict[str, tuple[str, str]], keys: list[str], by: str | None = None, keep_rows: tuple[str, ...] = (), drop_rows: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, fy, stage, raw, error) of records in wide layout; a declared column that a record lacks is an error.
+
+    by names the field by whose normal form rows are chosen (the first key, if none): those of keep_rows alone, if it names any,
+    and none of drop_rows. Rows whose first key is blank are left out. If keep_rows finds no row, one error says so.
+    """
+    field = lambda k: F.trim(F.coalesce(F.try_element_at("record", F.lit(k)), F.lit("")))
+    chosen = normalise_name(field(by or keys[0]))
+    wanted = (chosen.isin(*keep_rows) if keep_rows else F.lit(True)) & ~(chosen.isin(*drop_rows) if drop_rows else F.lit(False)) & (field(keys[0]) != "")
     parts = F.array(*[F.struct(F.lit(fy).alias("fy"), F.lit(stage).alias("stage"), F.try_element_at("record", F.lit(c)).alias("raw"), F.map_contains_key("record", c).alias("there"), F.lit(c).alias("column")) for c, (fy, stage) in columns.items()])
-    return rows.select(*[F.try_element_at("record", F.lit(k)).alias(k) for k in keys], F.explode(parts).alias("p")).select(*keys, "p.fy", "p.stage", "p.raw", F.when(~F.col("p.there"), F.concat(F.lit("missing column: "), F.col("p.column"))).alias("error"))
+    error = F.when(~F.col("p.there"), F.concat(F.lit("missing column: "), F.col("p.column")))
+    long = rows.where(wanted).select(*[F.try_element_at("record", F.lit(k)).alias(k) for k in keys], F.explode(parts).alias("p")).select(*keys, "p.fy", "p.stage", "p.raw", error.alias("error"))
+    if not keep_rows:
+        return long
+    none = rows.agg(F.count_if(wanted).alias("n")).where("n = 0").select(F.lit(f"none of the rows: {', '.join(sorted(keep_rows))}").alias("error"))
+    return long.unionByName(none, allowMissingColumns=True)
+
+
+def long_amounts(long: DataFrame, unit: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, errors) of wide_to_long(): amounts in crore, and what can't be read or wasn't there; figures not reported are in neither."""
+    parsed = long.withColumn("p", parse_crore(F.col("raw"), F.lit(unit) if unit else None))
+    ids = [c for c in long.columns if c not in ("raw", "error")]
+    facts = parsed.where("error is null and p.status = 'value'").select(*ids, F.col("p.value").alias("amount"))
+    return facts, parsed.where("error is not null or p.status = 'error'").select(*ids, "raw", F.coalesce("error", "p.reason").alias("reason"))
 
 
 def header_row(cells: DataFrame, keys: list[str], most: int = 6) -> DataFrame:
@@ -48,13 +71,25 @@ def looks_numeric(cell: Column) -> Column:
 
 
 def grid_score(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Confidence that a grid is a table: filled cells, rows of the usual width, numbers; less under three rows."""
-    filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
-    rows = cells.select(*keys, F.size("cells").alias("w"), filled.alias("f"), F.size(F.filter("cells", looks_numeric)).alias("n"))
-    usual = rows.groupBy(*keys, "w").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.max("k").alias("same"), F.sum("k").alias("rows"))
-    sums = rows.groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("f").alias("f"), F.sum("n").alias("n"))
-    score = F.sqrt(F.col("f") / F.col("w")) * (F.col("same") / F.col("rows")) * (0.3 + 0.7 * F.col("n") / F.greatest("f", F.lit(1)))
-    return usual.join(sums, keys).select(*keys, (score * F.when(F.col("rows") < 3, 0.6).otherwise(1.0)).alias("score"))
+    """Confidence that a grid is a table, from 0 to 1 with four places: filled cells, rows of the usual width, numbers beside the first column.
+
+    Under three rows it is less; a grid whose usual width is under two is no table at all.
+    """
+    filled = lambda c: F.size(F.filter(c, lambda x: F.trim(x) != ""))
+    beside = F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(1)))
+    rows = cells.select(*keys, F.size("cells").alias("w"), filled("cells").alias("f"), filled(beside).alias("b"), F.size(F.filter(beside, looks_numeric)).alias("n"))
+    widths = rows.groupBy(*keys, "w").agg(*[F.sum(c).alias(c) for c in ("f", "b", "n")], F.count("*").alias("k"))
+    sums = widths.groupBy(*keys).agg(
+        F.max("k").alias("same"), F.max_by("w", F.struct("k", "w")).alias("usual"), F.sum("k").alias("rows"), F.sum(F.col("w") * F.col("k")).alias("w"), *[F.sum(c).alias(c) for c in ("f", "b", "n")]
+    )
+    share = F.when(F.col("b") > 0, F.col("n") / F.col("b")).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.sqrt(F.col("f") / F.col("w")) * (F.col("same") / F.col("rows")) * (0.3 + 0.7 * share)) * F.when(F.col("rows") < 3, 0.6).otherwise(1.0)
+    return sums.select(*keys, F.when((F.col("usual") < 2) | (F.col("w") == 0), 0.0).otherwise(F.round(score, 4)).alias("score"))
+
+
+def grid_verdict(score: Column) -> Column:
+    """What becomes of a grid: its figures are taken, it is read a second time, or a human gets it."""
+    return F.when(score >= TRUSTED, "trusted").when(score >= USABLE, "assist").otherwise("unusable")
 
 
 def carry_down(rows: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
