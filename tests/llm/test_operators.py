@@ -533,6 +533,26 @@ def test_nearest(spark):
     assert len(few) == 4 and nearest.nearest(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_probes_leave_out_most_codes_of_grouped_vectors():
+    """Where vectors lie in groups, few codes are probed and the neighbours are among them; README tells of vectors that lie evenly."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((80, 64))
+    x = centres[r.integers(0, 80, 4000)] + 0.15 * r.standard_normal((4000, 64))
+    coder = nearest.learn(x[:2000], 20)
+    codes = coder.codes(x)
+    probed, found, asked = 0, 0, range(0, 4000, 40)
+    for q in asked:
+        apart = np.bitwise_count(codes ^ codes[q])
+        near = apart.min(1) <= coder.radius // codes.shape[1]
+        inside = apart.sum(1, dtype=int) <= coder.radius
+        assert (near | ~inside).all()  # the pigeonhole principle: nothing within the radius is missed
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        best = np.argsort(-scores, kind="stable")[:20]
+        probed, found = probed + near.sum(), found + inside[best].sum()
+    assert probed < 0.4 * 4000 * len(asked) and found >= 0.95 * 20 * len(asked)
+
+
 def test_packing(docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack_documents(docs, path, 64).collect()
