@@ -62,6 +62,16 @@ def test_long_unsplit_text_is_joined_by_windows_alone(monkeypatch):
     assert ids == tool.library.encode(text, add_special_tokens=False).ids
 
 
+def test_marks_that_meet_only_one_case_of_a_letter_are_composed_before_lower_case(spark):
+    words = "H\u0331 J\u030c T\u0308 T\u0344 W\u030a Y\u030a W\u0327\u030a I\u0307\u093c <|STARTOFTEXT|>J\u030c The\x1cH\u0331".split(" ")
+    texts = [(k, t) for k, w in enumerate(words) for t in (w, f"The {w}The {w.lower()}! AND {w}'s")]
+    library = Tokenizer.from_file(PATH)
+    want = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in texts)
+    for leaf in (2, 1000):
+        rows = tree_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string"), PATH, leaf).collect()
+        assert sorted((r.doc_id, list(r.ids)) for r in rows) == want
+
+
 def test_digests_and_an_empty_table(docs):
     rows = tree_bpe.digests(tree_bpe.decode(tree_bpe.encode(docs.where("doc_id = 2"), PATH), PATH)).collect()
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
