@@ -142,6 +142,10 @@ def test_names(spark):
     assert one(spark, a=text.banned_words(F.lit("A Scammer and a discam"))).a == ["scam"]
 
 
+def test_dates_parted_by_citations_and_year_labels_are_no_figures(spark):
+    assert one(spark, a=text.figures(F.lit("on 15 [source:412] March 2025 and April FY2026 2025: 7, 2025-04 [tender:A/1] Q1"))).a == ["7"]
+
+
 def test_resolution(spark):
     entities = spark.createDataFrame([("e1", "Ministry of Rural Development"), ("e2", "Ministry of Urban Development"), ("e3", "Department of Space")], "entity_id string, name string")
     names = spark.createDataFrame([("Min of Rural Devt",), ("Ministry of Rural Developmen",), ("Zzz",)], "name string")
