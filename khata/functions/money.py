@@ -33,7 +33,9 @@ def unit_of(text: Column) -> Column:
 
 
 def factor_of(unit: Column) -> Column:
-    return reduce(lambda c, u: c.when(unit == u, F.lit(UNITS[u]).cast("decimal(20,7)")), UNITS, F.when(F.lit(False), F.lit(None).cast("decimal(20,7)")))
+    """How many crore the unit is, looked up once: a chain of comparisons would work the unit out anew for each."""
+    known = F.create_map(*[F.lit(x) if x is u else F.lit(x).cast("decimal(20,7)") for u, n in UNITS.items() for x in (u, n)])
+    return F.try_element_at(known, unit)
 
 
 def parse_crore(cell: Column, hint: Column | None = None) -> Column:

@@ -245,9 +245,8 @@ def wide_records(spark, sf_dir) -> DataFrame:
     )
     records = p.table(spark, sf_dir, "customer").select(record.alias("record"))
     long = tabular.wide_to_long(records, {"be": ("FY2025", "BE"), "re": ("FY2026", "RE")}, ["segment", "k"], keep_rows=("building", "machinery", "household"), drop_rows=("household",))
-    facts, errors = tabular.long_amounts(long, "crore")
-    rows = facts.select("segment", "k", "fy", "stage", F.col("amount").cast("double").alias("amount"), F.lit(None).cast("string").alias("reason"))
-    return rows.union(errors.select("segment", "k", "fy", "stage", F.lit(None).cast("double"), "reason")).withColumn("segment", F.upper("segment"))
+    judged = tabular.judged_amounts(long, "crore")
+    return judged.select(F.upper("segment").alias("segment"), "k", "fy", "stage", F.col("amount").cast("double").alias("amount"), "reason")
 
 
 @query("""WITH g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'F') AS k FROM orders GROUP BY 1),

@@ -41,7 +41,8 @@ def wide_to_long(rows: DataFrame, columns: dict[str, tuple[str, str]], keys: lis
     """
     field = lambda k: F.trim(F.coalesce(F.try_element_at("record", F.lit(k)), F.lit("")))
     chosen = normalise_name(field(by or keys[0]))
-    wanted = (chosen.isin(*keep_rows) if keep_rows else F.lit(True)) & ~(chosen.isin(*drop_rows) if drop_rows else F.lit(False)) & (field(keys[0]) != "")
+    left = chosen.isin(*[r for r in keep_rows if r not in drop_rows]) if keep_rows else ~chosen.isin(*drop_rows) if drop_rows else F.lit(True)
+    wanted = (field(keys[0]) != "") & left
     parts = F.array(*[F.struct(F.lit(fy).alias("fy"), F.lit(stage).alias("stage"), F.try_element_at("record", F.lit(c)).alias("raw"), F.map_contains_key("record", c).alias("there"), F.lit(c).alias("column")) for c, (fy, stage) in columns.items()])
     error = F.when(~F.col("p.there"), F.concat(F.lit("missing column: "), F.col("p.column")))
     long = rows.where(wanted).select(*[F.try_element_at("record", F.lit(k)).alias(k) for k in keys], F.explode(parts).alias("p")).select(*keys, "p.fy", "p.stage", "p.raw", error.alias("error"))
@@ -51,12 +52,19 @@ def wide_to_long(rows: DataFrame, columns: dict[str, tuple[str, str]], keys: lis
     return long.unionByName(none, allowMissingColumns=True)
 
 
+def judged_amounts(long: DataFrame, unit: str | None = None) -> DataFrame:
+    """wide_to_long() with amount (in crore) or reason (what can't be read, or wasn't there), each cell read once; without figures not reported."""
+    ids = [c for c in long.columns if c not in ("raw", "error")]
+    parsed = long.select(*long.columns, F.inline(F.array(parse_crore(F.col("raw"), F.lit(unit) if unit else None))))  # a row each: filters above don't read the cell again
+    reason = F.coalesce("error", F.when(F.col("status") == "error", F.col("reason")))
+    kept = parsed.where("error is not null or status <> 'not_reported'")
+    return kept.select(*ids, "raw", F.when(reason.isNull(), F.col("value")).alias("amount"), reason.alias("reason"))
+
+
 def long_amounts(long: DataFrame, unit: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(facts, errors) of wide_to_long(): amounts in crore, and what can't be read or wasn't there; figures not reported are in neither."""
-    parsed = long.withColumn("p", parse_crore(F.col("raw"), F.lit(unit) if unit else None))
-    ids = [c for c in long.columns if c not in ("raw", "error")]
-    facts = parsed.where("error is null and p.status = 'value'").select(*ids, F.col("p.value").alias("amount"))
-    return facts, parsed.where("error is not null or p.status = 'error'").select(*ids, "raw", F.coalesce("error", "p.reason").alias("reason"))
+    judged = judged_amounts(long, unit)
+    return judged.where("reason is null").drop("raw", "reason"), judged.where("reason is not null").drop("amount")
 
 
 def header_row(cells: DataFrame, keys: list[str], most: int = 6) -> DataFrame:

@@ -80,6 +80,19 @@ def test_records_in_wide_layout_by_rows(spark):
     assert [(r.m, float(r.amount)) for r in facts.collect()] == [("Dept of Space", 5.0)] and [r.reason for r in errors.collect()] == ["missing column: y1"]
 
 
+def test_units_and_cells_are_worked_out_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    cells = spark.createDataFrame([("5 lakh",), ("5 furlongs",), (None,)], "cell string")
+    factor = cells.select(money.factor_of(F.regexp_extract("cell", "[a-z]+", 0)).alias("f"))
+    assert plan(factor).count("regexp_extract") == 1
+    assert [r.f and float(r.f) for r in factor.collect()] == [0.01, None, None]
+    long = spark.createDataFrame([("a", "5", None), ("b", "x", None), ("c", "-", None), ("d", None, "gone"), ("e", "7", "gone")], "k string, raw string, error string")
+    facts, errors = tabular.long_amounts(long, "crore")
+    assert plan(facts).count("percentage") == plan(errors).count("percentage") == 1
+    assert [(r.k, float(r.amount)) for r in facts.collect()] == [("a", 5.0)]
+    assert [(r.k, r.raw, r.reason) for r in errors.collect()] == [("b", "x", "letters that are no unit"), ("d", None, "gone"), ("e", "7", "gone")]
+
+
 def test_grids(spark):
     cells = [(1, ["Head", "BE", "RE"]), (1, ["Roads", "12", "13"]), (1, ["Rail", "1,000", ""]), (2, ["one"]), (2, ["two"]), (2, ["three"]), (3, ["a", "1"]), (4, ["", ""]), (4, ["", ""]), (4, ["", ""])]
     grid = spark.createDataFrame(cells, "t long, cells array<string>")
