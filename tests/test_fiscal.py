@@ -146,6 +146,17 @@ def test_dates_parted_by_citations_and_year_labels_are_no_figures(spark):
     assert one(spark, a=text.figures(F.lit("on 15 [source:412] March 2025 and April FY2026 2025: 7, 2025-04 [tender:A/1] Q1"))).a == ["7"]
 
 
+def test_figures_of_odd_texts_equal_their_sql(spark, tmp_path):
+    odd = ["1" + ",234" * 20000, "Q1\u00e9 \u0915\u093e2025-04\u0915 \u00e9FY2026\u00df", "5\x0bMarch 2025, 5\u00a0March 2025", "1 Augu\u017ft 2025, x\u017feptember 2025, \u017feptember 2025, [\u017fource:9]", "Aprıl 2025, \u0663 and 7", None]
+    listed = ["- 5\n * -6\n## 7\n12\n\n- -8", "FY2025-26, FY 2025-26, FY2026", "15 August 2025, 12/11/2025, 2025-04-01, q4 [tender:A/1\n2] [3]"]
+    spark.createDataFrame(list(enumerate(odd + listed)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_figures for r in QUERIES["figures_in_prose"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(SQL["figures_in_prose"]).fetchall())
+    assert [got[k] for k in range(len(odd), len(odd + listed))] == [5, 1, 4]  # as the reference's steps leave them
+
+
 def test_resolution(spark):
     entities = spark.createDataFrame([("e1", "Ministry of Rural Development"), ("e2", "Ministry of Urban Development"), ("e3", "Department of Space")], "entity_id string, name string")
     names = spark.createDataFrame([("Min of Rural Devt",), ("Ministry of Rural Developmen",), ("Zzz",)], "name string")
